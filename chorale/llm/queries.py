@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from chorale.llm import sql
 from chorale.llm.exact_dedup import exact_dedup
+from chorale.llm.language_id import held_out, identify, learn
 from chorale.llm.line_dedup import line_dedup
+from chorale.llm.packing import pack_documents
 from chorale.llm.quality import quality_cascade
+from chorale.llm.sharding import shard_documents
 from chorale.llm.url_filter import UrlRule, url_verdicts, with_parts
 
 
@@ -22,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = shard_documents(_read(spark, sf_dir, "documents"), 24)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).withColumnRenamed("fingerprint", "text_sha256")
 
@@ -44,13 +52,24 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.page_id", "host", "path", "rule", "verdict")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn(docs.where(~held_out(F.col("doc_id"))))
+    out = identify(docs.select("doc_id", "text"), profiles, carry=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("_row.doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.md5("cleaned").alias("cleaned_md5"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op6_exact_dedup, op7_url_filters, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_sharding, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
