@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import SPACE, let, table
+from chorale.llm.shared import SPACE, bounded, let, table
 
 WINDOW = 2
 #: Multipliers and modulus of the rolling hash; products stay below 2 ** 63.
@@ -63,13 +63,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start")).alias("first")
     many = F.count("*").alias("n")
     keys = table(_candidates(slim, divisor).groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
-    known = _candidates(slim, divisor).join(keys, "key", "left_semi")
+    known = _candidates(slim, divisor).join(bounded(keys), "key", "left_semi")
     repeated = table(known.groupBy("key", "chunk").agg(place, many).where("n > 1"), "chunks")
-    found = known.alias("k").join(repeated.alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.chunk") == F.col("r.chunk")))
+    found = known.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.chunk") == F.col("r.chunk")))
     extra = found.where(~(F.col("k.id").eqNullSafe(F.col("r.first.id")) & (F.col("k.mark") == F.col("r.first.mark")) & (F.col("k.start") == F.col("r.first.start"))))
     cuts = table(extra.groupBy(F.col("k.id").alias("cut_id"), F.col("k.mark").alias("cut_mark")).agg(F.collect_set("k.start").alias("starts")), "cuts")
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
+    cuts = bounded(cuts)
     joined = row.join(cuts, row["id"].eqNullSafe(cuts["cut_id"]) & (row["mark"] == cuts["cut_mark"]), "left")
     parts = chunks(F.col("t"), divisor)
     dropped = lambda c: F.array_contains("starts", c["start"])

@@ -13,12 +13,17 @@ from chorale.llm.packing import pack_documents
 from chorale.llm.quality import quality_cascade
 from chorale.llm.sharding import shard_documents
 from chorale.llm.url_filter import UrlRule, url_verdicts, with_parts
+from chorale.llm.warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_cascade(_read(spark, sf_dir, "documents"), keep_stats=True)
     base_failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
@@ -69,8 +74,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_sharding, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op6_exact_dedup": sql.OP6, "op7_url_filters": sql.OP7, "op10_line_dedup": sql.OP10}
+    return {"op1_warc": sql.OP1, "op2_quality_rules": sql.OP2, "op6_exact_dedup": sql.OP6, "op7_url_filters": sql.OP7, "op10_line_dedup": sql.OP10}

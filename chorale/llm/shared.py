@@ -59,6 +59,15 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def bounded(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 1 << 25) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows and bytes; else as it is, to be shuffled."""
+    kinds = dict(df.dtypes)
+    wide = [F.octet_length(f"`{c}`") for c, k in kinds.items() if k in ("string", "binary")] + [8 * F.size(f"`{c}`") for c, k in kinds.items() if k.startswith("array")]
+    each = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(kinds)))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
+
+
 def words(text: Column) -> Column:
     """All words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -1,5 +1,17 @@
 """DuckDB SQL for the results of the queries that SQL can express."""
 
+#: Base 32 of a digest: five bits at a time of its 160.
+OP1 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, (k // 8 * 10 + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p
+"""
+
 #: doc_id, the statistics and kept, over a relation named docs (doc_id, text, and a row number as rid).
 _QUALITY = r"""
 base AS (
