@@ -14,9 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chorale.llm.shared import is_empty, squeezed, table
+from chorale.llm.shared import bounded, is_empty, squeezed, table
 
 #: The histogram that drives the directory has 2 ** MAX_DEPTH rows at most, whatever the corpus.
 MAX_DEPTH = 16
@@ -86,7 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     repeated = table(index.where("n > 1").select("key", "fingerprint", "n", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")), "repeated")
     again = slim.withColumns({"key": key(F.col("norm")).cast("long"), "fingerprint": fingerprint(F.col("norm"))})
-    compared = again.join(repeated.select("key", "fingerprint"), ["key", "fingerprint"], "left_semi").groupBy("key", "fingerprint", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first"), F.count("*").alias("n"))
+    compared = again.join(bounded(repeated.select("key")), "key", "left_semi").groupBy("key", "fingerprint", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first"), F.count("*").alias("n"))
     clashes = table(compared.groupBy("key", "fingerprint").agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
 
     equal = repeated
@@ -126,11 +125,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_rows(docs: DataFrame, ident: Column, mark: Column, verdicts: DataFrame) -> DataFrame:
     """``docs`` without rows whose (_id, _fingerprint) is dropped in ``verdicts``; of repeated rows one stays."""
     kept = verdicts.where("_kept").select("_id", "_fingerprint")
-    dropped = verdicts.where("NOT _kept").select("_id", "_fingerprint").distinct()
+    dropped = table(verdicts.where("NOT _kept").select("_id", "_fingerprint").distinct(), "dropped")
     both = table(dropped.join(kept, (dropped["_id"].eqNullSafe(kept["_id"])) & (dropped["_fingerprint"] == kept["_fingerprint"]), "left_semi"), "repeats")
     same = lambda left, right: left["_id"].eqNullSafe(right["_id"]) & (left["_fingerprint"] == right["_fingerprint"])
     marked = docs.withColumns({"_id": ident, "_fingerprint": mark})
-    out = marked.join(dropped, same(marked, dropped), "left_anti")
+    side = bounded(dropped)
+    out = marked.join(side, same(marked, side), "left_anti")
     if not is_empty(both):
         repeats = marked.join(both, same(marked, both), "left_semi").dropDuplicates(["_id", "_fingerprint"])
         out = out.unionByName(repeats)
