@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm import sql
 from chorale.llm.exact_dedup import exact_dedup
+from chorale.llm.jaccard_join import jaccard_join
 from chorale.llm.language_id import held_out, identify, learn
 from chorale.llm.line_dedup import line_dedup
 from chorale.llm.packing import pack_documents
@@ -35,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", "set_size", "n_links")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).withColumnRenamed("fingerprint", "text_sha256")
 
@@ -74,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
