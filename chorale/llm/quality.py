@@ -142,4 +142,6 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule,
 
 def keep_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged."""
-    return quality_cascade(docs, text_col, rules).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality_cascade(docs, text_col, rules).withColumn("_at", F.monotonically_increasing_id())
+    # a condition on a row number stays above the cascade; pushed below it, the rules would be run again and again
+    return judged.where((F.col("_at") >= 0) & F.col("_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

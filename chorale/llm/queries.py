@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from chorale.llm.jaccard_join import jaccard_join
 from chorale.llm.language_id import held_out, identify, learn
 from chorale.llm.line_dedup import line_dedup
 from chorale.llm.packing import pack_documents
+from chorale.llm.pieces import encode_and_decode
 from chorale.llm.quality import quality_cascade
 from chorale.llm.sharding import shard_documents
 from chorale.llm.url_filter import UrlRule, url_verdicts, with_parts
@@ -40,6 +43,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", "set_size", "n_links")
 
 
+#: The model that op5 encodes with; only the driver reads it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    out = encode_and_decode(_read(spark, sf_dir, "documents"), Path(model).read_bytes())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "n_chunks", F.md5("decoded").alias("decoded_md5"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).withColumnRenamed("fingerprint", "text_sha256")
 
@@ -78,8 +90,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.md5("cleaned").alias("cleaned_md5"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_ngram_jaccard_join, op5_sentencepiece, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
