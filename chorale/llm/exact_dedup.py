@@ -128,10 +128,10 @@ def drop_rows(docs: DataFrame, ident: Column, mark: Column, verdicts: DataFrame)
     dropped = table(verdicts.where("NOT _kept").select("_id", "_fingerprint").distinct(), "dropped")
     both = table(dropped.join(kept, (dropped["_id"].eqNullSafe(kept["_id"])) & (dropped["_fingerprint"] == kept["_fingerprint"]), "left_semi"), "repeats")
     same = lambda left, right: left["_id"].eqNullSafe(right["_id"]) & (left["_fingerprint"] == right["_fingerprint"])
-    marked = docs.withColumns({"_id": ident, "_fingerprint": mark})
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident.alias("_id"), mark.alias("_fingerprint"))
     side = bounded(dropped)
     out = marked.join(side, same(marked, side), "left_anti")
     if not is_empty(both):
         repeats = marked.join(both, same(marked, both), "left_semi").dropDuplicates(["_id", "_fingerprint"])
         out = out.unionByName(repeats)
-    return out.drop("_id", "_fingerprint")
+    return out.select("_row.*")

@@ -120,6 +120,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     everything is ``und``; an empty table gives an empty result.
     """
     names = docs.columns if carry is None else carry
+    out = _identified(docs, profiles, text_col, size, names)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_lang", "_score")], "_lang", "_score")
+
+
+def _identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str, size: int, names: list[str]) -> DataFrame:
+    """The columns ``names`` as struct _row, _lang and _score."""
     inside = names.index(text_col) if text_col in names else None
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *([] if inside is not None else [F.col(text_col).alias("_text")]))
 
@@ -131,13 +137,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["_row", "_lang", "_score"])
 
     schema = T.StructType([wrapped.schema["_row"], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    out = wrapped.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_lang", "_score")], "_lang", "_score")
+    return wrapped.mapInArrow(run, schema)
 
 
 def keep_languages(docs: DataFrame, profiles: dict[str, list[int]], langs: tuple[str, ...] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in a learned language (or one of ``langs``) with at least ``min_score``."""
-    out = identify(docs, profiles, text_col).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score))
+    out = _identified(docs, profiles, text_col, PROFILE, docs.columns).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score))
     if langs is not None:
         out = out.where(F.col("_lang").isin(list(langs)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("_row.*")

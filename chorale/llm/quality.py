@@ -57,6 +57,10 @@ STATS = {
 }
 
 
+#: Whole texts, about, on which the rules are tried before they are ordered.
+SAMPLE = 2000
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects a document if ``reject`` holds over the statistics that it names."""
@@ -96,7 +100,7 @@ def _cascade(docs: DataFrame, rules: tuple[Rule, ...], keep_stats: bool) -> Data
     return out
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> tuple[Rule, ...]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE, seed: int = 7) -> tuple[Rule, ...]:
     """Rules by estimated rejection per cost, highest first.
 
     ``docs`` has the text as ``t``. About ``sample_rows`` whole texts are sampled at random; every rule is
@@ -123,25 +127,29 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     return tuple(sorted(measured, key=lambda r: (-r.rejects / r.cost, r.name)))
 
 
-def quality_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, keep_stats: bool = False) -> DataFrame:
+def quality_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE, keep_stats: bool = False) -> DataFrame:
     """``docs`` with ``_kept`` and ``_failed`` (the first rule that rejected it in the chosen order).
 
     With ``keep_stats`` every statistic of the rules is computed for every row and added under its name;
     columns of ``docs`` with the same names are replaced. Null text counts as empty and has no words; an
     empty table gives an empty result. A row is kept if no rule rejects it, whatever the order.
     """
-    slim = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    order = order_rules(slim, rules, sample_rows)
-    stats = [s for r in order for s in r.stats]
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    out = _cascade(plain, order, keep_stats)
-    shown = [s for s in dict.fromkeys(stats) if s not in ("words", "lines")] if keep_stats else []
-    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in (*shown, "_failed", "_kept")]
-    return out.select(*own, *shown, "_failed", F.col("_failed").isNull().alias("_kept"))
+    out, stats = _judge(docs, text_col, rules, sample_rows, keep_stats)
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in (*stats, "_failed", "_kept")]
+    return out.select(*own, *stats, "_failed", F.col("_failed").isNull().alias("_kept"))
+
+
+def _judge(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], sample_rows: int, keep_stats: bool) -> tuple[DataFrame, list[str]]:
+    """The rows as struct _row beside _failed and the statistics, and the names of those that are shown."""
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("t")
+    order = order_rules(docs.select(text), rules, sample_rows)
+    stats = dict.fromkeys(s for r in order for s in r.stats)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text)
+    return _cascade(rows, order, keep_stats), [s for s in stats if s not in ("words", "lines")] if keep_stats else []
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged."""
-    judged = quality_cascade(docs, text_col, rules).withColumn("_at", F.monotonically_increasing_id())
+    judged = _judge(docs, text_col, rules, SAMPLE, False)[0].withColumn("_at", F.monotonically_increasing_id())
     # a condition on a row number stays above the cascade; pushed below it, the rules would be run again and again
-    return judged.where((F.col("_at") >= 0) & F.col("_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where((F.col("_at") >= 0) & F.col("_failed").isNull()).select("_row.*")
