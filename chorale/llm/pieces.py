@@ -28,7 +28,7 @@ SPACE = "▁"
 #: Characters in a chunk; documents up to this length are one chunk.
 CHUNK = 1 << 15
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 100_000
 #: Modulus of the position-weighted sum of ids.
 MODULUS = 2_147_483_647
 START = 0
@@ -58,7 +58,8 @@ class Pieces:
         probe = "a  ÀＡb"
         if not self.library.is_byte(self.bytes[0]) or self.library.decode(self.library.encode(probe)) != probe or "".join(self.library.encode("a", out_type=str)) != SPACE + "a":
             raise ValueError("only models with byte fallback, a dummy prefix and no normalisation are supported")
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.number = list(range(n))  # so that equal ids are one object
         self.fits = functools.lru_cache(1 << 18)(self._fits)
 
     def merge(self, text: str) -> list[str]:
@@ -93,10 +94,11 @@ class Pieces:
             if len(self.words) + len(missing) > MEMORY:
                 self.words.clear()
                 missing = list(dict.fromkeys(found))
-            self.words |= {w: [i for p in self.merge(w) for i in self.units(p)] for w in missing if not w.strip(SPACE)}
+            self.words |= {w: tuple(i for p in self.merge(w) for i in self.units(p)) for w in missing if not w.strip(SPACE)}
             missing = [w for w in missing if w.strip(SPACE)]
             # the library puts a mark of its own before each word
-            self.words |= zip(missing, self.library.encode([w[1:].replace(SPACE, " ") for w in missing], num_threads=1), strict=True)
+            found_ids = self.library.encode([w[1:].replace(SPACE, " ") for w in missing], num_threads=1)
+            self.words |= {w: tuple(map(self.number.__getitem__, ids)) for w, ids in zip(missing, found_ids, strict=True)}
         return [i for w in found for i in self.words[w]]
 
     def decode(self, ids: list[int]) -> str:
@@ -263,14 +265,25 @@ def _pieces(proto: bytes) -> Pieces:
     return _loaded[key]
 
 
-def _whole(proto: bytes):
+#: Documents that a worker holds as Python objects at a time.
+DOCS = 128
+
+
+def _rows(part: pa.RecordBatch, ids: list, pieces: Pieces | None) -> pa.RecordBatch:
+    """(row, id, k, ids), and what the ids decode to if ``pieces`` is given."""
+    columns = {c: part.column(c) for c in ("row", "id", "k")} | {"ids": pa.array(ids, pa.list_(pa.int32()))}
+    if pieces:
+        columns["marked"] = pa.array([pieces.decode(x) for x in ids], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _whole(proto: bytes, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(proto)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [pieces.encode_words(mark(t.as_py() or "")) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "id", "k", "ids"])
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                yield _rows(part, [pieces.encode_words(mark(t.as_py() or "")) for t in part.column("text")], pieces if decoded else None)
 
     return run
 
@@ -295,27 +308,26 @@ def _states(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"].iloc[0], "k": np.arange(n, dtype=np.int32), "entry": states[:-1], "exit": states[1:]})
 
 
-def _traced(proto: bytes):
+def _traced(proto: bytes, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(proto)
         for batch in batches:
             for i in range(batch.num_rows):
                 text, base, start, stop, last, entry, exit_ = (batch.column(c)[i].as_py() for c in ("text", "base", "start", "stop", "last", "entry", "exit"))
                 ids = Chunk(pieces, text, base, start, stop, last).ids(entry, exit_)
-                part = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("k"), pa.array([ids], pa.list_(pa.int32()))], names=["row", "id", "k", "ids"])
+                yield _rows(batch.slice(i, 1), [ids], pieces if decoded else None)
 
     return run
 
 
-def _encode_parts(docs: DataFrame, proto: bytes, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(row, id, k, ids) of the documents of one chunk, and of the chunks of all others."""
+def _encode_parts(docs: DataFrame, proto: bytes, id_col: str, text_col: str, chunk: int, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(row, id, k, ids) of the documents of one chunk, and of the chunks of all others; with ``decoded`` also marked."""
     around = Pieces(proto).longest + 1
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(slim.dtypes)["id"]
-    schema = f"row long, id {kind}, k int, ids array<int>"
+    schema = f"row long, id {kind}, k int, ids array<int>" + ", marked string" * decoded
     long_text = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # the mark before the text counts
-    plain = slim.where(~long_text).select(F.lit(None).cast("long").alias("row"), "id", F.lit(0).alias("k"), "text").mapInArrow(_whole(proto), schema)
+    plain = slim.where(~long_text).select(F.lit(None).cast("long").alias("row"), "id", F.lit(0).alias("k"), "text").mapInArrow(_whole(proto, decoded), schema)
     giant = slim.where(long_text).withColumn("row", F.monotonically_increasing_id())
     total = F.length("text") + 1
     marked = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
@@ -325,7 +337,7 @@ def _encode_parts(docs: DataFrame, proto: bytes, id_col: str, text_col: str, chu
     chunks = spread.select("row", "id", "k", F.substring("marked", base + 1, F.lit(chunk + 2 * around)).alias("text"), base.alias("base"), start.alias("start"), F.least(start + chunk, F.col("total")).alias("stop"), (start + chunk >= F.col("total")).alias("last"))
     chunks = table(chunks.repartition("row", "k"), "chunks")
     states = chunks.mapInArrow(_matrices(proto), "row long, k int, entry string, exit string, weight double").groupBy("row").applyInPandas(_states, "row long, k int, entry string, exit string")
-    return plain, chunks.join(states, ["row", "k"]).mapInArrow(_traced(proto), schema)
+    return plain, chunks.join(states, ["row", "k"]).mapInArrow(_traced(proto, decoded), schema)
 
 
 def encode(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -340,7 +352,7 @@ def encode(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str
 
 def encode_and_decode(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: id, n_chunks, ids and the text that they decode to (empty for null)."""
-    plain, giant = (decode(x, proto) for x in _encode_parts(docs, proto, id_col, text_col, chunk))
+    plain, giant = _encode_parts(docs, proto, id_col, text_col, chunk, decoded=True)
     parts = F.array_sort(F.collect_list(F.struct("k", "ids", "marked")))
     whole = giant.groupBy("row", "id").agg(parts.alias("p")).select("id", F.size("p").alias("n_chunks"), F.flatten("p.ids").alias("ids"), F.array_join("p.marked", "").alias("marked"))
     both = plain.select("id", F.lit(1).alias("n_chunks"), "ids", "marked").unionByName(whole)
@@ -355,7 +367,9 @@ def decode(encoded: DataFrame, proto: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(proto)
         for batch in batches:
-            said = [pieces.decode(x.as_py()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, "marked"])
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                said = [pieces.decode(x.as_py()) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=[*part.schema.names, "marked"])
 
     return encoded.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema) + ", marked string")
