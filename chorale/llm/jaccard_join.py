@@ -397,7 +397,7 @@ def _hot_links(sigs: DataFrame, sets: DataFrame, threshold: float, tolerance: fl
     """Links inside hot clusters, block against block."""
     hot = table(sigs.where("hot IS NOT NULL").select("rid", "hot", "size", "sig").join(sets, "rid"), "hot")
     blocks = hot.groupBy("hot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = hot.join(blocks, "hot").withColumn("block", F.expr("CAST(pmod(xxhash64(rid), blocks) AS INT)"))
+    own = hot.join(bounded(table(blocks, "blocks")), "hot").withColumn("block", F.expr("CAST(pmod(xxhash64(rid), blocks) AS INT)"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("hot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "weight", "sig", "items")
     return spread.groupBy("hot", "first", "second").applyInPandas(_verify_blocks(threshold, tolerance), LINKS)
