@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import labels as L
-from chorale.functions.vec import doubles, long_form, reshape, scale
+from chorale.functions.vec import long_form, reshape
 from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, ranking, reduction, sampling, scaling, stats, waveform
 from chorale.plans import reports
 from chorale.sources import audio
