@@ -339,7 +339,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other only. Null ids come last where the smallest is chosen; repeated rows are copies like others.
     ``mark`` is a hash of the text. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(slim.dtypes)["id"]
     made = slim.mapInArrow(_features(width), f"id {id_type}, mark long, key binary, size int, sig binary, bands array<long>")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import SPACE, WORD, let, table, words
+from chorale.llm.shared import SPACE, let, table, words
 
 
 def _removed(text: Column, pattern: str) -> Column:

@@ -1,6 +1,5 @@
 """The corpus operators on small tables: odd rows, brute force, exact round trips."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter
