@@ -20,6 +20,8 @@ from chorale.llm.shared import table
 UNKNOWN = "und"
 #: Stands for a word's end in n-gram codes; a control character, so never a letter.
 EDGE = 1
+#: Distinct n-grams of documents that a task holds for a language before it sums them.
+HELD = 1 << 18
 #: n-grams in a profile.
 PROFILE = 400
 
@@ -51,6 +53,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, code, n), each language's n-grams summed over the partition in steps of bounded size."""
     held: dict[str, list] = {}
+    size: dict[str, int] = {}
 
     def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
         codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
@@ -60,8 +63,10 @@ def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             parts = held.setdefault(lang, [])
             parts.append(ngrams(text.as_py() or ""))
-            if len(parts) >= 256:
+            size[lang] = size.get(lang, 0) + len(parts[-1][0])
+            if size[lang] > HELD:
                 held[lang] = [summed(parts)]
+                size[lang] = 0
     for lang, parts in held.items():
         codes, counts = summed(parts)
         if len(codes):
@@ -131,10 +136,10 @@ def _identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles, size)
-        for batch in batches:
-            texts = batch.column(0).field(inside) if inside is not None else batch.column(1)
+        for part in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            texts = part.column(0).field(inside) if inside is not None else part.column(1)
             said = [known.predict(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["_row", "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["_row", "_lang", "_score"])
 
     schema = T.StructType([wrapped.schema["_row"], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
     return wrapped.mapInArrow(run, schema)
