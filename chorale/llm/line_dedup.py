@@ -4,6 +4,11 @@ Each line becomes a 48-bit code; a rolling hash over the codes of the last WINDO
 where it is 0 modulo ``divisor``. Boundaries depend on nearby lines only, so an insertion elsewhere in a
 document does not move them. Chunks with several worded lines are counted over the corpus by hash; those
 found twice are compared byte by byte and all but the first occurrence are removed.
+
+A repeated passage that shares its chunks with other lines never compares equal as a chunk. For those, pairs
+of neighbouring worded lines (with the blank lines between) go the same way; repeated pairs that touch make
+up a run, so what is removed is every line of a passage of two worded lines or more that came before. Pairs
+are compared by the SHA-256 of their bytes, since whole ones would go through the shuffle for every line.
 """
 
 from __future__ import annotations
@@ -46,40 +51,70 @@ def chunks(text: Column, divisor: int) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
 
 
-def _candidates(slim: DataFrame, divisor: int) -> DataFrame:
-    """Rows (id, mark, start, lines, chunk, key) of the chunks with two worded lines or more."""
-    out = slim.select("id", "mark", F.explode(chunks(F.col("t"), divisor)).alias("c")).select("id", "mark", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.text").alias("chunk"))
-    return out.where((F.col("lines") > 1) & F.col("chunk").rlike(rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]")).withColumn("key", F.xxhash64("chunk"))
+def pairs(text: Column) -> Column:
+    """Array of (start, lines, text): each worded line of a text with the next worded one, blank lines between."""
+
+    def by_worded(lines: Column) -> Column:
+        worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"[^{SPACE}]"), i + 1)), lambda x: x.isNotNull())
+
+        def spans(w: Column) -> Column:
+            def span(start: Column, k: Column) -> Column:
+                n = F.get(w, k + 1) - start + 1
+                return F.struct(start.alias("start"), n.alias("lines"), F.array_join(F.slice(lines, start, n), "\n").alias("text"))
+
+            return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), span)
+
+        return let(worded, spans)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n"), by_worded)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3) -> DataFrame:
+def _candidates(slim: DataFrame, divisor: int, runs: bool) -> DataFrame:
+    """Rows (id, mark, start, lines, chunk, key) of the chunks with two worded lines or more, and of the pairs."""
+
+    def exploded(spans: Column) -> DataFrame:
+        return slim.select("id", "mark", F.explode(spans).alias("c")).select("id", "mark", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.text").alias("chunk"))
+
+    out = exploded(chunks(F.col("t"), divisor)).where((F.col("lines") > 1) & F.col("chunk").rlike(rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]"))
+    keyed = out.withColumn("key", F.xxhash64("chunk"))
+    return keyed.withColumn("pair", F.lit(False)).unionByName(exploded(pairs(F.col("t"))).withColumns({"key": F.xxhash64("chunk", F.lit("pair")), "pair": F.lit(True)})) if runs else keyed.withColumn("pair", F.lit(False))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, runs: bool = True) -> DataFrame:
     """One row per input row: the row as struct ``_row``, cleaned, n_lines, n_removed_chunks, n_removed_lines.
 
     The first occurrence of a repeated chunk, by id (null last) and place, stays. Rows that repeat both id
     and text count as one document and get the same result. Null and empty texts have one empty line and
-    lose nothing; a null text stays null. A text of which everything is removed becomes empty.
+    lose nothing; a null text stays null. A text of which everything is removed becomes empty. Without
+    ``runs`` chunks are compared only as wholes, and passages that straddle their boundaries stay. A pair
+    that overlaps its first occurrence stays, and so does the first occurrence of every worded line.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
-    place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start")).alias("first")
+    place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start", "lines")).alias("first")
     many = F.count("*").alias("n")
-    keys = table(_candidates(slim, divisor).groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
-    known = _candidates(slim, divisor).join(bounded(keys), "key", "left_semi")
-    repeated = table(known.groupBy("key", "chunk").agg(place, many).where("n > 1"), "chunks")
-    found = known.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.chunk") == F.col("r.chunk")))
-    extra = found.where(~(F.col("k.id").eqNullSafe(F.col("r.first.id")) & (F.col("k.mark") == F.col("r.first.mark")) & (F.col("k.start") == F.col("r.first.start"))))
-    cuts = table(extra.groupBy(F.col("k.id").alias("cut_id"), F.col("k.mark").alias("cut_mark")).agg(F.collect_set("k.start").alias("starts")), "cuts")
+    keys = table(_candidates(slim, divisor, runs).groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
+    same = F.when(F.col("pair"), F.sha2("chunk", 256)).otherwise(F.col("chunk")).alias("chunk")
+    known = _candidates(slim, divisor, runs).join(bounded(keys), "key", "left_semi").select("id", "mark", "start", "lines", "pair", "key", same)
+    repeated = table(known.groupBy("key", "pair", "chunk").agg(place, many).where("n > 1"), "chunks")
+    found = known.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.pair") == F.col("r.pair")) & (F.col("k.chunk") == F.col("r.chunk")))
+    extra = found.where(~(F.col("k.id").eqNullSafe(F.col("r.first.id")) & (F.col("k.mark") == F.col("r.first.mark")) & (F.col("k.start") < F.col("r.first.start") + F.col("r.first.lines"))))
+    cuts = table(extra.groupBy(F.col("k.id").alias("cut_id"), F.col("k.mark").alias("cut_mark")).agg(F.collect_set(F.struct("k.start", "k.lines", "k.pair")).alias("spans")), "cuts")
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
     cuts = bounded(cuts)
     joined = row.join(cuts, row["id"].eqNullSafe(cuts["cut_id"]) & (row["mark"] == cuts["cut_mark"]), "left")
-    parts = chunks(F.col("t"), divisor)
-    dropped = lambda c: F.array_contains("starts", c["start"])
-    split = F.when(F.col("starts").isNotNull(), let(parts, lambda p: F.struct(F.array_join(F.transform(F.filter(p, lambda c: ~dropped(c)), lambda c: c["text"]), "\n").alias("text"), F.aggregate(F.filter(p, dropped), F.lit(0), lambda a, c: a + c["lines"]).alias("lines"))))
-    out = joined.select("_row", "t", "starts", split.alias("split"))
+    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
+        return let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i - 1)), "\n").alias("text"), (F.size(lines) - F.size(k)).alias("lines")))
+
+    split = F.when(F.col("spans").isNotNull(), let(F.split("t", "\n"), without))
+    out = joined.select("_row", "t", "spans", split.alias("split"))
     return out.select(
         "_row",
-        F.when(F.col("starts").isNull(), F.col("t")).otherwise(F.col("split.text")).alias("cleaned"),
+        F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.col("split.text")).alias("cleaned"),
         F.size(F.split(F.coalesce("t", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        F.coalesce(F.size(F.filter("spans", lambda s: ~s["pair"])), F.lit(0)).cast("long").alias("n_removed_chunks"),
         F.coalesce("split.lines", F.lit(0)).cast("long").alias("n_removed_lines"),
     )

@@ -386,3 +386,36 @@ def test_line_dedup_keeps_the_first_and_shifts_do_no_harm(spark, odd, none):
     assert by[4]["cleaned"] == "alone\nhere" and by[5]["cleaned"] is None and by[6]["cleaned"] == ""
     clean = lines.line_dedup(odd)
     assert clean.count() == len(ROWS) and lines.line_dedup(none).count() == 0
+
+
+def brute_runs(rows):
+    """Lines that are in a pair of worded lines which came before, as (id, line) from 1."""
+    first, gone = {}, set()
+    for i, text in rows:
+        ls = (text or "").split("\n")
+        w = [k for k, x in enumerate(ls) if WORD.search(x)]
+        for a, b in zip(w, w[1:], strict=False):
+            at = first.setdefault(tuple(ls[a : b + 1]), (i, b))
+            if at[0] != i or at[1] < a:
+                gone |= {(i, k) for k in range(a, b + 1)}
+    return gone
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 5, 6])
+def test_line_runs_that_straddle_chunks_are_found(spark, size):
+    rows = []
+    for k in range(30):
+        passage = [f"passage {k} of {size} line {j} with words" for j in range(size)]
+        if k % 3 == 0:
+            passage.insert(1, " ")
+        for copy in range(3):
+            rows.append((k * 3 + copy, "\n".join([f"before {k} {copy} {j}" for j in range(3)] + passage + [f"after {k} {copy} {j}" for j in range(4)])))
+    rows += [(900, "same\nsame\nsame\nsame"), (901, "one\nline\n\none\n\nline")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = brute_runs(rows)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    assert len(gone) >= 60 * size
+    out = {r["doc_id"]: r for r in lines.line_dedup(df).select("_row.doc_id", "cleaned", "n_removed_lines").collect()}
+    assert {i: r["cleaned"] for i, r in out.items()} == want
+    assert sum(r["n_removed_lines"] for r in out.values()) == len(gone)
+    assert out[900]["cleaned"] == "same\nsame" and out[901]["n_removed_lines"] == 0
