@@ -24,6 +24,8 @@ EDGE = 1
 HELD = 1 << 18
 #: n-grams in a profile.
 PROFILE = 400
+#: A text is taken for no learned language below this part of the score that all but FLOOR_SHARE of its own texts reach.
+FLOOR_PART, FLOOR_SHARE = 0.8, 0.001
 
 
 @functools.cache
@@ -73,16 +75,31 @@ def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
 
+def _sampled(labelled: DataFrame, lang_col: str, text_col: str, sample_docs: int) -> DataFrame:
+    """(lang, text) of about ``sample_docs`` whole texts of each language."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    totals = table(rows.groupBy("lang").count(), "languages")
+    chance = (F.xxhash64("text", F.lit("sample")).cast("double") / F.lit(2.0**64)) + 0.5
+    return rows.join(totals, "lang").where(chance * F.col("count") < sample_docs).select("lang", "text")
+
+
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 4000, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, fitted on about ``sample_docs`` whole texts of each language.
 
     Rows are chosen by a hash of the text, so copies count alike; rows with null language or text don't count.
     What returns to the driver is ``size`` codes for each language.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    totals = table(rows.groupBy("lang").count(), "languages")
-    chance = (F.xxhash64("text", F.lit("sample")).cast("double") / F.lit(2.0**64)) + 0.5
-    chosen = rows.join(totals, "lang").where(chance * F.col("count") < sample_docs).select("lang", "text")
+    return _profiles(_sampled(labelled, lang_col, text_col, sample_docs), size)
+
+
+def learn_with_floors(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 4000, size: int = PROFILE) -> tuple[dict[str, list[int]], dict[str, float]]:
+    """What :func:`learn` gives, and the least score with which a text is taken for each language, from one sample."""
+    chosen = table(_sampled(labelled, lang_col, text_col, sample_docs), "language-sample")
+    profiles = _profiles(chosen, size)
+    return profiles, _floors(chosen, profiles, size)
+
+
+def _profiles(chosen: DataFrame, size: int) -> dict[str, list[int]]:
     counts = chosen.mapInArrow(_count_by_language, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= size).collect()
@@ -92,6 +109,13 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     return out
 
 
+def _floors(chosen: DataFrame, profiles: dict[str, list[int]], size: int) -> dict[str, float]:
+    """FLOOR_PART of the score that all but FLOOR_SHARE of a language's rightly told texts reach."""
+    told = identify(chosen, profiles, "text", size, carry=["lang"]).where(F.col("lang") == F.col("_lang"))
+    low = told.groupBy("lang").agg((F.percentile("_score", F.lit(FLOOR_SHARE)) * FLOOR_PART).alias("floor"))
+    return {r["lang"]: r["floor"] for r in low.collect()}  # a row per language
+
+
 class Profiles:
     """Ranks of every profile's n-grams, ready for whole documents."""
 
@@ -145,9 +169,12 @@ def _identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str,
     return wrapped.mapInArrow(run, schema)
 
 
-def keep_languages(docs: DataFrame, profiles: dict[str, list[int]], langs: tuple[str, ...] | None = None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a learned language (or one of ``langs``) with at least ``min_score``."""
+def keep_languages(docs: DataFrame, profiles: dict[str, list[int]], langs: tuple[str, ...] | None = None, min_score: float = 0.0, text_col: str = "text", least: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a learned language (or one of ``langs``) with at least ``min_score`` and the language's score in ``least``."""
     out = _identified(docs, profiles, text_col, PROFILE, docs.columns).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score))
     if langs is not None:
         out = out.where(F.col("_lang").isin(list(langs)))
+    if least:
+        known = F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])
+        out = out.where(F.col("_score") >= F.coalesce(known[F.col("_lang")], F.lit(0.0)))
     return out.select("_row.*")

@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
+import base64
+import random
 import re
 from collections import Counter
 
@@ -59,3 +61,14 @@ def test_stages_by_brute_force(spark, sf_dir):
 def test_run_gives_all_that_the_stages_keep(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "n_tokens", "bin", "bin_offset"] and out.count() > 0
+
+
+def test_language_stage_rejects_what_no_labelled_document_teaches(spark, sf_dir):
+    rng = random.Random(1)
+    keys = " ".join("".join(rng.choice("asdfghjklqwertyuiopzxcvbnm") for _ in range(rng.randint(3, 12))) for _ in range(80))
+    noise = ["Москва является столицей России и крупнейшим городом страны " * 5, "北京是中华人民共和国的首都也是全国的政治中心" * 5, keys, base64.b64encode(rng.randbytes(900)).decode(), rng.randbytes(400).hex(), "asdf jkl; qwer asdfgh zxcv " * 20, "1234 5678"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = spark.createDataFrame([(10**6 + i, t, None, "noise", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf_dir).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert lang.keep_languages(more, {}, least={}).count() == 0
