@@ -76,17 +76,17 @@ def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _sampled(labelled: DataFrame, lang_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """(lang, text) of about ``sample_docs`` whole texts of each language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    totals = table(rows.groupBy("lang").count(), "languages")
-    chance = (F.xxhash64("text", F.lit("sample")).cast("double") / F.lit(2.0**64)) + 0.5
-    return rows.join(totals, "lang").where(chance * F.col("count") < sample_docs).select("lang", "text")
+    """(lang, text) of about ``sample_docs`` distinct whole texts of each language, however often they are copied."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit("sample")).alias("mark"))
+    totals = table(rows.select("lang", "mark").distinct().groupBy("lang").count(), "languages")
+    chance = (F.col("mark").cast("double") / F.lit(2.0**64)) + 0.5
+    return rows.join(totals, "lang").where(chance * F.col("count") < sample_docs).groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 4000, size: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language, fitted on about ``sample_docs`` whole texts of each language.
+    """Profiles by language, fitted on about ``sample_docs`` distinct whole texts of each language.
 
-    Rows are chosen by a hash of the text, so copies count alike; rows with null language or text don't count.
+    Texts are chosen by their hash and copies count once; rows with null language or text don't count.
     What returns to the driver is ``size`` codes for each language.
     """
     return _profiles(_sampled(labelled, lang_col, text_col, sample_docs), size)

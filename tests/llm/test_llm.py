@@ -318,6 +318,16 @@ def test_language_id_learns_from_the_rest_only(spark, sf_dir, odd, none):
     assert lang.learn(none) == {} and lang.identify(odd, {}).where("_lang <> 'und'").count() == 0 and lang.keep_languages(none, profiles).count() == 0
 
 
+def test_language_sample_takes_a_copied_text_once(spark):
+    texts = spark.createDataFrame([(long_text(i, 5),) for i in range(2000)], "text string")
+    hot = texts.orderBy(F.xxhash64("text", F.lit("sample"))).first()["text"]  # the likeliest to be chosen
+    rows = [("aa", hot)] * 1000 + [("aa", f"{long_text(1000 + i, 5)} {i}") for i in range(1000)]
+    got = [r["text"] for r in lang._sampled(spark.createDataFrame(rows, "lang string, text string").repartition(4), "lang", "text", 20).collect()]
+    assert len(got) == len(set(got)) and len(got) < 60
+    few = spark.createDataFrame([("aa", "xyx")] * 50 + [("aa", "qq q"), ("aa", "qq")], "lang string, text string")
+    assert lang.learn(few)["aa"][0] == ord("q")
+
+
 def test_ngrams_by_hand():
     codes, counts = lang.ngrams("Ab, a!")
     a, b, e = ord("a"), ord("b"), lang.EDGE
