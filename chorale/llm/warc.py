@@ -26,8 +26,6 @@ from chorale.llm.shared import bounded, new_path, table
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 16
-#: Longest header block that is looked at.
-MAX_HEADERS = 1 << 16
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -150,7 +148,7 @@ def read_member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] |
     except zlib.error:
         return None
     end, data = spot - len(unpacker.unused_data), b"".join(parts)
-    split = data.find(b"\r\n\r\n", 0, MAX_HEADERS)
+    split = data.find(b"\r\n\r\n")
     headers = parse_headers(data[:split]) if split > 0 else {}
     if not headers.get("content-length", "").isdigit():
         return None
@@ -244,6 +242,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("uri"), F.col(html_col).alias("body"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     records = with_revisits(slim, "id", "body", min_bytes).select(urn(F.col("id")).alias("record_id"), F.col("uri").alias("target_uri"), F.col("body").cast("binary").alias("payload"), F.when(F.col("first_id").isNotNull(), urn(F.col("first_id"))).alias("refers_to"))
-    back = read_warc(write_warc(records), split_bytes, with_payload=False)
+    files = write_warc(records)
+    back = table(read_warc(files, split_bytes, with_payload=False), "warc-records")
+    written, found = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], back.count()
+    if written != found:
+        raise ValueError(f"{written} records were written and {found} read back")
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS {dict(slim.dtypes)['id']})")
     return back.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -269,6 +269,12 @@ def test_warc_round_trip(spark, split):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_pages_with_very_long_urls(spark):
+    rows = [(1, "data:text/html," + "a1" * 60_000, "same"), (2, "http://a/?" + "q" * 70_000, "same"), (3, "http://b", "other")]
+    out = {r["page_id"]: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sorted(out) == [1, 2, 3] and out[1]["record_type"] == "response" and out[2]["refers_to"] == 1
+
+
 def test_ranges_own_every_record_once(tmp_path):
     import pyarrow.fs as pafs
 
