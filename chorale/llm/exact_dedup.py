@@ -1,16 +1,18 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
 Every row is reduced to a 64-bit key and a SHA-256 fingerprint of its normalised text. Distinct
-(key, fingerprint) entries, already summed per fingerprint on the map side, form the index. A directory
-addressed by the leading bits of the key starts with one bucket and doubles whenever an overfull bucket
-sits at the directory's depth; each bucket becomes one group of index files, owned by the task that
-received its key range. Entries that share a key but not a fingerprint are chained. Entries with more
-than one row are compared byte by byte before they count as copies.
+(key, fingerprint) entries, so that a hot text is one of them, form the index. A directory addressed by the
+leading bits of the key starts with one bucket and doubles whenever an overfull bucket sits at the
+directory's depth; a bucket is a folder of files for the range of keys that it owns. The texts of entries
+with several rows, one row for each different text, are dealt to the same buckets. The task that owns a
+bucket follows the chain of every key, compares the bytes and says which rows are copies: nothing counts as
+a copy but by its verdict.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,16 +58,45 @@ def grow_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_D
     return global_depth, sorted(done, key=lambda b: b[0] << (max_depth - b[1]))
 
 
-def build_index(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Write entries (key, ...) into bucket files; adds bucket and chain (position among equal keys)."""
-    spark = entries.sparkSession
+@dataclass(frozen=True)
+class Directory:
+    """Which bucket owns the keys that begin with each pattern of ``depth`` bits; a slot is a pattern."""
+
+    depth: int
+    slots: DataFrame
+
+    def deal(self, entries: DataFrame) -> DataFrame:
+        """``entries`` with the bucket that owns their key; the directory has 2 ** MAX_DEPTH slots at most."""
+        return entries.withColumn("slot", _prefix(F.col("key"), self.depth)).join(F.broadcast(self.slots), "slot").drop("slot")
+
+
+def build_directory(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> Directory:
     histogram = entries.groupBy(_prefix(F.col("key"), max_depth).alias("prefix")).count().collect()
     depth, buckets = grow_directory({r["prefix"]: r["count"] for r in histogram}, capacity, max_depth)
     slots = [(slot, number) for number, (prefix, local, _) in enumerate(buckets) for slot in range(prefix << (depth - local), (prefix + 1) << (depth - local))]
-    directory = spark.createDataFrame(slots, "slot long, bucket int")
-    owned = entries.withColumn("slot", _prefix(F.col("key"), depth)).join(F.broadcast(directory), "slot").drop("slot")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("fingerprint")) - 1
-    return table(owned.repartition("bucket").withColumn("chain", chain), "index", ["bucket"])
+    return Directory(depth, entries.sparkSession.createDataFrame(slots, "slot long, bucket int"))
+
+
+def bucket_files(directory: Directory, entries: DataFrame, name: str) -> DataFrame:
+    """Write ``entries`` into one folder of files for each bucket."""
+    return table(directory.deal(entries).repartition("bucket"), name, ["bucket"])
+
+
+def owners(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """What the owner of each bucket finds along its chains: a link for every different text.
+
+    ``index`` has the bucket files of entries and ``texts`` those of the texts of entries with several rows.
+    Returns (key, fingerprint, link, norm, keep_id, keep_row, n): ``link`` is the place of a text among those
+    of equal key; ``norm`` is null unless texts of one entry differ, in which case keep_row is null.
+    """
+    asked = index.where("n > 1").select("bucket", "key", "fingerprint", "n", "first_row", F.lit(None).cast("string").alias("norm"), F.lit(None).alias("id"))
+    found = texts.select("bucket", "key", "fingerprint", "n", F.lit(None).cast("long").alias("first_row"), "norm", F.col("first.id").alias("id"))
+    owned = asked.withColumn("id", F.col("id").cast(dict(found.dtypes)["id"])).unionByName(found).repartition("bucket")
+    entry = Window.partitionBy("bucket", "key", "fingerprint")
+    chain = Window.partitionBy("bucket", "key").orderBy("fingerprint", "norm")
+    told = owned.withColumns({"texts": F.count("norm").over(entry), "keep_row": F.max("first_row").over(entry)}).where("norm IS NOT NULL")
+    alone = F.col("texts") == 1
+    return told.select("key", "fingerprint", (F.row_number().over(chain) - 1).alias("link"), F.when(~alone, F.col("norm")).alias("norm"), F.col("id").alias("keep_id"), F.when(alone, F.col("keep_row")).alias("keep_row"), "n")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, max_depth: int = MAX_DEPTH, normalise: Callable[[Column], Column] = squeezed, key: Callable[[Column], Column] = _key64, fingerprint: Callable[[Column], Column] = _sha256) -> DataFrame:
@@ -75,23 +106,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids last; of rows that repeat the same id and text exactly one is kept. An empty table gives an
     empty result; other columns of ``docs`` are not looked at, whatever their names.
     """
-    text = normalise(F.col(text_col))
-    slim = docs.select(F.col(id_col).alias("id"), text.alias("norm"))
-    keyed = slim.select("id", key(F.col("norm")).cast("long").alias("key"), fingerprint(F.col("norm")).alias("fingerprint"))
-    rows = table(keyed.withColumn("row", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    entries = rows.groupBy("key", "fingerprint").agg(first, F.count("*").alias("n"))
-    index = build_index(table(entries, "entries"), capacity, max_depth)
-
-    repeated = table(index.where("n > 1").select("key", "fingerprint", "n", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")), "repeated")
-    again = slim.withColumns({"key": key(F.col("norm")).cast("long"), "fingerprint": fingerprint(F.col("norm"))})
-    compared = again.join(bounded(repeated.select("key")), "key", "left_semi").groupBy("key", "fingerprint", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first"), F.count("*").alias("n"))
-    clashes = table(compared.groupBy("key", "fingerprint").agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
-
-    equal = repeated
-    if not is_empty(clashes):
-        equal = repeated.join(clashes, ["key", "fingerprint"], "left_anti")
-    joined = rows.join(equal, ["key", "fingerprint"], "left")
+    slim = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm"))
+    marks = {"key": key(F.col("norm")).cast("long"), "fingerprint": fingerprint(F.col("norm"))}
+    rows = table(slim.withColumns(marks).select("id", "key", "fingerprint", F.monotonically_increasing_id().alias("row")), "rows")
+    least = F.struct(F.col("id").isNull().alias("no_id"), "id")
+    entries = table(rows.groupBy("key", "fingerprint").agg(F.min_by("row", F.struct(least.alias("least"), "row")).alias("first_row"), F.count("*").alias("n")), "entries")
+    directory = build_directory(entries, capacity, max_depth)
+    index = bucket_files(directory, entries, "index")
+
+    open_keys = bounded(table(index.where("n > 1").select("key").distinct(), "open-keys"))
+    again = slim.withColumns(marks).join(open_keys, "key", "left_semi")
+    texts = bucket_files(directory, again.groupBy("key", "fingerprint", "norm").agg(F.min(least).alias("first"), F.count("*").alias("n")), "texts")
+    links = table(owners(index, texts), "links")
+
+    one = bounded(links.where("norm IS NULL").drop("norm", "link"))
+    joined = rows.join(one, ["key", "fingerprint"], "left")
     out = joined.select(
         "id",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -99,18 +128,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         "fingerprint", "key",
     )
+    clashes = links.where("norm IS NOT NULL").drop("keep_row")
     if not is_empty(clashes):
-        out = out.join(clashes.select("key", "fingerprint"), ["key", "fingerprint"], "left_anti").unionByName(_by_bytes(again, clashes))
+        collided = ["key", "fingerprint"]
+        out = out.join(clashes.select(*collided).distinct(), collided, "left_anti").unionByName(_along_chains(again, clashes))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "fingerprint")
 
 
-def _by_bytes(again: DataFrame, clashes: DataFrame) -> DataFrame:
-    """Groups by the text itself, for the chains whose fingerprints collide."""
-    rows = table(again.join(clashes, ["key", "fingerprint"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "collided")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    groups = table(rows.groupBy("key", "norm").agg(first, F.count("*").alias("group_size")), "chains")
-    joined = rows.join(groups, ["key", "norm"])
-    return joined.select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "fingerprint", "key")
+def _along_chains(again: DataFrame, clashes: DataFrame) -> DataFrame:
+    """The rows whose fingerprints collide, each at the link with its own text."""
+    link = ["key", "fingerprint", "norm"]
+    rows = table(again.join(clashes, link).withColumn("row", F.monotonically_increasing_id()).drop("norm"), "collided")
+    first = rows.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key", "link").agg(F.min("row").alias("first_row"))
+    return rows.join(table(first, "chain-heads"), ["key", "link"]).select("id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("first_row")).alias("kept"), "fingerprint", "key")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -83,6 +83,19 @@ def test_exact_dedup_collisions_are_told_apart_by_bytes(spark, odd):
     assert weak.where("kept").count() == exact.exact_dedup(odd).where("kept").count()
 
 
+def test_owners_follow_chains_and_decide(spark, odd, monkeypatch):
+    seen = []
+    plain = exact.owners
+    monkeypatch.setattr(exact, "owners", lambda index, texts: seen.append((index, texts)) or plain(index, texts))
+    exact.exact_dedup(odd, capacity=1, max_depth=4, key=lambda t: F.length(t) % 3)
+    index, texts = seen[0]
+    links = plain(index, texts).collect()
+    assert index.select("bucket").distinct().count() > 1 and texts.join(index.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti").count() == 0
+    assert all(r["norm"] is None and r["keep_row"] is not None and r["n"] > 1 for r in links) and len({(r["key"], r["link"]) for r in links}) == len(links)
+    monkeypatch.setattr(exact, "owners", lambda index, texts: plain(index, texts).limit(0))  # without their verdicts nothing is a copy
+    assert exact.exact_dedup(odd).where("NOT kept").count() == 0
+
+
 def test_directory_doubles_where_it_must():
     depth, buckets = exact.grow_directory({0: 5, 1: 5, 15: 1}, capacity=6, max_depth=4)
     assert depth == 4 and sum(n for _, _, n in buckets) == 11
