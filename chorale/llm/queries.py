@@ -29,9 +29,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_cascade(_read(spark, sf_dir, "documents"), keep_stats=True)
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = quality_cascade(_read(spark, sf_dir, "documents"), keep_stats=shown)
     base_failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("_kept").alias("kept"))
+    return docs.select("doc_id", *shown, base_failed.alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

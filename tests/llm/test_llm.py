@@ -87,7 +87,7 @@ def test_owners_follow_chains_and_decide(spark, odd, monkeypatch):
     seen = []
     plain = exact.owners
     monkeypatch.setattr(exact, "owners", lambda index, texts: seen.append((index, texts)) or plain(index, texts))
-    exact.exact_dedup(odd, capacity=1, max_depth=4, key=lambda t: F.length(t) % 3)
+    exact.exact_dedup(odd, capacity=1, max_depth=4)
     index, texts = seen[0]
     links = plain(index, texts).collect()
     assert index.select("bucket").distinct().count() > 1 and texts.join(index.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti").count() == 0
@@ -125,9 +125,26 @@ def test_quality_keeps_columns_and_does_not_depend_on_order(spark, odd, none):
     forward, back = (sorted(r["doc_id"] or 0 for r in quality.quality_cascade(odd, rules=r).where("_kept").collect()) for r in (quality.RULES, quality.RULES[::-1]))
     assert forward == back == sorted(r["doc_id"] or 0 for r in kept.collect())
     assert quality.keep_quality(none).count() == 0
-    ordered = quality.order_rules(odd.select(F.coalesce("text", F.lit("")).alias("t")))
-    gains = [r.rejects / r.cost for r in ordered]
-    assert gains == sorted(gains, reverse=True) and {r.name for r in ordered} == {r.name for r in quality.RULES}
+    assert quality.quality_cascade(odd, keep_stats=("n_words",)).where("n_words IS NULL").count() == 0
+
+
+def test_rules_are_ordered_by_evidence_that_repeats(spark):
+    texts = [long_text(i) for i in range(60)] + ["# " * 60] * 40 + ["SHOUT " * 60 + long_text(0)] * 3 + ["short"] * 30 + ["no words at all here"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    orders = [quality.order_rules(d) for d in (df, df.repartition(3), df.orderBy("t"))]
+    assert orders[0] == orders[1] == orders[2] and {r.name for r in orders[0]} == {r.name for r in quality.RULES}
+    assert sum(r.rejects for r in orders[0]) <= 1 and orders[0][0].rejects > 0  # each rejection counts for the first rule that makes it
+    alone = {r.name: quality.order_rules(df, (r,))[0] for r in quality.RULES}
+    assert orders[0][0] == max(alone.values(), key=lambda r: r.rejects / r.cost)
+    later = [r for r in orders[0][1:] if "words" in r.stats and "words" in orders[0][0].stats]
+    assert later and all(r.cost < alone[r.name].cost for r in later)  # words are charged once
+    assert quality.order_rules(df.limit(0)) == quality.RULES
+
+
+def test_later_statistics_are_not_computed_for_rejected_rows(spark):
+    df = spark.createDataFrame([("short",), (long_text(1),)], "t string")
+    out = quality._cascade(df, quality.RULES, ("n_words",)).collect()
+    assert [(r["n_words"], r["n_upper"], r["_failed"]) for r in out] == [(1, None, "too_few_words"), (80, 0, None)]
 
 
 # sharding
