@@ -1,10 +1,12 @@
 """WARC archives: one gzip member for each record, written by tasks and read back by byte ranges.
 
 A reading task is given a byte range. It scans it for gzip magic, takes a candidate for a member only if
-its first bytes decode to WARC headers, its whole stream decodes with a right checksum, its block has the
-length that the headers say, and another member or the end of the file follows; it owns the records that
-start inside its range, wherever they end. Files are reached through pyarrow's filesystems, so ranges of
-local, HDFS and object-store files are read without the rest of the file.
+its first bytes decode to WARC headers, its whole stream decodes with a right checksum and its block has the
+length that the headers say; it owns the records that start inside its range, wherever they end. What
+follows a record does not matter, so a damaged one costs none of its neighbours. A range may begin inside a
+record that itself holds whole records; those are told by the record around them, which reaches over the
+range's start, and left out. Members are decoded in steps of bounded size. Files are reached through
+pyarrow's filesystems, so ranges of local, HDFS and object-store files are read without the rest of the file.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,7 +32,7 @@ STEP = 1 << 16
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "path string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+RECORD = "path string, offset long, end long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -49,13 +52,9 @@ def record_bytes(record_id: str, uri: str, payload: bytes, digest: str, refers_t
 
 
 def gzip_member(data: bytes) -> bytes:
-    """One gzip member whose body does not itself contain the magic, as far as some level avoids it."""
-    for level in (6, 7, 8, 9, 5, 4, 3, 2, 1):
-        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-        out = packer.compress(data) + packer.flush()
-        if out.find(MAGIC, 1) < 0:
-            break
-    return out
+    """One gzip member."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
 
 
 def write_warc(records: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 28) -> DataFrame:
@@ -119,13 +118,36 @@ class _Window:
 
 
 def _begins_record(window: _Window, at: int) -> bool:
-    """Whether the bytes at ``at`` decode to the start of a WARC record."""
+    """Whether the bytes at ``at`` decode to the start of a WARC record, however long the gzip header is."""
     if window.read(at, 3) != MAGIC:
         return False
+    unpacker, out, fed = zlib.decompressobj(31), b"", 512
     try:
-        return zlib.decompressobj(31).decompress(window.read(at, 512), 64).startswith(b"WARC/1.")
+        while len(out) < 5 and not unpacker.eof:
+            data = window.read(at, fed)
+            if not data:
+                return False
+            out += unpacker.decompress(unpacker.unconsumed_tail + data, 64)
+            at, fed = at + len(data), STEP
     except zlib.error:
         return False
+    return out.startswith(b"WARC/")
+
+
+def _inflate(window: _Window, at: int) -> Iterator[tuple[bytes, int]]:
+    """The decoded bytes of the member at ``at`` in steps, each with the place where the member ends, -1 until that is known; ValueError if it is cut off."""
+    unpacker = zlib.decompressobj(31)
+    while not unpacker.eof:
+        fed = window.read(at, STEP)
+        if not fed:
+            raise ValueError("the file ends inside a member")
+        at += len(fed)
+        while True:
+            out = unpacker.decompress(fed, 16 * STEP)
+            yield out, at - len(unpacker.unused_data) if unpacker.eof else -1
+            fed = unpacker.unconsumed_tail
+            if unpacker.eof or not fed and len(out) < 16 * STEP:
+                break
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -133,41 +155,76 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def read_member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the record at ``at``; None if there is no whole valid member."""
+class _Head:
+    """Collects bytes up to an empty line; ``rest`` is what came after it."""
+
+    def __init__(self) -> None:
+        self.data, self.rest, self.done = bytearray(), b"", False
+
+    def feed(self, data: bytes) -> None:
+        seen = max(0, len(self.data) - 3)
+        self.data += data
+        at = self.data.find(b"\r\n\r\n", seen)
+        if at >= 0:
+            self.rest, self.done = bytes(self.data[at + 4 :]), True
+            del self.data[at:]
+
+
+@dataclass
+class Record:
+    """A valid record: its headers, where it ends, and the size, digest and (if asked for) bytes of its payload."""
+
+    headers: dict[str, str]
+    end: int
+    http: bytes
+    size: int
+    digest: str
+    payload: bytes | None
+
+
+def read_member(window: _Window, at: int, with_payload: bool = True) -> Record | None:
+    """The record at ``at``; None if there is no whole valid member. Without the payload a record of any size takes bounded memory."""
     if not _begins_record(window, at):
         return None
-    unpacker, parts, spot = zlib.decompressobj(31), [], at
+    head, http, sha, kept, size, left, tail, end = _Head(), _Head(), hashlib.sha1(), [], 0, None, b"", -1
+    headers: dict[str, str] = {}
     try:
-        while not unpacker.eof:
-            fed = window.read(spot, STEP)
-            if not fed:
+        for data, end in _inflate(window, at):
+            if not head.done:
+                head.feed(data)
+                if not head.done:
+                    continue
+                headers, data = parse_headers(bytes(head.data)), head.rest
+                if not headers.get("content-length", "").isdigit():
+                    return None
+                left = int(headers["content-length"])
+                http.done = not headers.get("content-type", "application/http").startswith("application/http")
+            block, after = data[:left], data[left:]
+            left, tail = left - len(block), tail + after
+            if len(tail) > 4:
                 return None
-            parts.append(unpacker.decompress(fed))
-            spot += len(fed)
-    except zlib.error:
-        return None
-    end, data = spot - len(unpacker.unused_data), b"".join(parts)
-    split = data.find(b"\r\n\r\n")
-    headers = parse_headers(data[:split]) if split > 0 else {}
-    if not headers.get("content-length", "").isdigit():
+            if not http.done:
+                http.feed(block)
+                block = http.rest if http.done else b""
+            sha.update(block)
+            size += len(block)
+            if with_payload:
+                kept.append(block)
+    except (zlib.error, ValueError):
         return None
-    block = data[split + 4 :]
-    if len(block) != int(headers["content-length"]) + 4 or not block.endswith(b"\r\n\r\n"):
+    if left != 0 or tail != b"\r\n\r\n":
         return None
-    if end < window.length and not _begins_record(window, end) and window.read(end, 1) != b"\0":
-        return None
-    return headers, block[:-4], end
+    return Record(headers, end, bytes(http.data), size, base64.b32encode(sha.digest()).decode(), b"".join(kept) if with_payload else None)
 
 
-def scan_range(window: _Window, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def scan_range(window: _Window, start: int, stop: int, with_payload: bool = True) -> Iterator[tuple[int, Record]]:
     """The records that begin in [start, stop)."""
     at = start
     while at < stop:
-        got = read_member(window, at)
+        got = read_member(window, at, with_payload)
         if got:
-            yield at, got[0], got[1]
-            at = got[2]
+            yield at, got
+            at = got.end
             continue
         at += 1
         while at < stop:
@@ -178,46 +235,80 @@ def scan_range(window: _Window, start: int, stop: int) -> Iterator[tuple[int, di
             at += STEP - len(MAGIC) + 1
 
 
-def _row(path: str, at: int, headers: dict[str, str], block: bytes) -> tuple:
-    """Columns of RECORD; length and digest of a response are taken from the payload itself."""
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = headers.get("warc-type", "")
-    if kind == RESPONSE:
-        size, digest = len(payload), base32_sha1(payload)
-    else:
-        length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+def _row(path: str, at: int, record: Record) -> tuple:
+    """Columns of RECORD; length and digest are taken from the payload itself, of a revisit from its headers."""
+    headers = record.headers
+    kind, size, digest = headers.get("warc-type", ""), record.size, record.digest
+    if kind == REVISIT:
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", record.http)
         size, digest = int(length[1]) if length else 0, headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    return (path, at, headers.get("warc-record-id", "").strip("<>"), kind, headers.get("warc-target-uri", ""), headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None, digest, size, payload)
+    return (path, at, record.end, headers.get("warc-record-id", "").strip("<>"), kind, headers.get("warc-target-uri", ""), headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None, digest, size, record.payload)
+
+
+SCHEMA = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + len(row[-1] or b"")
+        if size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records at known places (path, length, offset)."""
+
+    def rows() -> Iterator[tuple]:
+        name, file = None, None
+        for batch in batches:
+            for path, length, at in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if path != name:
+                    filesystem, inside = pafs.FileSystem.from_uri(path)
+                    name, file = path, filesystem.open_input_file(inside)
+                    window = _Window(file, length)
+                yield _row(path, at, read_member(window, at))
+
+    yield from _batches(rows())
 
 
 def read_warc(files: DataFrame, split_bytes: int = 1 << 25, with_payload: bool = True) -> DataFrame:
-    """All records of ``files`` (path, length), see RECORD; bytes that belong to no valid record are passed over."""
+    """All records of ``files`` (path, length), see RECORD; bytes that belong to no valid record are passed over.
+
+    Records inside the payload of a valid record are not records of the file. Records of any length are
+    read; only with payloads does a task hold a whole one. No files, or empty ones, give an empty result.
+    """
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = table(ranges.where("length > 0"), "ranges")
     tasks = max(1, min(ranges.count(), 100_000))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-        for batch in batches:
-            for path, length, start in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                filesystem, name = pafs.FileSystem.from_uri(path)
-                rows, held = [], 0
-                with filesystem.open_input_file(name) as file:
-                    for at, headers, block in scan_range(_Window(file, length), start, min(start + split_bytes, length)):
-                        row = _row(path, at, headers, block)
-                        rows.append(row if with_payload else (*row[:-1], None))
-                        held += len(block) if with_payload else 64
-                        if held > 1 << 22:
-                            yield batch_of(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield batch_of(rows)
-
-    return ranges.repartition(tasks, "path", "start").mapInArrow(run, RECORD)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for path, length, start in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                    filesystem, name = pafs.FileSystem.from_uri(path)
+                    with filesystem.open_input_file(name) as file:
+                        for at, record in scan_range(_Window(file, length), start, min(start + split_bytes, length), with_payload=False):
+                            yield _row(path, at, record)
+
+        yield from _batches(rows())
+
+    found = table(ranges.repartition(tasks, "path", "start").mapInArrow(scan, RECORD), "warc-records")
+    part = F.floor(F.col("offset") / split_bytes)
+    over = found.where(F.floor((F.col("end") - 1) / split_bytes) > part)  # a record at most for each range
+    covers = over.select("path", F.col("offset").alias("o"), F.col("end").alias("e"), F.explode(F.sequence(part + 1, F.floor((F.col("end") - 1) / split_bytes))).alias("part"))
+    covers = bounded(table(covers, "covers"))
+    numbered = found.withColumn("part", part)
+    inner = (numbered["path"] == covers["path"]) & (numbered["part"] == covers["part"]) & (numbered["offset"] > F.col("o")) & (numbered["offset"] < F.col("e"))
+    own = numbered.join(covers, inner, "left_anti").drop("part")
+    if not with_payload:
+        return own
+    places = own.join(files.select("path", "length"), "path").select("path", "length", "offset", part.alias("part"))
+    return places.repartition(tasks, "path", "part").sortWithinPartitions("path", "offset").select("path", "length", "offset").mapInArrow(_fetch, RECORD)
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
@@ -240,12 +331,14 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     response are responses themselves. An empty table gives an empty result.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("uri"), F.col(html_col).alias("body"))
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
+    kind = dict(slim.dtypes)["id"]
+    # no id has the second form: a colon in one is escaped
+    urn = lambda c: F.when(c.isNull(), F.lit("urn:page::null")).otherwise(F.concat(F.lit("urn:page:"), F.url_encode(c.cast("string"))))
     records = with_revisits(slim, "id", "body", min_bytes).select(urn(F.col("id")).alias("record_id"), F.col("uri").alias("target_uri"), F.col("body").cast("binary").alias("payload"), F.when(F.col("first_id").isNotNull(), urn(F.col("first_id"))).alias("refers_to"))
     files = write_warc(records)
-    back = table(read_warc(files, split_bytes, with_payload=False), "warc-records")
+    back = table(read_warc(files, split_bytes, with_payload=False), "warc-pages")
     written, found = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], back.count()
     if written != found:
         raise ValueError(f"{written} records were written and {found} read back")
-    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS {dict(slim.dtypes)['id']})")
-    return back.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    ident = lambda c: F.when(F.col(c) != "urn:page::null", F.url_decode(F.substring(c, 10, 1 << 30)).cast(kind))
+    return back.select(ident("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", ident("refers_to").alias("refers_to"))

@@ -305,20 +305,50 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     assert sorted(out) == [1, 2, 3] and out[1]["record_type"] == "response" and out[2]["refers_to"] == 1
 
 
-def test_ranges_own_every_record_once(tmp_path):
-    import pyarrow.fs as pafs
-
-    inner = warc.gzip_member(warc.record_bytes("urn:page:9", "u", b"inner", warc.base32_sha1(b"inner"), None, "2024-01-01T00:00:00Z"))
-    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
-    nested = warc.record_bytes("urn:page:2", "u", inner, warc.base32_sha1(inner), None, "2024-01-01T00:00:00Z")
-    members = [warc.gzip_member(warc.record_bytes(f"urn:page:{i}", "u", bytes([i]) * 50 * i, "D", None, "2024-01-01T00:00:00Z")) for i in (1, 3)]
-    data = members[0] + stored.compress(nested) + stored.flush() + b"\0\0" + members[1]
-    path = tmp_path / "x.warc.gz"
+def record(number, payload):
+    return warc.record_bytes(f"urn:page:{number}", "u", payload, warc.base32_sha1(payload), None, "2024-01-01T00:00:00Z")
+
+
+def stored_member(data):
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def read_back(spark, tmp_path, data, step, with_payload=False):
+    path = tmp_path / f"x{step}.warc.gz"
     path.write_bytes(data)
-    for step in (1, 7, 50, 10_000):
-        with pafs.LocalFileSystem().open_input_file(str(path)) as f:
-            found = [h["warc-record-id"] for s in range(0, len(data), step) for _, h, _ in warc.scan_range(warc._Window(f, len(data)), s, min(s + step, len(data)))]
-        assert found == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"], step
+    files = spark.createDataFrame([(f"file://{path}", len(data))], "path string, length long")
+    return warc.read_warc(files, step, with_payload).orderBy("offset").collect()
+
+
+@pytest.mark.parametrize("step", [97, 1 << 25])
+def test_ranges_own_every_record_once(spark, tmp_path, step):
+    inner = warc.gzip_member(record(9, b"inner"))
+    long_name = MAGIC_NAME + warc.gzip_member(record(4, b"named"))[10:]
+    damaged = bytearray(warc.gzip_member(record(5, b"damaged" * 40)))
+    damaged[-20] ^= 255
+    parts = [warc.gzip_member(record(1, b"one" * 50)), stored_member(record(2, inner * 3)), b"\0\0", long_name, bytes(damaged), warc.gzip_member(record(3, b"three" * 99)), b"rubbish" * 30, warc.gzip_member(record(6, b""))]
+    out = read_back(spark, tmp_path, b"".join(parts), step, with_payload=True)
+    assert [r["record_id"] for r in out] == [f"urn:page:{i}" for i in (1, 2, 4, 3, 6)]
+    assert [bytes(r["payload"]) for r in out] == [b"one" * 50, inner * 3, b"named", b"three" * 99, b""]
+    assert all(r["payload_digest"] == warc.base32_sha1(bytes(r["payload"])) and r["payload_bytes"] == len(r["payload"]) for r in out)
+
+
+#: A gzip header with a file name of 70,000 bytes.
+MAGIC_NAME = b"\x1f\x8b\x08\x08\0\0\0\0\0\xff" + b"n" * 70_000 + b"\0"
+
+
+def test_warc_ids_of_any_type_and_clashing_columns(spark):
+    rows = [("a:1", "http://a", "same"), ("b 2/%", "http://b", "same"), (None, "http://c", "same"), ("null", None, "x" * 50)]
+    df = spark.createDataFrame([(*r, "p", "q", "r", "s") for r in rows], "page_id string, url string, html string, payload string, id string, record_id string, `a.b` string")
+    out = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_pages(df).collect()}
+    assert out == {"a:1": ("response", None), "b 2/%": ("revisit", "a:1"), None: ("revisit", "a:1"), "null": ("response", None)}
+
+
+def test_records_longer_than_a_split_take_bounded_steps(spark, tmp_path):
+    big = np.random.default_rng(0).bytes(3_000_000)
+    out = read_back(spark, tmp_path, warc.gzip_member(record(1, big)) + warc.gzip_member(record(2, b"small")), 1 << 18)
+    assert [(r["record_id"], r["payload_bytes"], r["payload_digest"]) for r in out] == [("urn:page:1", len(big), warc.base32_sha1(big)), ("urn:page:2", 5, warc.base32_sha1(b"small"))]
 
 
 # URLs
