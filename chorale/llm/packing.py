@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import n_words, squeezed, table
+from chorale.llm.shared import n_words, numbered_copies, squeezed, table
 
 #: A source, cluster or pair of them with this part of a pack's pieces has an order of its own.
 FREQUENT = 0.01
@@ -103,19 +103,20 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id"
 
     Every document has a piece, those without words (null or empty texts too) one of no tokens. Equal texts
     after squeezing white space are one duplicate cluster. A null source conflicts with no other. Null and
-    repeated ids are rows like any other; an empty table gives an empty result.
+    repeated ids are rows like any other; an empty table gives an empty result. Pieces are dealt and ordered
+    by what they are, so a table gives the same windows however it is partitioned.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(squeezed(F.col(text_col))).alias("cluster"), n_words(F.col(text_col)).alias("total"))
-    cut = slim.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int"))))
-    pieces = table(cut.select("id", "source", "cluster", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.col("total") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int").alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "pieces")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("mark"), F.xxhash64(squeezed(F.col(text_col))).alias("cluster"), n_words(F.col(text_col)).alias("total"))
+    cut = numbered_copies(slim).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int"))))
+    pieces = table(cut.select("id", "source", "mark", "cluster", "copy", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.col("total") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int").alias("n_tokens")), "pieces")
     packs = max(1, -(-pieces.count() // pack_rows))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "cluster", "source", "id", "row"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "cluster", "source", "id", "mark", "piece", "copy"], ascending=[False, *[True] * 6], kind="stable", ignore_index=True)
         windows, offsets = best_fit(pdf["n_tokens"].tolist(), _codes(pdf["source"], False), _codes(pdf["cluster"], True), capacity)
         base = int(pdf["pack"].iloc[0]) << 32
         return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "n_tokens": pdf["n_tokens"].astype("int64"), "bin": np.array(windows, dtype="int64") + base, "bin_offset": np.array(offsets, dtype="int64")})
 
     id_type = dict(slim.dtypes)["id"]
-    out = pieces.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(packs))).groupBy("pack").applyInPandas(pack, f"id {id_type}, piece int, start long, n_tokens long, bin long, bin_offset long")
+    out = pieces.withColumn("pack", F.pmod(F.xxhash64("id", "source", "mark", "piece", "copy"), F.lit(packs))).groupBy("pack").applyInPandas(pack, f"id {id_type}, piece int, start long, n_tokens long, bin long, bin_offset long")
     return out.withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import n_words, table
+from chorale.llm.shared import n_words, numbered_copies, table
 
 DIMENSIONS = ("bytes", "tokens", "rows")
 #: An item is heavy above this part of a shard; so there are at most 3 * 64 * n_shards heavy items.
@@ -46,10 +46,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in every shard).
 
     A null text counts as empty: 8 bytes, no tokens, CRC 0. Null and repeated ids are rows like any other.
-    An empty table gives an empty result; other columns of ``docs`` are not looked at.
+    An empty table gives an empty result; other columns of ``docs`` are not looked at. Shards and slots follow
+    from ids and texts alone, however the table is partitioned.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = table(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"), n_words(text).alias("tokens"), F.sha2(text, 256).alias("key")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = table(numbered_copies(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"), n_words(text).alias("tokens"), F.sha2(text, 256).alias("key"))), "rows")
     sums = (F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     groups = table(rows.groupBy("key").agg(*sums), "groups")
     total = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first().asDict()
@@ -57,7 +58,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     share = F.greatest(*[F.col(d) * n_shards / float(max(total[d], 1)) for d in DIMENSIONS])
     sized = groups.withColumn("share", share)
     splits = table(sized.where("share > 1").select("key", F.ceil("share").cast("int").alias("pieces")), "splits")
-    dealt = rows.join(F.broadcast(splits), "key", "left").withColumn("piece", F.coalesce(F.expr("CAST(pmod(xxhash64(id, row), pieces) AS INT)"), F.lit(0)))  # at most 3 * n_shards splits
+    dealt = rows.join(F.broadcast(splits), "key", "left").withColumn("piece", F.coalesce(F.expr("CAST(pmod(xxhash64(id, copy), pieces) AS INT)"), F.lit(0)))  # at most 3 * n_shards splits
     whole = sized.where("share <= 1").select("key", F.lit(0).alias("piece"), *DIMENSIONS, "share")
     pieces = dealt.where("pieces IS NOT NULL").groupBy("key", "piece").agg(*sums).withColumn("share", share)
     items = table(whole.unionByName(pieces), "items")
@@ -83,9 +84,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     placed = table(placed, "placed")
 
     ranges = min(MAX_RANGES, max(16, -(-total["rows"] // 250_000)))
-    number = table(dealt.join(placed, ["key", "piece"]).select("id", "size", "crc", "shard", "row", F.pmod(F.xxhash64("id", "row"), F.lit(ranges)).cast("int").alias("part")), "sharded")
+    number = table(dealt.join(placed, ["key", "piece"]).select("id", "size", "crc", "shard", "key", "copy", F.pmod(F.xxhash64("id", "key", "copy"), F.lit(ranges)).cast("int").alias("part")), "sharded")
     counts = number.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "row")) - 1
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "key", "copy")) - 1
     return number.withColumn("within", within).join(F.broadcast(offsets), ["shard", "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("within")).alias("slot"))

@@ -59,13 +59,34 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def bounded(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 1 << 25) -> DataFrame:
-    """A written table, marked for broadcast if it has few rows and bytes; else as it is, to be shuffled."""
+def fits(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 1 << 25) -> bool:
+    """Whether a written table has few enough rows and bytes to be broadcast."""
     kinds = dict(df.dtypes)
-    wide = [F.octet_length(f"`{c}`") for c, k in kinds.items() if k in ("string", "binary")] + [8 * F.size(f"`{c}`") for c, k in kinds.items() if k.startswith("array")]
+    wide = [F.octet_length(f"`{c}`") for c, k in kinds.items() if k in ("string", "binary")]
+    wide += [(64 if "struct" in k else 8) * F.size(f"`{c}`") for c, k in kinds.items() if k.startswith("array")]
     each = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(kinds)))
     n, size = df.agg(F.count("*"), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
+    return n <= max_rows and size <= max_bytes
+
+
+def bounded(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 1 << 25) -> DataFrame:
+    """A written table, marked for broadcast if it :func:`fits`; else as it is, to be shuffled."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
+
+
+#: Rows that a task makes of one group of alike rows at a time.
+ALIKE = 1 << 16
+
+
+def numbered_copies(df: DataFrame) -> DataFrame:
+    """``df`` with ``copy``: 0, 1, ... among rows that are alike in every column, so that each row has a name
+    that does not depend on how the table is partitioned. Alike rows are counted, then written out again in parts.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    few = counted.where(F.col("_n") == 1).drop("_n").withColumn("copy", F.lit(0).cast("long"))
+    blocks = counted.where(F.col("_n") > 1).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(ALIKE).cast("long")))).repartition(F.xxhash64(*df.columns, "_at"))
+    many = blocks.withColumn("copy", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + ALIKE, F.col("_n")) - 1))).drop("_n", "_at")
+    return few.unionByName(many)
 
 
 def words(text: Column) -> Column:
