@@ -12,11 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import table
+from chorale.llm.shared import bounded, fits, table
 
 WORDS_IN_BLOCK = 8
-#: A filter or list up to so many rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a URL shows.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -78,11 +76,10 @@ def build_filter(listed: DataFrame, bits_per_url: int = 16) -> tuple[DataFrame,
 
 def probe(rows: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """``rows`` with ``_possible``: false only if ``canonical`` is surely not listed."""
-    side = F.broadcast(blocks) if n_blocks <= BROADCAST_ROWS else blocks
     hit = F.lit(True)
     for k, spot in _spots(F.col("canonical")).items():
         hit = hit & (F.col(k).bitwiseAND(spot) != 0)
-    joined = rows.withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks))).join(side, "block", "left")
+    joined = rows.withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks))).join(bounded(blocks), "block", "left")
     return joined.withColumn("_possible", F.coalesce(hit, F.lit(False))).select(*rows.columns, "_possible")
 
 
@@ -99,11 +96,14 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...]
     rows = with_parts(pages, url_col)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.name), r.verdict == "block")):
-        fits = r.fits(F.col("host"), F.col("path"))
-        rule, verdict = F.when(fits, F.lit(r.name)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
+        hit = r.fits(F.col("host"), F.col("path"))
+        rule, verdict = F.when(hit, F.lit(r.name)).otherwise(rule), F.when(hit, F.lit(r.verdict)).otherwise(verdict)
     probed = probe(rows.withColumns({"rule": rule, "verdict": verdict}), blocks, n_blocks)
     open_case = F.col("verdict").isNull() & F.col("_possible")
-    hits = probed.where(open_case).join(urls.withColumn("_listed", F.lit(True)), "canonical", "left").withColumn("verdict", F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))
-    rest = probed.where(~open_case).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    columns = ["_row", "host", "path", "canonical", "rule", "verdict"]
-    return hits.select(*columns).unionByName(rest.select(*columns))
+    columns = ["_row", "host", "path", "canonical", "rule"]
+    told = urls.select(F.col("canonical").alias("_url"), F.lit("block").alias("_listed"))
+    if fits(urls):  # one pass; rows that are no possible hits have no key to join by
+        joined = probed.join(F.broadcast(told), F.when(open_case, F.col("canonical")) == F.col("_url"), "left")
+        return joined.select(*columns, F.coalesce("verdict", "_listed", F.lit("allow")).alias("verdict"))
+    hits = probed.where(open_case).join(told, F.col("canonical") == F.col("_url"), "left").select(*columns, F.coalesce("_listed", F.lit("allow")).alias("verdict"))
+    return hits.unionByName(probed.where(~open_case).select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict")))
