@@ -1,9 +1,11 @@
 """Removal of multi-line chunks that repeat across a corpus.
 
-Each line becomes a 48-bit code; a rolling hash over the codes of the last WINDOW lines closes a chunk
-where it is 0 modulo ``divisor``. Boundaries depend on nearby lines only, so an insertion elsewhere in a
-document does not move them. Chunks with several worded lines are counted over the corpus by hash; those
-found twice are compared byte by byte and all but the first occurrence are removed.
+Each line becomes a 48-bit code; a rolling hash over the codes of the last two lines closes a chunk where it
+is 0 modulo ``divisor``, unless it was at one of the LEAST - 1 lines before. MOST lines after a boundary, and
+again after as many, the chunk is closed anyhow, so equal or periodic lines are cut at places that depend on
+where they begin. Boundaries depend on nearby lines only, so an insertion elsewhere in a document does not
+move them. Chunks with several worded lines are counted over the corpus by hash; those found twice are
+compared byte by byte and all but the first occurrence are removed.
 
 A repeated passage that shares its chunks with other lines never compares equal as a chunk. For those, pairs
 of neighbouring worded lines (with the blank lines between) go the same way; repeated pairs that touch make
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from chorale.llm.shared import SPACE, bounded, let, table
 
-WINDOW = 2
 #: Multipliers and modulus of the rolling hash; products stay below 2 ** 63.
 FACTORS = (31, 1_000_003)
 MODULUS = 2_147_483_647
+#: Lines of a chunk: no fewer between two boundaries of the rolling hash, no more in any chunk.
+LEAST, MOST = 2, 64
 
 
 def line_code(line: Column) -> Column:
@@ -29,55 +32,62 @@ def line_code(line: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("long"), F.lit(MODULUS))
 
 
-def chunks(text: Column, divisor: int) -> Column:
-    """Array of (start, lines, text): the chunks of a text in order, as lines counted from 1."""
+def chunk_spans(lines: Column, divisor: int) -> Column:
+    """Array of (start, lines): the chunks of a text's lines in order, counted from 1."""
 
-    def cut(lines: Column) -> Column:
-        def by_codes(codes: Column) -> Column:
-            roll = lambda i: sum((F.coalesce(F.get(codes, i - k), F.lit(0)) * factor for k, factor in enumerate(FACTORS)), F.lit(0).cast("long"))
-            ends = F.array_union(F.filter(F.transform(codes, lambda c, i: F.when(roll(i) % MODULUS % divisor == 0, i + 1)), lambda x: x.isNotNull()), F.array(F.size(codes)))
+    def by_codes(codes: Column) -> Column:
+        roll = lambda i: sum((F.coalesce(F.get(codes, i - k), F.lit(0)) * factor for k, factor in enumerate(FACTORS)), F.lit(0).cast("long"))
+        return let(F.transform(codes, lambda c, i: roll(i) % MODULUS % divisor == 0), by_marks)
 
-            def spans(e: Column) -> Column:
-                def span(end: Column, j: Column) -> Column:
-                    start = F.coalesce(F.get(e, j - 1), F.lit(0)) + 1
-                    return F.struct(start.alias("start"), (end - start + 1).alias("lines"), F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("text"))
+    def by_marks(marks: Column) -> Column:
+        def first(x: Column, i: Column) -> Column:
+            for k in range(1, LEAST):
+                x = x & ~F.coalesce(F.get(marks, i - k), F.lit(False))
+            return F.when(x, i + 1)
 
-                return F.transform(e, span)
+        closed = F.filter(F.transform(marks, first), lambda x: x.isNotNull())
+        return let(F.array_union(closed, F.array(F.size(marks))), by_ends)
 
-            return let(ends, spans)
+    def by_ends(ends: Column) -> Column:
+        def spans(end: Column, j: Column) -> Column:
+            before = F.coalesce(F.get(ends, j - 1), F.lit(0))
+            starts = F.sequence(before + 1, end, F.lit(MOST))
+            return F.transform(starts, lambda at: F.struct(at.alias("start"), F.least(F.lit(MOST), end - at + 1).alias("lines")))
 
-        return let(F.transform(lines, line_code), by_codes)
+        return F.flatten(F.transform(ends, spans))
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
+    return let(F.transform(lines, line_code), by_codes)
 
 
-def pairs(text: Column) -> Column:
-    """Array of (start, lines, text): each worded line of a text with the next worded one, blank lines between."""
+def pair_spans(lines: Column) -> Column:
+    """Array of (start, lines): each worded line of a text with the next worded one, blank lines between."""
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"[^{SPACE}]"), i + 1)), lambda x: x.isNotNull())
+    return let(worded, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda start, k: F.struct(start.alias("start"), (F.get(w, k + 1) - start + 1).alias("lines"))))
 
-    def by_worded(lines: Column) -> Column:
-        worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"[^{SPACE}]"), i + 1)), lambda x: x.isNotNull())
 
-        def spans(w: Column) -> Column:
-            def span(start: Column, k: Column) -> Column:
-                n = F.get(w, k + 1) - start + 1
-                return F.struct(start.alias("start"), n.alias("lines"), F.array_join(F.slice(lines, start, n), "\n").alias("text"))
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
-            return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), span)
 
-        return let(worded, spans)
+def _part(lines: Column, span: Column) -> Column:
+    return F.array_join(F.slice(lines, span["start"], span["lines"]), "\n")
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n"), by_worded)
 
+def candidate_spans(text: Column, divisor: int, runs: bool) -> Column:
+    """Array of (start, lines, pair, key): chunks with two worded lines or more, and with ``runs`` the pairs."""
 
-def _candidates(slim: DataFrame, divisor: int, runs: bool) -> DataFrame:
-    """Rows (id, mark, start, lines, chunk, key) of the chunks with two worded lines or more, and of the pairs."""
+    def cut(lines: Column) -> Column:
+        def marked(pair: bool):
+            fields = lambda s, key: F.struct(s["start"].alias("start"), s["lines"].alias("lines"), F.lit(pair).alias("pair"), key.alias("key"))
+            if pair:
+                return lambda s: fields(s, F.xxhash64(_part(lines, s), F.lit("pair")))
+            several = rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]"
+            return lambda s: F.when(s["lines"] > 1, let(_part(lines, s), lambda t: F.when(t.rlike(several), fields(s, F.xxhash64(t)))))
 
-    def exploded(spans: Column) -> DataFrame:
-        return slim.select("id", "mark", F.explode(spans).alias("c")).select("id", "mark", F.col("c.start").alias("start"), F.col("c.lines").alias("lines"), F.col("c.text").alias("chunk"))
+        chunks = F.filter(F.transform(chunk_spans(lines, divisor), marked(False)), lambda x: x.isNotNull())
+        return F.concat(chunks, F.transform(pair_spans(lines), marked(True))) if runs else chunks
 
-    out = exploded(chunks(F.col("t"), divisor)).where((F.col("lines") > 1) & F.col("chunk").rlike(rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]"))
-    keyed = out.withColumn("key", F.xxhash64("chunk"))
-    return keyed.withColumn("pair", F.lit(False)).unionByName(exploded(pairs(F.col("t"))).withColumns({"key": F.xxhash64("chunk", F.lit("pair")), "pair": F.lit(True)})) if runs else keyed.withColumn("pair", F.lit(False))
+    return let(_lines(text), cut)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, runs: bool = True) -> DataFrame:
@@ -90,11 +100,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that overlaps its first occurrence stays, and so does the first occurrence of every worded line.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
-    place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start", "lines")).alias("first")
+    spans = table(slim.select("id", "mark", F.explode(candidate_spans(F.col("t"), divisor, runs)).alias("s")).select("id", "mark", "s.*"), "spans")
     many = F.count("*").alias("n")
-    keys = table(_candidates(slim, divisor, runs).groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
-    same = F.when(F.col("pair"), F.sha2("chunk", 256)).otherwise(F.col("chunk")).alias("chunk")
-    known = _candidates(slim, divisor, runs).join(bounded(keys), "key", "left_semi").select("id", "mark", "start", "lines", "pair", "key", same)
+    keys = table(spans.groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
+    hits = spans.join(bounded(keys), "key", "left_semi").groupBy(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(F.collect_set(F.struct("start", "lines", "pair", "key")).alias("spans"))
+    hits = bounded(table(hits, "hits"))
+    text = lambda lines: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["lines"].alias("lines"), s["pair"].alias("pair"), s["key"].alias("key"), let(_part(lines, s), lambda t: F.when(s["pair"], F.sha2(t, 256)).otherwise(t)).alias("chunk")))
+    known = slim.join(hits, slim["id"].eqNullSafe(hits["hit_id"]) & (slim["mark"] == hits["hit_mark"])).select("id", "mark", F.explode(let(_lines(F.col("t")), text)).alias("s")).select("id", "mark", "s.*")
+    place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start", "lines")).alias("first")
     repeated = table(known.groupBy("key", "pair", "chunk").agg(place, many).where("n > 1"), "chunks")
     found = known.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.pair") == F.col("r.pair")) & (F.col("k.chunk") == F.col("r.chunk")))
     extra = found.where(~(F.col("k.id").eqNullSafe(F.col("r.first.id")) & (F.col("k.mark") == F.col("r.first.mark")) & (F.col("k.start") < F.col("r.first.start") + F.col("r.first.lines"))))

@@ -65,7 +65,7 @@ WITH rest AS (
 ), canon AS (
   SELECT *, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS c FROM parts
 ), listed AS (
-  SELECT DISTINCT c FROM canon WHERE c <> '' AND regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.')
+  SELECT DISTINCT c FROM canon WHERE c <> '' AND (starts_with(md5(c), '0') OR regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.'))
 ), rules(verdict, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), best AS (
@@ -77,23 +77,38 @@ FROM canon LEFT JOIN best b USING (page_id)
 """
 
 OP10 = r"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line
-  FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+WITH docs AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM docs
 ), codes AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 12))::BIGINT % 2147483647 AS code FROM lines
+  SELECT doc_id, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, ('0x' || substr(md5(line), 1, 12))::BIGINT % 2147483647 AS code FROM lines
 ), marks AS (
-  SELECT *, (code * 31 + coalesce(lag(code) OVER w, 0) * 1000003) % 2147483647 % 3 = 0 AS closes FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, (code * 31 + coalesce(lag(code) OVER w, 0) * 1000003) % 2147483647 % 3 = 0 AS mark FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), firsts AS (
+  SELECT *, mark AND NOT coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY i), false) AS closes FROM marks
+), bounds AS (
+  SELECT *, closes OR (i - coalesce(max(CASE WHEN closes THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 64 = 0 AS ends FROM firsts
 ), numbered AS (
-  SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM marks
-), parts AS (
-  SELECT doc_id, part, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk,
-    count_if(regexp_matches(line, '[^\x20\x09-\x0D]')) AS worded
-  FROM numbered GROUP BY doc_id, part
-), judged AS (
-  SELECT *, n > 1 AND worded > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 AND worded > 1 ORDER BY doc_id, start) > 1 AS removed FROM parts
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM bounds
+), chunks AS (
+  SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, part HAVING count(*) > 1 AND count_if(worded) > 1
+), nexts AS (
+  SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM codes WHERE worded
+), pairs AS (
+  SELECT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS chunk FROM nexts JOIN docs USING (doc_id) WHERE b IS NOT NULL
+), spans AS (
+  SELECT *, false AS pair FROM chunks UNION ALL SELECT *, true FROM pairs
+), placed AS (
+  SELECT *, first_value(doc_id) OVER w AS d1, first_value(b) OVER w AS b1 FROM spans WINDOW w AS (PARTITION BY pair, chunk ORDER BY doc_id, a)
+), cuts AS (
+  SELECT * FROM placed WHERE NOT (doc_id = d1 AND a <= b1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM cuts
+), whole AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(g.i) AS n_removed_lines, string_agg(line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS cleaned
+  FROM lines n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id
 )
-SELECT doc_id, sum(n)::BIGINT AS n_lines, count_if(removed)::BIGINT AS n_removed_chunks, coalesce(sum(n) FILTER (removed), 0)::BIGINT AS n_removed_lines,
-  CASE WHEN bool_and(d.text IS NULL) THEN NULL ELSE md5(coalesce(string_agg(chunk, chr(10) ORDER BY start) FILTER (NOT removed), '')) END AS cleaned_md5
-FROM judged JOIN documents d USING (doc_id) GROUP BY doc_id
+SELECT doc_id, n_lines, coalesce(c.n, 0)::BIGINT AS n_removed_chunks, n_removed_lines, CASE WHEN text IS NOT NULL THEN md5(coalesce(cleaned, '')) END AS cleaned_md5
+FROM docs JOIN whole USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cuts WHERE NOT pair GROUP BY doc_id) c USING (doc_id)
 """

@@ -170,6 +170,54 @@ def test_a_hot_group_is_split_and_others_are_not(spark):
     assert (cold.groupby("text")["shard"].nunique() == 1).all()
 
 
+def by_plain_loop(rows, n):
+    """Shards of whole groups by the definition, all in one residual; None for groups that would be split."""
+    import hashlib
+
+    groups = {}
+    for _, text in rows:
+        key = hashlib.sha256((text or "").encode()).hexdigest()
+        g = groups.setdefault(key, [0, 0, 0])
+        for d, x in enumerate((len((text or "").encode()) + 8, len(WORD.findall(text or "")), 1)):
+            g[d] += x
+    total = [max(1, sum(g[d] for g in groups.values())) for d in range(3)]
+    room = [[1 / n] * 3 for _ in range(n)]
+    out = {}
+    for key, g in sorted(groups.items(), key=lambda kg: (-max(x / t for x, t in zip(kg[1], total, strict=True)), kg[0])):
+        w = [x / t for x, t in zip(g, total, strict=True)]
+        fits = [s for s in range(n) if all(r >= x for r, x in zip(room[s], w, strict=True))] or list(range(n))
+        best = max(fits, key=lambda s: (sum(r * x for r, x in zip(room[s], w, strict=True)), -s))
+        room[best] = [r - x for r, x in zip(room[best], w, strict=True)]
+        out[key] = best
+    return out
+
+
+def test_shards_are_those_of_a_plain_loop(spark):
+    import hashlib
+
+    rows = [(i, long_text(i, 60 + 4 * i)) for i in range(40)] + [(100 + i, long_text(i % 3, 60 + 4 * (i % 3))) for i in range(6)]
+    want = by_plain_loop(rows, 4)  # every item is over 1 / 64 of a shard, so all are placed in one pass
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    texts = dict(rows)
+    assert {r["doc_id"]: r["shard"] for r in out} == {i: want[hashlib.sha256(texts[i].encode()).hexdigest()] for i in texts}
+    rng = np.random.default_rng(3)
+    weights = rng.random((200, 3)) / 150
+    got, room = sharding.place(weights, np.full((5, 3), 0.2)), [[0.2] * 3 for _ in range(5)]
+    for w, shard in zip(weights, got, strict=True):
+        dots = [sum(r * x for r, x in zip(room[s], w, strict=True)) for s in range(5)]
+        fits = [s for s in range(5) if all(r >= x for r, x in zip(room[s], w, strict=True))] or list(range(5))
+        assert max(dots[s] for s in fits) - dots[shard] < 1e-12
+        room[shard] = [r - x for r, x in zip(room[shard], w, strict=True)]
+
+
+def test_shards_and_windows_do_not_depend_on_partitions(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long")))
+    for make in (lambda d: sharding.shard_documents(d, 6), lambda d: packing.pack_documents(d, 256, pack_rows=64)):
+        few, many = (sorted(map(tuple, make(docs.repartition(n)).collect()), key=str) for n in (3, 7))
+        assert few == many and len(few) >= docs.count()
+
+
 # Jaccard join
 
 
@@ -367,6 +415,26 @@ def test_bloom_has_no_false_negatives_and_the_join_no_false_positives(spark):
     assert (got[5002]["rule"], got[5002]["verdict"]) == ("www.example.com/en/", "allow") and (got[5003]["rule"], got[5003]["verdict"]) == ("net/es/", "block")
 
 
+def test_url_verdicts_of_odd_tables(spark):
+    kind = "page_id long, url string, host string, path string, verdict string, block long, canonical string, `a.b` string"
+    long_url = "https://a.org/" + "x" * 300_000 + "?q=" + "y" * 300_000
+    df = spark.createDataFrame([(1, long_url, *"hpv", 3, "c", "d"), (2, None, *[None] * 6), (3, "", *"hpv", 3, "c", "d"), (3, "", *"hpv", 3, "c", "d")], kind)
+    listed = url_filter.with_parts(df, "url")
+    out = url_filter.url_verdicts(df, listed, queries.URL_RULES).collect()
+    assert len(out) == 4 and {(r["_row"]["page_id"], r["verdict"]) for r in out} == {(1, "block"), (2, "allow"), (3, "allow")}
+    assert all(set(r["_row"].asDict()) == set(df.columns) for r in out)
+    assert url_filter.url_verdicts(df.limit(0), listed, queries.URL_RULES).count() == 0
+    assert url_filter.url_verdicts(df, listed.limit(0), queries.URL_RULES).where("verdict = 'block'").count() == 0
+
+
+def test_the_list_and_not_the_host_decides(spark, sf_dir, monkeypatch):
+    with_list = {r["page_id"]: r for r in queries.op7_url_filters(spark, sf_dir).collect()}
+    monkeypatch.setattr(url_filter, "fits", lambda df: False)  # the same by a shuffle
+    assert {r["page_id"]: r for r in queries.op7_url_filters(spark, sf_dir).collect()} == with_list
+    listed = [r for r in with_list.values() if r["rule"] is None and r["verdict"] == "block"]
+    assert any(not re.search(r"(^|\.)(%s)\." % "|".join(queries.LISTED_SITES), r["host"]) for r in listed)
+
+
 # languages
 
 
@@ -400,6 +468,39 @@ def test_ngrams_by_hand():
     assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {a: 2, b: 1, e << 21 | a: 2, a << 21 | b: 1, b << 21 | e: 1, a << 21 | e: 1, (e << 21 | a) << 21 | b: 1, (a << 21 | b) << 21 | e: 1, (e << 21 | a) << 21 | e: 1}
 
 
+def out_of_place(text, profiles, size):
+    """Language and score of a text by the definition: n-grams ranked by count, then code; ranks compared one by one."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    grams = Counter()
+    for run in runs:
+        marked = "\x01" + run + "\x01"
+        for n in (1, 2, 3):
+            grams.update(g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g != "\x01")
+    # neighbouring words share one mark, so pairs over it are the same as at two marks
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    own = [c for c, _ in sorted(((code(g), n) for g, n in grams.items()), key=lambda x: (-x[1], x[0]))][:size]
+    best = ("und", 0.0, None)
+    for lang_name in sorted(profiles):
+        place = {c: r for r, c in enumerate(profiles[lang_name])}
+        far = sum(abs(place[c] - r) if c in place else size for r, c in enumerate(own))
+        if own and (best[2] is None or far < best[2]):
+            best = (lang_name, 1 - far / (size * len(own)), far)
+    return best[:2]
+
+
+def test_languages_by_brute_force(spark, sf_dir, odd):
+    docs = documents(spark, sf_dir).select("text", "lang")
+    tie = [("aa bb", "xx"), ("aa bb", "yy")]
+    more = odd.where("length(text) < 5000 OR text IS NULL").select("text", F.lit(None).cast("string").alias("lang"))
+    for train, size in ((docs, 400), (docs, 30), (spark.createDataFrame(tie, "text string, lang string"), 50)):
+        profiles = lang.learn(train, size=size)
+        told = lang.identify(train.unionByName(more), profiles, size=size).collect()
+        assert len(told) >= len(profiles)
+        for r in told:
+            name, score = out_of_place(r["text"], profiles, size)
+            assert r["_lang"] == name and r["_score"] == pytest.approx(score, abs=1e-12), r["text"]
+
+
 # packing
 
 
@@ -460,8 +561,31 @@ def test_line_dedup_keeps_the_first_and_shifts_do_no_harm(spark, odd, none):
     assert by[1]["cleaned"] == rows[0][1] and by[2]["n_removed_lines"] > 20 and by[3]["n_removed_lines"] > 20
     assert by[2]["cleaned"].startswith("new head") and all(f"own {k}" in by[3]["cleaned"] for k in range(7))
     assert by[4]["cleaned"] == "alone\nhere" and by[5]["cleaned"] is None and by[6]["cleaned"] == ""
-    clean = lines.line_dedup(odd)
-    assert clean.count() == len(ROWS) and lines.line_dedup(none).count() == 0
+    clean = [(r["_row"], r["cleaned"], r["n_removed_lines"]) for r in lines.line_dedup(odd).collect()]
+    assert len(clean) == len(ROWS) and lines.line_dedup(none).count() == 0
+    gone = brute_runs(sorted({r[:2] for r in ROWS}, key=lambda r: (r[0] is None, r[0] or 0)))
+    for row, text, n in clean:
+        own = {k for i, k in gone if i == row["doc_id"]} if row["text"] is not None else set()
+        assert n == len(own) and text == (None if row["text"] is None else "\n".join(x for k, x in enumerate(row["text"].split("\n")) if k not in own))
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5])
+def test_periodic_texts_lose_their_repeats(spark, period):
+    line = lambda k: f"line {k % period} of a period"
+    rows = [(n, "\n".join(line(k) for k in range(n))) for n in (700, 701)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in lines.line_dedup(df, runs=False).select("_row.doc_id", "n_removed_lines", "n_removed_chunks").collect()}
+    assert all(r["n_removed_lines"] > 500 for r in out.values()) and out[701]["n_removed_lines"] >= 701 - lines.MOST
+
+
+def test_chunks_have_least_and_most_lines(spark):
+    texts = ["\n".join(f"line {k * 7919 % 1000}" for k in range(500)), "\n".join(["same"] * 300), "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(lines.chunk_spans(F.split("t", "\n"), 3).alias("s"))
+    for text, row in zip(texts, df.collect(), strict=True):
+        n = [x["lines"] for x in row["s"]]
+        assert sum(n) == len(text.split("\n")) and max(n) <= lines.MOST and [x["start"] for x in row["s"]] == (1 + np.cumsum([0, *n[:-1]])).tolist()
+        assert min(n[1:-1], default=2) >= lines.LEAST or lines.MOST in n
+    assert [x["lines"] for x in df.collect()[1]["s"]][1:4] == [lines.MOST] * 3
 
 
 def brute_runs(rows):
