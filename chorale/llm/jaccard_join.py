@@ -7,7 +7,9 @@ by the Beta posterior of its agreements, it reaches the threshold with a probabi
 (BayesLSH-Lite, Satuluri and Parthasarathy, 2012). What is left is verified on the whole shingle sets.
 
 Buckets of many documents are not joined pair by pair as rows. Their documents form a hot cluster that is
-cut into blocks; each task compares two blocks in memory and returns sums of links and a spanning forest.
+cut into blocks. First tasks compare the signatures of two blocks, and return the documents that any of
+the other block may reach; only for those are shingle sets sent to the two blocks, whose task verifies the
+pairs in memory and returns sums of links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ TOLERANCE = 1e-9
 #: Buckets with more documents, or more shingles, are handled as hot clusters.
 COLD_DOCS, COLD_SHINGLES = 64, 1 << 21
 #: Documents and shingles of a hot cluster's block, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -284,6 +286,35 @@ def _verify_pairs(threshold: float):
     return run
 
 
+def _fitting(sizes: list[np.ndarray], sigs: list[np.ndarray], same: bool, threshold: float, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The pairs of two blocks that sizes and signatures leave, 64 documents of the first at a time."""
+    for start in range(0, len(sizes[0]), 64):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + 64, len(sizes[0]))), np.arange(len(sizes[1])), indexing="ij"))
+        fits = np.minimum(sizes[0][i], sizes[1][j]) >= threshold * np.maximum(sizes[0][i], sizes[1][j]) - 1e-9
+        if same:
+            fits &= i < j
+        i, j = i[fits], j[fits]
+        alive = surviving(sigs[0], sigs[1], i, j, least)
+        if len(alive):
+            yield start, i[alive], j[alive]
+
+
+def _reach_blocks(threshold: float, tolerance: float):
+    least = least_matches(threshold, tolerance)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        hot, first, second = key
+        one, two = pdf[pdf["block"] == first], pdf[pdf["block"] == second]
+        sigs = [np.frombuffer(b"".join(x["sig"]), dtype=np.uint16).reshape(len(x), HASHES) for x in (one, two)]
+        hit = [np.zeros(len(x), dtype=bool) for x in (one, two)]
+        for _, i, j in _fitting([x["size"].to_numpy() for x in (one, two)], sigs, first == second, threshold, least):
+            hit[0][i] = hit[1][j] = True
+        found = pd.concat([one[hit[0]], two[hit[1]]]).drop_duplicates("rid")
+        return found[["rid", "block"]].assign(hot=hot, first=first, second=second)
+
+    return run
+
+
 def _verify_blocks(threshold: float, tolerance: float):
     least = least_matches(threshold, tolerance)
 
@@ -295,16 +326,7 @@ def _verify_blocks(threshold: float, tolerance: float):
         sigs = [np.frombuffer(b"".join(x["sig"]), dtype=np.uint16).reshape(len(x), HASHES) for x in (one, two)]
         sizes = [np.array([len(v) for v in x]) for x in sets]
         links, forest = {}, Forest()
-        for start in range(0, len(one), 64):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + 64, len(one))), np.arange(len(two)), indexing="ij"))
-            fits = np.minimum(sizes[0][i], sizes[1][j]) >= threshold * np.maximum(sizes[0][i], sizes[1][j]) - 1e-9
-            if first == second:
-                fits &= i < j
-            i, j = i[fits], j[fits]
-            alive = surviving(sigs[0], sigs[1], i, j, least)
-            i, j = i[alive], j[alive]
-            if not len(i):
-                continue
+        for start, i, j in _fitting(sizes, sigs, first == second, threshold, least):
             both = overlaps(sets[0][start : start + 64], sets[1], i - start, j)
             yes = both / (sizes[0][i] + sizes[1][j] - both) >= threshold
             for x, y in zip(i[yes].tolist(), j[yes].tolist(), strict=True):
@@ -394,16 +416,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _hot_links(sigs: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Links inside hot clusters, block against block."""
-    hot = table(sigs.where("hot IS NOT NULL").select("rid", "hot", "size", "sig").join(sets, "rid"), "hot")
+    hot = sigs.where("hot IS NOT NULL")
     blocks = hot.groupBy("hot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = hot.join(bounded(table(blocks, "blocks")), "hot").withColumn("block", F.expr("CAST(pmod(xxhash64(rid), blocks) AS INT)"))
+    own = table(own.select("hot", "rid", "block", "blocks", "size", "sig"), "own")
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("hot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "weight", "sig", "items")
-    return spread.groupBy("hot", "first", "second").applyInPandas(_verify_blocks(threshold, tolerance), LINKS)
+    spread = spread.select("hot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "size", "sig")
+    reached = table(spread.groupBy("hot", "first", "second").applyInPandas(_reach_blocks(threshold, tolerance), "rid long, block int, hot long, first int, second int"), "reached")
+    asked = reached.join(own.select("rid", "sig").join(sets, "rid"), "rid")
+    return asked.groupBy("hot", "first", "second").applyInPandas(_verify_blocks(threshold, tolerance), LINKS)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of :func:`jaccard_join`, all columns kept."""
+    """``docs`` with one row of each class of :func:`jaccard_join`, all columns kept, whatever their names.
+
+    Texts without words, null ones too, are one class, and rows that repeat are copies, so one of each stays.
+    An empty table gives an empty result.
+    """
     joined = jaccard_join(docs, id_col, text_col, **options)
     verdicts = table(joined.select(F.col(id_col).alias("_id"), F.col("mark").alias("_fingerprint"), F.col("kept").alias("_kept")), "verdicts")
     return drop_rows(docs, F.col(id_col), F.xxhash64(F.col(text_col)), verdicts)
