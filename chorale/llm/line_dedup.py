@@ -4,21 +4,21 @@ Each line becomes a 48-bit code; a rolling hash over the codes of the last two l
 is 0 modulo ``divisor``, unless it was at one of the LEAST - 1 lines before. MOST lines after a boundary, and
 again after as many, the chunk is closed anyhow, so equal or periodic lines are cut at places that depend on
 where they begin. Boundaries depend on nearby lines only, so an insertion elsewhere in a document does not
-move them. Chunks with several worded lines are counted over the corpus by hash; those found twice are
-compared byte by byte and all but the first occurrence are removed.
+move them. Chunks with several worded lines are counted over the corpus by hash; the bytes of
+those found twice are compared, and all but the first occurrence are removed.
 
 A repeated passage that shares its chunks with other lines never compares equal as a chunk. For those, pairs
 of neighbouring worded lines (with the blank lines between) go the same way; repeated pairs that touch make
 up a run, so what is removed is every line of a passage of two worded lines or more that came before. Pairs
-are compared by the SHA-256 of their bytes, since whole ones would go through the shuffle for every line.
+are compared by half the SHA-256 of their bytes, since whole ones would go through the shuffle for every line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import SPACE, bounded, let, table
+from chorale.llm.shared import SPACE, bounded, is_empty, let, table
 
 #: Multipliers and modulus of the rolling hash; products stay below 2 ** 63.
 FACTORS = (31, 1_000_003)
@@ -73,19 +73,27 @@ def _part(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["start"], span["lines"]), "\n")
 
 
+#: A text with two worded lines.
+SEVERAL = rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]"
+
+
+def _name(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
+
+
+def chunk_texts(text: Column, divisor: int) -> Column:
+    """Array of the chunks with two worded lines or more."""
+    return let(_lines(text), lambda lines: F.filter(F.transform(chunk_spans(lines, divisor), lambda s: F.when(s["lines"] > 1, _part(lines, s))), lambda t: t.rlike(SEVERAL)))
+
+
 def candidate_spans(text: Column, divisor: int, runs: bool) -> Column:
     """Array of (start, lines, pair, key): chunks with two worded lines or more, and with ``runs`` the pairs."""
 
     def cut(lines: Column) -> Column:
-        def marked(pair: bool):
-            fields = lambda s, key: F.struct(s["start"].alias("start"), s["lines"].alias("lines"), F.lit(pair).alias("pair"), key.alias("key"))
-            if pair:
-                return lambda s: fields(s, F.xxhash64(_part(lines, s), F.lit("pair")))
-            several = rf"[^{SPACE}][^\n]*\n(?s:.*)[^{SPACE}]"
-            return lambda s: F.when(s["lines"] > 1, let(_part(lines, s), lambda t: F.when(t.rlike(several), fields(s, F.xxhash64(t)))))
-
-        chunks = F.filter(F.transform(chunk_spans(lines, divisor), marked(False)), lambda x: x.isNotNull())
-        return F.concat(chunks, F.transform(pair_spans(lines), marked(True))) if runs else chunks
+        fields = lambda s, pair, t: F.struct(s["start"].alias("start"), s["lines"].alias("lines"), F.lit(pair).alias("pair"), _name(t).alias("key"))
+        chunks = F.filter(F.transform(chunk_spans(lines, divisor), lambda s: let(_part(lines, s), lambda t: F.when((s["lines"] > 1) & t.rlike(SEVERAL), fields(s, False, t)))), lambda x: x.isNotNull())
+        return F.concat(chunks, F.transform(pair_spans(lines), lambda s: fields(s, True, _part(lines, s)))) if runs else chunks
 
     return let(_lines(text), cut)
 
@@ -97,37 +105,43 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text count as one document and get the same result. Null and empty texts have one empty line and
     lose nothing; a null text stays null. A text of which everything is removed becomes empty. Without
     ``runs`` chunks are compared only as wholes, and passages that straddle their boundaries stay. A pair
-    that overlaps its first occurrence stays, and so does the first occurrence of every worded line.
+    that overlaps its first occurrence stays, and so does the first occurrence of every worded line. Chunks
+    that differ though their 128-bit names are equal would stay too.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
     spans = table(slim.select("id", "mark", F.explode(candidate_spans(F.col("t"), divisor, runs)).alias("s")).select("id", "mark", "s.*"), "spans")
-    many = F.count("*").alias("n")
-    keys = table(spans.groupBy("key").agg(many).where("n > 1").select("key"), "chunk-keys")
-    hits = spans.join(bounded(keys), "key", "left_semi").groupBy(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(F.collect_set(F.struct("start", "lines", "pair", "key")).alias("spans"))
-    hits = bounded(table(hits, "hits"))
-    text = lambda lines: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["lines"].alias("lines"), s["pair"].alias("pair"), s["key"].alias("key"), let(_part(lines, s), lambda t: F.when(s["pair"], F.sha2(t, 256)).otherwise(t)).alias("chunk")))
-    known = slim.join(hits, slim["id"].eqNullSafe(hits["hit_id"]) & (slim["mark"] == hits["hit_mark"])).select("id", "mark", F.explode(let(_lines(F.col("t")), text)).alias("s")).select("id", "mark", "s.*")
     place = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "start", "lines")).alias("first")
-    repeated = table(known.groupBy("key", "pair", "chunk").agg(place, many).where("n > 1"), "chunks")
-    found = known.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.pair") == F.col("r.pair")) & (F.col("k.chunk") == F.col("r.chunk")))
+    repeated = table(spans.groupBy("key", "pair").agg(place, F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    names = bounded(table(repeated.where("NOT pair").select("key"), "chunk-names"))
+    texts = slim.select(F.explode(chunk_texts(F.col("t"), divisor)).alias("chunk")).select(_name(F.col("chunk")).alias("key"), "chunk").join(names, "key", "left_semi")
+    clashes = table(texts.distinct().groupBy("key").count().where("count > 1").select("key", F.lit(False).alias("pair")), "clashes")
+    if not is_empty(clashes):  # different texts of one name are no repeats
+        repeated = table(repeated.join(clashes, ["key", "pair"], "left_anti"), "repeated")
+    found = spans.alias("k").join(bounded(repeated).alias("r"), (F.col("k.key") == F.col("r.key")) & (F.col("k.pair") == F.col("r.pair")))
     extra = found.where(~(F.col("k.id").eqNullSafe(F.col("r.first.id")) & (F.col("k.mark") == F.col("r.first.mark")) & (F.col("k.start") < F.col("r.first.start") + F.col("r.first.lines"))))
-    cuts = table(extra.groupBy(F.col("k.id").alias("cut_id"), F.col("k.mark").alias("cut_mark")).agg(F.collect_set(F.struct("k.start", "k.lines", "k.pair")).alias("spans")), "cuts")
+    # touching and overlapping spans of a document become one
+    own = extra.select("k.id", "k.mark", "k.start", (F.col("k.start") + F.col("k.lines") - 1).alias("stop"), "k.pair").distinct()
+    doc = Window.partitionBy("id", "mark")
+    before = F.max("stop").over(doc.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    runs_of = own.withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1)) + 1).cast("int")).withColumn("run", F.sum("new").over(doc.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs_of.groupBy("id", "mark", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count_if(~F.col("pair")).alias("chunks"))
+    cuts = table(merged.groupBy(F.col("id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"), F.sum("chunks").alias("chunks")), "cuts")
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("t"))
     cuts = bounded(cuts)
     joined = row.join(cuts, row["id"].eqNullSafe(cuts["cut_id"]) & (row["mark"] == cuts["cut_mark"]), "left")
-    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
+    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"])))
 
     def without(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
         return let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i - 1)), "\n").alias("text"), (F.size(lines) - F.size(k)).alias("lines")))
 
     split = F.when(F.col("spans").isNotNull(), let(F.split("t", "\n"), without))
-    out = joined.select("_row", "t", "spans", split.alias("split"))
+    out = joined.select("_row", "t", "spans", "chunks", split.alias("split"))
     return out.select(
         "_row",
         F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.col("split.text")).alias("cleaned"),
         F.size(F.split(F.coalesce("t", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.filter("spans", lambda s: ~s["pair"])), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        F.coalesce("chunks", F.lit(0).cast("long")).alias("n_removed_chunks"),
         F.coalesce("split.lines", F.lit(0)).cast("long").alias("n_removed_lines"),
     )
