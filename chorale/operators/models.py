@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -14,6 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorale.functions.labels import encode
+from chorale.functions.tables import small
 from chorale.functions.vec import doubles
 from chorale.operators.metrics import bundle, confusion
 from chorale.operators.neighbors import nearest, vote
@@ -22,36 +27,38 @@ from chorale.operators.sampling import class_weights, drop_rare, stratified_fold
 
 def vectors(points: DataFrame) -> DataFrame:
     """(id, label, y, features, weight, …): labels numbered in order, balanced weights."""
-    codes = points.select("label").distinct().orderBy("label").collect()  # a row per label
-    y = F.create_map(*[F.lit(x) for i, r in enumerate(codes) for x in (r["label"], float(i))])[F.col("label")]
-    return class_weights(points.withColumn("y", y), "label").withColumn("features", array_to_vector(doubles("vec")))
+    codes = points.select("label").distinct().withColumn("y", encode("label").cast("double"))
+    return class_weights(points.join(small(codes), "label"), "label").withColumn("features", array_to_vector(doubles("vec")))
 
 
 def logistic(n_rows: int, c: float = 1.0) -> Estimator:
     """Multinomial with an L2 penalty; C counts against the summed loss, so regParam is 1 / (C n)."""
-    return LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1 / (c * n_rows), elasticNetParam=0, standardization=False, maxIter=100)
+    return LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1 / (c * n_rows), elasticNetParam=0, standardization=False, maxIter=1000)
 
 
 def linear_svm(n_rows: int, c: float = 1.0) -> Estimator:
     """One against the rest on scaled features, balanced."""
-    svm = LinearSVC(featuresCol="scaled", labelCol="y", weightCol="weight", regParam=1 / (c * n_rows), maxIter=30)
+    svm = LinearSVC(featuresCol="scaled", labelCol="y", weightCol="weight", regParam=1 / (c * n_rows), maxIter=1000, tol=1e-3)
     return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), OneVsRest(classifier=svm, featuresCol="scaled", labelCol="y", weightCol="weight", parallelism=4)])
 
 
-def random_forest(n_rows: int, trees: int = 100, depth: int = 10, min_rows: int = 1) -> Estimator:
+def random_forest(n_rows: int, trees: int = 100, depth: int = 30, min_rows: int = 1) -> Estimator:
+    """Depth 30 is the most that Spark ML has, and stands for no limit."""
     return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, seed=42)
 
 
-def boosted_trees(n_rows: int, rounds: int = 20, depth: int = 3, rate: float = 0.1) -> Estimator:
+def boosted_trees(n_rows: int, rounds: int = 100, depth: int = 5, rate: float = 0.1) -> Estimator:
     """Boosting is binary in Spark ML, so one against the rest."""
     return OneVsRest(classifier=GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42), featuresCol="features", labelCol="y", parallelism=4)
 
 
-def fourier_features(points: DataFrame, gamma: float | str = "scale", n: int = 128, seed: int = 42) -> DataFrame:
-    """Random Fourier features of the RBF kernel (Rahimi and Recht, 2007); a linear SVM on them stands for an RBF one."""
-    width, spread = points.select(F.max(F.size("vec")), F.lit(0)).first()[0], None
-    if gamma == "scale":
-        spread = points.select(F.explode(doubles("vec")).alias("x")).agg(F.var_pop("x")).first()[0]
+def fourier_map(points: DataFrame, gamma: float | str = "scale", n: int = 128, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """Random Fourier features of the RBF kernel (Rahimi and Recht, 2007); a linear SVM on them stands for an RBF one.
+
+    A gamma of scale or auto is taken from ``points``, which are those of training.
+    """
+    width = points.agg(F.max(F.size("vec"))).first()[0]
+    spread = points.select(F.explode(doubles("vec")).alias("x")).agg(F.var_pop("x")).first()[0] if gamma == "scale" else None
     g = 1 / (width * max(spread, 1e-12)) if gamma == "scale" else 1 / width if gamma == "auto" else float(gamma)
     rng = np.random.default_rng(seed)
     w, b = rng.normal(scale=np.sqrt(2 * g), size=(n, width)), rng.uniform(0, 2 * np.pi, n)
@@ -63,8 +70,11 @@ def fourier_features(points: DataFrame, gamma: float | str = "scale", n: int = 1
         m = np.stack(v.to_numpy()).astype(float)
         return pd.Series(list(np.sqrt(2 / n) * np.cos(m @ w.T + b)))
 
-    return points.withColumn("vec", lift(doubles("vec")))
+    return lambda df: df.withColumn("vec", lift(doubles("vec")))
+
 
+#: Rows of a partition in training; many small partitions cost more than they share.
+ROWS_IN_PART = 50_000
 
 Maker = Callable[..., Estimator]
 #: Classifiers by name: how to make one, its default settings, its grid.
@@ -72,9 +82,9 @@ _classifiers: dict[str, tuple[Maker, dict, dict]] = {
     "linear_probe": (logistic, {"c": 1.0}, {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}),
     "logistic_regression": (logistic, {"c": 1.0}, {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}),
     "svm_linear": (linear_svm, {"c": 1.0}, {"c": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]}),
-    "svm_rbf": (linear_svm, {"c": 1.0}, {"c": [0.1, 1.0, 10.0]}),
-    "random_forest": (random_forest, {"trees": 50, "depth": 8}, {"trees": [50, 100, 200], "depth": [10, 20, 30], "min_rows": [1, 2, 5]}),
-    "xgboost": (boosted_trees, {"rounds": 5, "depth": 3}, {"rounds": [50, 100, 200], "depth": [3, 5, 7], "rate": [0.01, 0.1, 0.3]}),
+    "svm_rbf": (linear_svm, {"c": 1.0, "gamma": "scale"}, {"c": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "gamma": ["scale", "auto", 0.001, 0.01, 0.1, 1.0]}),
+    "random_forest": (random_forest, {}, {"trees": [50, 100, 200], "depth": [10, 20, 30], "min_rows": [1, 2, 5]}),
+    "xgboost": (boosted_trees, {}, {"rounds": [50, 100, 200], "depth": [3, 5, 7], "rate": [0.01, 0.1, 0.3]}),
 }
 
 
@@ -84,23 +94,26 @@ def register_classifier(name: str, make: Maker, defaults: dict | None = None, gr
 
 @dataclass
 class Classifier:
-    """train, predict, evaluate and train_and_evaluate under one name."""
+    """train, predict, evaluate and train_and_evaluate under one name; without ``settings`` those it is registered with."""
 
     name: str
     settings: dict | None = None
     model: object | None = None
     labels: list | None = None
 
-    def _lift(self, points: DataFrame) -> DataFrame:
-        return fourier_features(points) if self.name == "svm_rbf" else points
+    lift: Callable[[DataFrame], DataFrame] | None = None
 
     def train(self, points: DataFrame) -> Classifier:
         if self.name not in _classifiers:
             raise ValueError(f"unknown classifier: {self.name}")
         make, defaults, _ = _classifiers[self.name]
-        rows = vectors(self._lift(points)).persist()
+        settings = dict(self.settings or defaults)
+        gamma = settings.pop("gamma", None)
+        self.lift = fourier_map(points, gamma) if gamma is not None else lambda df: df
+        rows = vectors(self.lift(points)).persist()
+        n = rows.count()
         self.labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
-        self.model = make(rows.count(), **(self.settings or defaults)).fit(rows)
+        self.model = make(n, **settings).fit(rows.coalesce(max(1, n // ROWS_IN_PART)))
         rows.unpersist()
         return self
 
@@ -108,7 +121,7 @@ class Classifier:
         """(id, label, pred)."""
         if self.model is None:
             raise ValueError("the classifier is not trained")
-        rows = self._lift(points).withColumns({"features": array_to_vector(doubles("vec")), "weight": F.lit(1.0)})
+        rows = self.lift(points).withColumns({"features": array_to_vector(doubles("vec")), "weight": F.lit(1.0)})
         names = F.array(*[F.lit(x) for x in self.labels])
         return self.model.transform(rows).select("id", "label", F.get(names, F.col("prediction").cast("int")).alias("pred"))
 
@@ -119,29 +132,44 @@ class Classifier:
         return self.train(split.where("NOT is_test")).evaluate(split.where("is_test"))
 
 
+#: Fits of a grid search that run at a time.
+AT_A_TIME = 8
+
+
 def grid_search(points: DataFrame, name: str, grid: dict | None = None, folds: int = 5) -> DataFrame:
     """(settings, cv_mean, cv_std, rank): balanced accuracy of every setting over stratified folds, best first."""
     grid = grid or _classifiers[name][2]
     rows = stratified_folds(points, "label", "id", folds).persist()
-    scores = []
-    for values in product(*grid.values()):
-        settings = dict(zip(grid, values, strict=True))
-        for fold in range(folds):
-            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            scores.append((str(settings), fold, Classifier(name, settings).train(train).evaluate(test).first()["balanced_accuracy"]))
+    rows.count()
+
+    def score(cell: tuple[dict, int]) -> tuple[str, int, float]:
+        settings, fold = cell
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        return repr(settings), fold, Classifier(name, settings).train(train).evaluate(test).first()["balanced_accuracy"]
+
+    cells = [(dict(zip(grid, values, strict=True)), fold) for values in product(*grid.values()) for fold in range(folds)]
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        scores = list(pool.map(inheritable_thread_target(points.sparkSession)(score), cells))
     rows.unpersist()
     table = points.sparkSession.createDataFrame(scores, "settings string, fold int, score double")
     means = table.groupBy("settings").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
     return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_mean"), "settings")))
 
 
+def search_and_refit(points: DataFrame, name: str, grid: dict | None = None, folds: int = 5) -> tuple[Classifier, DataFrame]:
+    """The classifier with the best settings of :func:`grid_search`, trained on all ``points``, and the scores."""
+    scores = grid_search(points, name, grid, folds)
+    best = ast.literal_eval(scores.where("rank = 1").first()["settings"])
+    return Classifier(name, best).train(points), scores
+
+
 def knn_metrics(split: DataFrame, k: int = 5) -> DataFrame:
     found = nearest(split.where("is_test"), split.where("NOT is_test"), k)
     return bundle(confusion(vote(found, [k]), "label", "pred"))
 
 
 def bake_off(points: DataFrame, names: tuple[str, ...] = tuple(_classifiers)) -> DataFrame:
-    """(classifier, metrics) of kNN and the named classifiers on one stratified split without rare labels."""
+    """(classifier, metrics) of kNN and the named classifiers, all by default, on one stratified split without rare labels."""
     split = stratified_split(drop_rare(points, "label"), "label", "id").persist()
     out = knn_metrics(split).withColumn("classifier", F.lit("knn"))
     for name in names:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorale.functions.tables import small
 from chorale.operators.neighbors import holdout
 
 
@@ -18,7 +19,7 @@ def choose(points: DataFrame, sizes: list[int], trials: int = 5, selection: str
     """
     counts = points.groupBy("label").agg(F.count("*").alias("rows"))
     configs = counts.sparkSession.createDataFrame([(n, t) for n in sizes for t in range(trials if selection == "random" else 1)], "n int, trial int")
-    keyed = counts.crossJoin(F.broadcast(configs))  # labels with configurations
+    keyed = counts.crossJoin(F.broadcast(configs))  # one row for each size and trial asked for
     order = {
         "random": [F.md5(F.concat((F.col("trial") + seed).cast("string"), F.lit(":"), F.col("label").cast("string")))],
         "most": [F.desc("rows")],
@@ -31,7 +32,7 @@ def choose(points: DataFrame, sizes: list[int], trials: int = 5, selection: str
 
 def split_trials(points: DataFrame, chosen: DataFrame, seed: int = 42) -> DataFrame:
     """(n, trial, id, label, vec, is_test): a stratified fifth of every label is for tests, anew in each trial."""
-    rows = points.join(F.broadcast(chosen), "label")
+    rows = points.join(small(chosen, 3), "label")
     label = Window.partitionBy("n", "trial", "label")
     order = F.md5(F.concat((F.col("trial") + seed).cast("string"), F.lit(":"), F.col("id").cast("string")))
     place = F.row_number().over(label.orderBy(order, "id"))

@@ -28,13 +28,23 @@ def framed(df: DataFrame, keys: list[str], t: str, x: str, length: int, hop: int
     return spread.groupBy(*keys, "frame").agg(F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"), (F.count_if(crossing) / F.lit(float(length))).alias("zcr"))
 
 
-def corpus_stats(clips: DataFrame, label: str, seconds: str, order: str, head: int = 10) -> DataFrame:
-    """(label, n_files, avg, min, max, total_estimated): durations over the first ``head`` clips of a label, 0 without any."""
+_DURATIONS = (("avg_duration", F.avg), ("min_duration", F.min), ("max_duration", F.max))
+
+
+def corpus_stats(clips: DataFrame, label: str, seconds: str) -> DataFrame:
+    """(label, n_files, avg, min, max, total): durations of all clips of a label, 0 if none is known."""
+    x = F.col(seconds).cast("double")
+    sums = clips.groupBy(label).agg(F.count("*").alias("n_files"), *[F.coalesce(f(x), F.lit(0.0)).alias(n) for n, f in _DURATIONS], F.coalesce(F.sum(x), F.lit(0.0)).alias("total_duration"))
+    return sums.select(label, "n_files", "avg_duration", "min_duration", "max_duration", "total_duration")
+
+
+def corpus_estimate(clips: DataFrame, label: str, seconds: str, order: str, head: int = 10) -> DataFrame:
+    """The same estimated from the first ``head`` clips of each label, for corpora whose clips must be opened for their durations."""
     place = F.row_number().over(Window.partitionBy(label).orderBy(order))
     counts = clips.groupBy(label).agg(F.count("*").alias("n_files"))
     first = clips.withColumn("_p", place).where(F.col("_p") <= head)
-    means = first.groupBy(label).agg(*[f(F.col(seconds).cast("double")).alias(n) for n, f in (("avg_duration", F.avg), ("min_duration", F.min), ("max_duration", F.max))])
-    filled = [F.coalesce(n, F.lit(0.0)).alias(n) for n in ("avg_duration", "min_duration", "max_duration")]
+    means = first.groupBy(label).agg(*[f(F.col(seconds).cast("double")).alias(n) for n, f in _DURATIONS])
+    filled = [F.coalesce(n, F.lit(0.0)).alias(n) for n, _ in _DURATIONS]
     return counts.join(means, label, "left").select(label, "n_files", *filled).withColumn("total_duration", F.col("avg_duration") * F.col("n_files"))
 
 

@@ -132,18 +132,19 @@ SELECT id AS file_key, dim::INT AS dim, round((x - avg(x) OVER w) / stddev_pop(x
     "covariance_matrix": f"WITH {_EMB} SELECT a.dim AS i, b.dim AS j, round(covar_pop(a.x, b.x), 9) AS cov FROM emb a JOIN emb b ON a.id = b.id AND a.dim <= b.dim GROUP BY ALL",
     "class_scatter": f"WITH {_EMB} SELECT label, dim, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x) * count(*), 6) AS within FROM emb GROUP BY ALL",
     "feature_intersection": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
-    "feature_inner_join": f"WITH {_EMB} SELECT id AS file_key, dim, round(x, 6) AS x FROM emb WHERE id % 2 = 0 AND id % 3 = 0",
+    "feature_inner_join": f"WITH {_EMB} SELECT id AS file_key, dim, round(x, 6) AS x FROM emb",
     "label_semi_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "left_join_metrics": f"WITH {_LAY}, {_ch('lay', 'layer')}, {_NN}, {_votes('layer', '[5]')} SELECT c.layer::INT AS layer, round(score, 6) AS ch, round(coalesce(balanced_accuracy, 0), 6) AS knn FROM ch c LEFT JOIN bundle b ON b.layer = c.layer AND b.layer <> 2",
     "full_outer_layers": f"""WITH {_LAY}, lay8 AS (SELECT id, label, dim // 8 AS layer, dim % 8 AS dim, x FROM emb WHERE dim >= 16), {_ch('lay', 'layer', 'a')}, {_ch('lay8', 'layer', 'b')}
 SELECT coalesce(a.layer, b.layer)::INT AS layer, round(coalesce(a.score, 0), 6) AS a, round(coalesce(b.score, 0), 6) AS b FROM a FULL JOIN b ON a.layer = b.layer""",
-    "cross_grid_fill": """WITH c AS (SELECT lang, source, avg(n_chars::DOUBLE) AS value FROM documents WHERE n_chars > 3000 GROUP BY ALL)
+    "cross_grid_fill": """WITH c AS (SELECT lang, source, avg(n_chars::DOUBLE) AS value FROM documents GROUP BY ALL)
 SELECT l.lang, s.source, round(coalesce(c.value, 0), 6) AS value FROM (SELECT DISTINCT lang FROM c) l CROSS JOIN (SELECT DISTINCT source FROM c) s LEFT JOIN c USING (lang, source)""",
     "metric_except": "SELECT * FROM (VALUES ('knn_accuracy', 'Knn Accuracy'), ('silhouette', 'Silhouette')) t(metric, title)",
-    "dataset_stats": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)
+    "dataset_stats": "SELECT source, count(*) AS n_files, round(avg(n_chars), 6) AS avg_duration, min(n_chars)::DOUBLE AS min_duration, max(n_chars)::DOUBLE AS max_duration, sum(n_chars)::DOUBLE AS total_duration FROM documents GROUP BY source",
+    "dataset_stats_estimate": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)
 SELECT source, count(*) AS n_files, round(avg(n_chars) FILTER (p <= 10), 6) AS avg_duration, (min(n_chars) FILTER (p <= 10))::DOUBLE AS min_duration, (max(n_chars) FILTER (p <= 10))::DOUBLE AS max_duration,
   round(avg(n_chars) FILTER (p <= 10) * count(*), 6) AS total_duration FROM p GROUP BY source""",
-    "distinct_sorted": "SELECT lang, array_to_string(list_sort(list_distinct(list(source)))[1:20], ',') AS sources, count(DISTINCT source) AS n_sources, count(*) AS n_files FROM documents GROUP BY lang",
+    "distinct_sorted": "SELECT lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(DISTINCT source) AS n_sources, count(*) AS n_files FROM documents GROUP BY lang",
     "totals_rollup": "SELECT lang, count_if(n_chars >= 500)::BIGINT AS n_ok, count(*) AS n_all FROM documents GROUP BY ROLLUP (lang)",
     "subset_sample": "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) <= 20",
     "stratified_split": f"WITH {_SPLIT} SELECT id, label, is_test FROM split",
@@ -186,7 +187,7 @@ SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s
 SELECT 1 AS section, lpad(layer::VARCHAR, 3, '0') || metric AS place, 'Layer ' || layer || '  ' || title || '  ' || printf('%.4f', value) AS line FROM t
 UNION ALL SELECT 2, metric || rank, title || '  ' || rank || '. layer ' || layer || '  ' || printf('%.4f', value) FROM t WHERE rank <= 3""",
     "flagship": f"WITH {_NN}, {_votes('layer', '[3, 5, 7, 9]')}, c AS (SELECT layer, k, round(balanced_accuracy, 9) AS b FROM bundle) SELECT layer, k, round(b, 6) AS balanced_accuracy, row_number() OVER (ORDER BY b DESC, layer, k) AS rank FROM c",
-    "scaling_study": f"""WITH cfg AS (SELECT n, trial FROM (SELECT unnest([2, 3, 5, 8, 10, 50]) AS n), range(3) r(trial)), lab AS (SELECT DISTINCT label FROM embeddings
+    "scaling_study": f"""WITH cfg AS (SELECT n, trial FROM (SELECT unnest([2, 3, 5, 8, 10, 50]) AS n), range(5) r(trial)), lab AS (SELECT DISTINCT label FROM embeddings
 ), chosen AS (SELECT n, trial, label FROM cfg, lab WHERE n <= (SELECT count(*) FROM lab) QUALIFY row_number() OVER (PARTITION BY n, trial ORDER BY md5((trial + 42) || ':' || label), label) <= n
 ), rows_ AS (SELECT n, trial, vec_id AS id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY n, trial, label ORDER BY md5((trial + 42) || ':' || vec_id), vec_id) <= (count(*) OVER (PARTITION BY n, trial, label) + 4) // 5 AS is_test FROM embeddings JOIN chosen USING (label)
 ), nn AS (

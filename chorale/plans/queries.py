@@ -272,8 +272,7 @@ def feature_intersection(spark, sf_dir):
 @query
 def feature_inner_join(spark, sf_dir):
     sets = _sets(spark, sf_dir)
-    m, s = sets["handcrafted"].where("file_key % 2 = 0"), sets["encoder"].where("file_key % 3 = 0")
-    return _long(m.withColumnRenamed("vec", "m").join(s, "file_key").select("file_key", F.concat("m", "vec").alias("vec")), "file_key")
+    return _long(sets["handcrafted"].withColumnRenamed("vec", "m").join(sets["encoder"], "file_key").select("file_key", F.concat("m", "vec").alias("vec")), "file_key")
 
 
 @query
@@ -298,7 +297,7 @@ def full_outer_layers(spark, sf_dir):
 
 @query
 def cross_grid_fill(spark, sf_dir):
-    cells = table(spark, sf_dir, "documents").where("n_chars > 3000").groupBy("lang", "source").agg(F.avg(F.col("n_chars").cast("double")).alias("value"))
+    cells = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.avg(F.col("n_chars").cast("double")).alias("value"))
     return ranking.grid(cells, "lang", "source", "value").select("lang", "source", r6("value"))
 
 
@@ -314,15 +313,21 @@ def metric_except(spark, sf_dir):
 
 @query
 def dataset_stats(spark, sf_dir):
-    out = stats.corpus_stats(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
+    out = stats.corpus_stats(table(spark, sf_dir, "documents"), "source", "n_chars")
+    return out.select("source", "n_files", *[r6(c) for c in out.columns[2:]])
+
+
+@query
+def dataset_stats_estimate(spark, sf_dir):
+    """The estimate from the first ten files of each source."""
+    out = stats.corpus_estimate(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
     return out.select("source", "n_files", *[r6(c) for c in out.columns[2:]])
 
 
 @query
 def distinct_sorted(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    first = F.slice(F.array_sort(F.collect_set("source")), 1, 20)
-    return d.groupBy("lang").agg(F.array_join(first, ",").alias("sources"), F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_files"))
+    return d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_files"))
 
 
 @query
@@ -489,7 +494,7 @@ def flagship(spark, sf_dir):
 
 @query
 def scaling_study(spark, sf_dir):
-    out = scaling.scaling_study(points(spark, sf_dir), [2, 3, 5, 8, 10, 50], trials=3)
+    out = scaling.scaling_study(points(spark, sf_dir), [2, 3, 5, 8, 10, 50])
     return out.select("n", "trials", *[r6(c) for c in out.columns[2:]])
 
 
@@ -516,12 +521,12 @@ QUERIES |= {"logreg_probe": _model("linear_probe"), "svm_linear": _model("svm_li
 
 @query
 def grid_search(spark, sf_dir):
-    return models.grid_search(points(spark, sf_dir), "linear_probe", {"c": [0.1, 1.0]}, folds=3)
+    return models.grid_search(points(spark, sf_dir), "linear_probe")
 
 
 @query
 def bakeoff(spark, sf_dir):
-    return models.bake_off(points(spark, sf_dir), ("logistic_regression", "random_forest"))
+    return models.bake_off(points(spark, sf_dir))
 
 
 @query
@@ -536,9 +541,9 @@ def discriminant_2d(spark, sf_dir):
 
 @query
 def tsne_2d(spark, sf_dir):
-    return reduction.layout_2d(layers4(spark, sf_dir), "tsne", ("layer",), steps=300)
+    return reduction.layout_2d(layers4(spark, sf_dir), "tsne", ("layer",))
 
 
 @query
 def umap_2d(spark, sf_dir):
-    return reduction.layout_2d(layers4(spark, sf_dir), "umap", ("layer",), epochs=100)
+    return reduction.layout_2d(layers4(spark, sf_dir), "umap", ("layer",))
