@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.vec import dot, long_form, rebuild, unit
-from chorale.operators.neighbors import cluster_distances
+from chorale.functions.tables import small
+from chorale.functions.vec import long_form, rebuild, unit
+from chorale.operators.neighbors import BLOCK, cluster_distances
+
+#: Labels in a block of clusters, at most about.
+LABELS = 4096
 
 
-def _mean_silhouette(sums: DataFrame) -> DataFrame:
-    """From (id, label, other, total, n); a point alone in its cluster counts 0."""
+def _mean_silhouette(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, silhouette) from (keys, id, label, other, total, n); a point alone in its cluster counts 0."""
     means = sums.withColumn("m", F.try_divide(F.col("total"), F.col("n").cast("double")))
-    each = means.groupBy("id", "label").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("m"))).alias("b"))
-    return each.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    each = means.groupBy(*keys, "id", "label").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("m"))).alias("b"))
+    return each.groupBy(*keys).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def silhouette_euclidean(points: DataFrame) -> DataFrame:
@@ -21,14 +29,52 @@ def silhouette_euclidean(points: DataFrame) -> DataFrame:
     return _mean_silhouette(cluster_distances(points, "euclidean"))
 
 
-def silhouette_cosine(points: DataFrame) -> DataFrame:
-    """Exact without pairs: cosine distances to a cluster sum up to its size less a product with its sum of unit vectors."""
-    units = points.select("id", "label", unit(F.col("vec").cast("array<double>")).alias("u"))
-    sums = rebuild(long_form(units, "u", "label").groupBy("label", "dim").agg(F.sum("x").alias("x")), "label", out="s")
-    clusters = sums.join(units.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("label").alias("other"), "s", "size")
-    pairs = units.join(F.broadcast(clusters))  # clusters are labels, not rows
-    own = F.col("label") == F.col("other")
-    return _mean_silhouette(pairs.select("id", "label", "other", (F.col("size") - dot(F.col("u"), F.col("s")) - F.when(own, 1 - dot(F.col("u"), F.col("u"))).otherwise(0.0)).alias("total"), (F.col("size") - own.cast("int")).alias("n")))
+def _against_labels(rows: DataFrame, clusters: DataFrame, keys: tuple[str, ...], one: Callable[[pd.DataFrame, pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
+    """``one`` on every block of rows (keys, id, label, ...) with every block of clusters (keys, label, ...), of LABELS at most.
+
+    There is one block of clusters unless labels are many, so rows go through the shuffle once.
+    """
+    most = clusters.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    n_labels, n_rows = max(1, -(-most // LABELS)), max(1, -(-rows.count() // BLOCK))
+    dealt = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))))
+    told = clusters.withColumn("cb", F.pmod(F.xxhash64("label"), F.lit(n_labels)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    told = told.select(*[F.col(c).alias(f"_{c}") for c in told.columns])  # names of its own, for both sides can be one table
+    block = [*keys, "rb", "cb"]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [x.strip().split(" ")[0] for x in schema.split(",")]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in names})
+        return one(left, right.rename(columns=lambda c: c[1:]), dict(zip(keys, key, strict=False)))[names]
+
+    return dealt.groupBy(*block).cogroup(told.groupBy(*[f"_{c}" for c in block])).applyInPandas(run, schema)
+
+
+def silhouette_cosine(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Exact without pairs of points: cosine distances to a cluster sum up to its size less a product with its sum of unit vectors.
+
+    Blocks of points are multiplied with the matrix of label sums; a point's own cluster and the nearest
+    other one are all that comes back.
+    """
+    units = points.select(*keys, "id", "label", unit(F.col("vec").cast("array<double>")).alias("u"))
+    sums = rebuild(long_form(units, "u", *keys, "label").groupBy(*keys, "label", "dim").agg(F.sum("x").alias("x")), *keys, "label", out="s")
+    clusters = sums.join(units.groupBy(*keys, "label").agg(F.count("*").alias("size")), [*keys, "label"])
+    kinds = dict(units.dtypes)
+
+    def one(left: pd.DataFrame, right: pd.DataFrame, head: dict) -> pd.DataFrame:
+        u, s, size = np.stack(left["u"]), np.stack(right["s"]), right["size"].to_numpy(dtype=float)
+        own = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
+        total = size[None, :] - u @ s.T - np.where(own, 1 - (u * u).sum(1)[:, None], 0)
+        n = size[None, :] - own
+        mean = np.divide(total, n, out=np.full(total.shape, np.nan), where=n > 0)
+        a = np.where(own, mean, np.nan)
+        b = np.where(own, np.inf, mean).min(axis=1)
+        return left[["id", "label"]].assign(**head, a=np.where(own.any(1), np.nansum(a, axis=1) + np.where(np.isnan(a).all(1), np.nan, 0), np.nan), b=np.where(np.isfinite(b), b, np.nan))
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, "id", "label")], "a double", "b double"])
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    each = _against_labels(units, clusters, keys, one, schema).groupBy(*keys, "id", "label").agg(F.max(known("a")).alias("a"), F.min(known("b")).alias("b"))
+    return each.groupBy(*keys).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def scatter(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,16 +93,26 @@ def calinski_harabasz(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 
 def davies_bouldin(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, score): mean over labels of the worst (s_i + s_j) / d_ij; labels, not rows, are paired."""
+    """(keys, score): mean over labels of the worst (s_i + s_j) / d_ij; labels, not rows, are compared, in blocks.
+
+    Labels with the same centroid are not compared; null with one label.
+    """
     centroids = rebuild(scatter(points, keys).withColumnRenamed("mean", "x"), *keys, "label", out="c")
-    joined = points.join(F.broadcast(centroids), [*keys, "label"]) if keys else points.join(F.broadcast(centroids), "label")
+    width = points.agg(F.max(F.size("vec"))).first()[0] or 1
+    joined = points.join(small(centroids, width), [*keys, "label"])
     gap = F.sqrt(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    spread = joined.groupBy(*keys, "label").agg(F.avg(gap).alias("s")).join(centroids, [*keys, "label"])
-    a, b = spread.alias("a"), spread.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.label") != F.col("b.label")]
-    far = F.sqrt(F.aggregate(F.zip_with("a.c", "b.c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda m, x: m + x))
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    worst = a.join(F.broadcast(b), cond).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.label")).agg(F.max(F.try_divide(F.col("a.s") + F.col("b.s"), far)).alias("r"))
+    spread = joined.groupBy(*keys, "label").agg(F.avg(gap).alias("s")).join(centroids, [*keys, "label"]).persist()
+    kinds = dict(spread.dtypes)
+
+    def one(left: pd.DataFrame, right: pd.DataFrame, head: dict) -> pd.DataFrame:
+        a, b = np.stack(left["c"]), np.stack(right["c"])
+        far = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) if len(a) * len(b) * a.shape[1] <= 1 << 22 else np.stack([np.sqrt(((x - b) ** 2).sum(1)) for x in a])
+        other = (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]) & (far > 0)
+        both = left["s"].to_numpy()[:, None] + right["s"].to_numpy()[None, :]
+        worst = np.divide(both, far, out=np.full(far.shape, -1.0), where=other).max(axis=1)
+        return left[["label"]].assign(**head, r=np.where(worst >= 0, worst, np.nan))
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, "label")], "r double"])
+    rows = spread.withColumn("id", F.col("label"))
+    worst = _against_labels(rows, spread, keys, one, schema).groupBy(*keys, "label").agg(F.max(F.when(~F.isnan("r"), F.col("r"))).alias("r"))
     return worst.groupBy(*keys).agg(F.avg("r").alias("score"))

@@ -41,8 +41,14 @@ def check_layers(df: DataFrame, keys: list[str], layers: list[int]) -> None:
         raise ValueError("some clips lack some of the layers")
 
 
-def combine_layers(df: DataFrame, keys: list[str], method: str, layers: list[int], weights: dict[int, float] | None = None, vec: str = "vec") -> DataFrame:
-    """(keys, vec): concatenation, mean, weighted_mean or max over the given layers, in that order."""
+def combine_layers(df: DataFrame, keys: list[str], method: str, layers: list[int], weights: dict[int, float] | None = None, vec: str = "vec", check: bool = True) -> DataFrame:
+    """(keys, vec): concatenation, mean, weighted_mean or max over the given layers, in that order.
+
+    Several poolings are combined at once with their column among ``keys``. ValueError if one of the keys
+    lacks a layer, unless ``check`` is false.
+    """
+    if check:
+        check_layers(df, keys, layers)
     place = F.create_map(*[F.lit(x) for pair in enumerate(layers) for x in (pair[1], pair[0])])
     rows = df.where(F.col("layer").isin(layers)).select(*keys, "layer", place[F.col("layer")].alias("place"), doubles(vec).alias("v"))
     if method == "concatenation":

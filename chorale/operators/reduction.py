@@ -1,8 +1,8 @@
 """Two-dimensional views of vectors: PCA, linear discriminants, t-SNE and UMAP.
 
-The first two are aggregates over all rows. The last two place points one by one against each other; they
-run in the task of their group (a layer or a pooling), over as many points as ``most`` says at most, taken
-in hash order. That bound is the operator's, for a picture with more points shows nothing more.
+The first two are aggregates over all rows. The last two fit points one by one against each other, in the task
+of their group (a layer or a pooling). A group of more than ``most`` points is fitted on so many landmarks of
+it, taken in hash order; every other point is then placed among its nearest landmarks, in blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chorale.functions.vec import doubles
 from chorale.operators.clustering import scatter
 from chorale.operators.fusion import CentredPCA, covariance
+from chorale.operators.neighbors import nearest
 from chorale.operators.sampling import hash_order
 
 
@@ -119,12 +120,22 @@ def umap(x: np.ndarray, neighbours: int = 15, min_dist: float = 0.1, epochs: int
     return y
 
 
-def layout_2d(points: DataFrame, method: str = "umap", keys: tuple[str, ...] = (), most: int = 2000, **options) -> DataFrame:
-    """(keys, id, label, x, y, error) by t-SNE or UMAP for each group; a group that fails has null places and ``error``."""
-    f = {"tsne": tsne, "umap": umap}[method]
+_methods = {"tsne": tsne, "umap": umap}
+
+
+def layout_2d(points: DataFrame, method: str = "umap", keys: tuple[str, ...] = (), most: int = 2000, near: int = 5, **options) -> DataFrame:
+    """(keys, id, label, x, y, error): every point of every group by t-SNE, UMAP or, for any other method, PCA over all groups.
+
+    Points that are no landmarks of a large group get the mean place of their ``near`` nearest landmarks,
+    weighted by 1 / distance (cosine, as UMAP's). A group that fails has null places and ``error``.
+    """
+    if method not in _methods:
+        return _pca_by_group(points, keys) if keys else pca_2d(points).withColumn("error", F.lit(None).cast("string"))
+    f = _methods[method]
     rows = points.select(*keys, "id", "label", doubles("vec").alias("vec"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order("id"), "id"))
-    rows = rows.withColumn("_p", place).where(F.col("_p") <= most).drop("_p")
+    placed = rows.withColumn("_p", place)
+    fitted, rest = placed.where(F.col("_p") <= most).drop("_p"), placed.where(F.col("_p") > most).drop("_p")
     kinds = dict(rows.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,5 +147,26 @@ def layout_2d(points: DataFrame, method: str = "umap", keys: tuple[str, ...] = (
         return pdf[[*keys, "id", "label"]].assign(x=at[:, 0], y=at[:, 1], error=error)
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, "id", "label")], "x double, y double, error string"])
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))
-    return grouped.applyInPandas(one, schema)
+    grouped = fitted.groupBy(*keys) if keys else fitted.groupBy(F.lit(0))
+    layout = grouped.applyInPandas(one, schema)
+    if not rest.take(1):
+        return layout
+    layout = layout.persist()
+    close = nearest(rest, fitted, near, keys).withColumn("w", 1 / (F.col("dist") + 1e-9))
+    marks = layout.select(*keys, F.col("id").alias("neighbour"), "x", "y", "error")
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
+    beside = close.join(marks, [*keys, "neighbour"]).groupBy(*keys, "id", "label").agg(mean("x"), mean("y"), F.max("error").alias("error"))
+    return layout.unionByName(beside.select(*layout.columns))
+
+
+def _pca_by_group(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """PCA of each group; the groups, not the rows, are gone through."""
+    out = None
+    for group in points.select(*keys).distinct().collect():
+        at = [F.col(k).eqNullSafe(F.lit(group[k])) for k in keys]
+        cond = at[0]
+        for c in at[1:]:
+            cond = cond & c
+        part = pca_2d(points.where(cond)).select(*[F.lit(group[k]).alias(k) for k in keys], "id", "label", "x", "y", F.lit(None).cast("string").alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out
