@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.functions.vec import doubles, rebuild
+from chorale.operators.clustering import calinski_harabasz, davies_bouldin, silhouette_cosine
 
 STRATEGIES = ("specified", "early", "middle", "late", "early_middle_late", "all")
 
@@ -73,3 +74,20 @@ def weights_from_scores(score: Column, *partition: str) -> Column:
     """score / sum of scores where the sum is positive, else equal weights."""
     w = Window.partitionBy(*partition)
     return F.when(F.sum(score).over(w) > 0, score / F.sum(score).over(w)).otherwise(F.lit(1.0) / F.count("*").over(w))
+
+
+#: How layers are scored for their weights.
+CONTRIBUTIONS = ("silhouette", "calinski", "davies_bouldin")
+
+
+def layer_contributions(df: DataFrame, metric: str = "silhouette", keys: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """(keys, score): cosine silhouette, Calinski-Harabasz or 1 / (Davies-Bouldin + 1e-6); 0 where it cannot be told, ValueError for another metric."""
+    if metric not in CONTRIBUTIONS:
+        raise ValueError(f"unknown metric: {metric}")
+    if metric == "silhouette":
+        found = silhouette_cosine(df, keys).withColumnRenamed("silhouette", "score")
+    elif metric == "calinski":
+        found = calinski_harabasz(df, keys)
+    else:
+        found = davies_bouldin(df, keys).withColumn("score", 1 / (F.col("score") + F.lit(1e-6)))
+    return df.select(*keys).distinct().join(found, list(keys), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

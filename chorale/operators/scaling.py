@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.functions.tables import small
+from chorale.operators.models import Classifier
 from chorale.operators.neighbors import holdout
 
 
@@ -45,15 +46,34 @@ def scaling_study(points: DataFrame, sizes: list[int], trials: int = 5, selectio
     All trials are one grouped query; nothing loops on the driver.
     """
     rows = split_trials(points, choose(points, sizes, trials, selection, seed), seed).withColumnRenamed("n", "size")
-    scores = holdout(rows, [k], ("size", "trial"))
+    return _summed(holdout(rows, [k], ("size", "trial")))
+
+
+def _summed(scores: DataFrame) -> DataFrame:
     stats = [f(F.col(m)).alias(f"{m}_{s}") for m in ("accuracy", "balanced_accuracy", "macro_f1") for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
     return scores.groupBy("size").agg(F.count("*").alias("trials"), *stats).withColumnRenamed("size", "n")
 
 
-def compare_scaling(sets: dict[str, DataFrame], sizes: list[int], study: Callable[..., DataFrame] = scaling_study, **options) -> DataFrame:
-    """Every feature set's study in one table with a column features."""
+def classifier_study(name: str) -> Callable[..., DataFrame]:
+    """A study like :func:`scaling_study` with a registered classifier; a model is fitted for each size and trial."""
+
+    def study(points: DataFrame, sizes: list[int], trials: int = 5, selection: str = "random", seed: int = 42) -> DataFrame:
+        rows = split_trials(points, choose(points, sizes, trials, selection, seed), seed).persist()
+        scores = None
+        for cell in rows.select("n", "trial").distinct().orderBy("n", "trial").collect():  # sizes times trials
+            here = rows.where((F.col("n") == cell["n"]) & (F.col("trial") == cell["trial"])).select("id", "label", "vec", "is_test")
+            one = Classifier(name).train_and_evaluate(here).withColumns({"size": F.lit(cell["n"]), "trial": F.lit(cell["trial"])})
+            scores = one if scores is None else scores.unionByName(one)
+        return _summed(scores)
+
+    return study
+
+
+def compare_scaling(sets: dict[str, DataFrame], sizes: list[int], studies: dict[str, Callable[..., DataFrame]] | None = None, **options) -> DataFrame:
+    """Every study (kNN by default) of every feature set in one table with columns features and classifier."""
     out = None
     for name, points in sets.items():
-        rows = study(points, sizes, **options).withColumn("features", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+        for classifier, study in (studies or {"knn": scaling_study}).items():
+            rows = study(points, sizes, **options).withColumns({"features": F.lit(name), "classifier": F.lit(classifier)})
+            out = rows if out is None else out.unionByName(rows)
     return out

@@ -48,6 +48,13 @@ def corpus_estimate(clips: DataFrame, label: str, seconds: str, order: str, head
     return counts.join(means, label, "left").select(label, "n_files", *filled).withColumn("total_duration", F.col("avg_duration") * F.col("n_files"))
 
 
+def corpus_blocks(clips: DataFrame, block: str, individual: str, call: str, seconds: str) -> DataFrame:
+    """(block, num_files, num_individuals, individuals, num_call_types, call_types, avg_duration): each part of a corpus, such as adults and young; null names count for nothing."""
+    names = lambda c: F.array_sort(F.collect_set(c))
+    rows = clips.groupBy(block).agg(F.count("*").alias("num_files"), names(individual).alias("individuals"), names(call).alias("call_types"), F.coalesce(F.avg(F.col(seconds).cast("double")), F.lit(0.0)).alias("avg_duration"))
+    return rows.select(block, "num_files", F.size("individuals").cast("long").alias("num_individuals"), "individuals", F.size("call_types").cast("long").alias("num_call_types"), "call_types", "avg_duration")
+
+
 def totals(df: DataFrame, group: str, ok: str) -> DataFrame:
     """(group, n_ok, n_all), and one row for all with a null group."""
     return df.rollup(group).agg(F.count_if(F.col(ok)).alias("n_ok"), F.count("*").alias("n_all"))

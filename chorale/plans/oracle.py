@@ -66,6 +66,11 @@ def _db(source: str, keys: str, out: str = "db") -> str:
 ), {out} AS (SELECT {k}avg(r) AS score FROM {out}_w {by})"""
 
 
+_LAYER_SILHOUETTE = """sp AS (SELECT vec_id AS id, label, l AS layer, embedding[l * 16 + 1 : l * 16 + 16]::DOUBLE[] AS v FROM embeddings, range(4) t(l)
+), sd AS (
+  SELECT q.layer, q.id, q.label, t.label AS other, avg(1 - list_dot_product(q.v, t.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(t.v, t.v))) AS m FROM sp q JOIN sp t ON q.layer = t.layer AND q.id <> t.id GROUP BY ALL
+), ss AS (SELECT layer, id, max(m) FILTER (other = label) AS a, min(m) FILTER (other <> label) AS b FROM sd GROUP BY layer, id
+), sil AS (SELECT layer, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette FROM ss GROUP BY layer)"""
 _METRICS = f"""WITH {_LAY}, {_ch("lay", "layer")}, {_db("lay", "layer")}, {_NN}, {_votes("layer", "[5]")}, metrics AS (
   SELECT layer, 'calinski_harabasz' AS metric, round(score, 9) AS value FROM ch UNION ALL SELECT layer, 'davies_bouldin', round(score, 9) FROM db
   UNION ALL SELECT layer, 'knn_accuracy', round(accuracy, 9) FROM bundle UNION ALL SELECT layer, 'knn_balanced_accuracy', round(balanced_accuracy, 9) FROM bundle UNION ALL SELECT layer, 'knn_macro_f1', round(macro_f1, 9) FROM bundle
@@ -124,6 +129,20 @@ SELECT page_id, file_key, CASE WHEN len(a) > 1 THEN a[-2] ELSE split_part(regexp
     "layer_weighted_mean": f"WITH {_LAY} SELECT id, dim::INT AS dim, round(sum(x / (layer + 1)) / sum(1 / (layer + 1)), 6) AS x FROM lay GROUP BY ALL",
     "layer_select": f"WITH {_LAY} SELECT id, layer::INT AS layer, dim::INT AS dim, round(x, 6) AS x FROM lay WHERE layer IN (0, 2, 3)",
     "layer_contribution_weights": f"WITH {_LAY}, {_ch('lay', 'layer')} SELECT layer::INT AS layer, round(score, 6) AS score, round(CASE WHEN sum(score) OVER () > 0 THEN score / sum(score) OVER () ELSE 1.0::DOUBLE / count(*) OVER () END, 6) AS weight FROM ch",
+    "layer_silhouette": f"WITH {_LAYER_SILHOUETTE} SELECT layer::INT AS layer, round(silhouette, 6) AS silhouette FROM sil",
+    "layer_contributions": f"""WITH {_LAYER_SILHOUETTE}, {_LAY}, {_ch('lay', 'layer')}, {_db('lay', 'layer')}, scores AS (
+  SELECT 'silhouette' AS metric, layer, silhouette AS score FROM sil UNION ALL SELECT 'calinski', layer, score FROM ch UNION ALL SELECT 'davies_bouldin', layer, 1 / (score + 1e-6) FROM db
+) SELECT metric, layer::INT AS layer, round(score, 6) AS score, round(CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END, 6) AS weight FROM scores WINDOW w AS (PARTITION BY metric)""",
+    "layer_mean_by_pooling": f"""WITH {_LAY}, p AS (SELECT id, layer, dim % 4 AS dim, avg(x) AS mean, max(x) AS max FROM lay GROUP BY ALL)
+SELECT id, 'mean' AS method, dim::INT AS dim, round(avg(mean), 6) AS x FROM p GROUP BY id, dim UNION ALL SELECT id, 'max', dim::INT, round(avg(max), 6) FROM p GROUP BY id, dim""",
+    "stats_json": """SELECT source, to_json({source: source, n_files: n, total: t})::VARCHAR AS json FROM (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS t FROM documents GROUP BY source)""",
+    "subset_manifest": """WITH c AS (SELECT source AS label, doc_id::VARCHAR AS f FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id::VARCHAR) <= 20)
+SELECT label, count(*) AS num_files, string_agg(f, ',' ORDER BY f) AS files, (SELECT count(*) FROM c) AS total_files, 42 AS random_seed FROM c GROUP BY label""",
+    "corpus_blocks": """SELECT o_orderstatus, count(*) AS num_files, count(DISTINCT o_custkey) AS num_individuals, coalesce(string_agg(DISTINCT k, ',' ORDER BY k), '') AS call_types, round(avg(o_totalprice), 4) AS avg_duration
+FROM (SELECT *, CASE WHEN contains(o_orderpriority, '-') THEN string_split(o_orderpriority, '-')[-1] END AS k FROM orders) GROUP BY o_orderstatus""",
+    "overall_summary": f"""{_METRICS}, b AS (SELECT layer FROM ranked WHERE metric = 'knn_accuracy' AND rank = 1), v AS (
+  SELECT layer, max(value) FILTER (metric = 'knn_accuracy') AS a, max(value) FILTER (metric = 'knn_balanced_accuracy') AS ba, max(value) FILTER (metric = 'knn_macro_f1') AS f FROM metrics JOIN b USING (layer) GROUP BY layer)
+SELECT 0 AS place, 'k-NN (Layer ' || layer || '): accuracy ' || printf('%.4f', a) || ', balanced accuracy ' || printf('%.4f', ba) || ', macro F1 ' || printf('%.4f', f) AS line FROM v""",
     "standardize": f"WITH {_EMB} SELECT id, dim, round((x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1), 6) AS x FROM emb WINDOW w AS (PARTITION BY dim)",
     "fusion_concat": f"WITH {_SETS} SELECT file_key, dim, round(x, 6) AS x FROM sets",
     "fusion_weighted": f"WITH {_SETS} SELECT file_key, dim, round(x * CASE WHEN dim < 16 THEN 64 / (16 * 2)::DOUBLE ELSE 64 / (48 * 2)::DOUBLE END, 6) AS x FROM sets",

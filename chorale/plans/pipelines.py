@@ -21,6 +21,18 @@ def subset(spark: SparkSession, root: str, n: int = 20, seed: int = 42) -> DataF
     return sampling.sample_per_group(files, "label", "file_key", n, seed).select("label", "file_key")
 
 
+def manifest(chosen: DataFrame, dataset: str, n: int, seed: int = 42) -> DataFrame:
+    """One row (dataset, samples_per_individual, individuals, total_files, random_seed) for a subset; individuals maps to number and list of files."""
+    each = chosen.groupBy("label").agg(F.struct(F.count("*").alias("num_files"), F.array_sort(F.collect_list("file_key")).alias("files")).alias("v"))
+    one = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "v")))).alias("individuals"), F.coalesce(F.sum("v.num_files"), F.lit(0)).alias("total_files"))
+    return one.select(F.lit(dataset).alias("dataset"), F.lit(n).alias("samples_per_individual"), "individuals", "total_files", F.lit(seed).alias("random_seed"))
+
+
+def chosen_clips(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """The clips of a manifest's rows (file_key), with content; others are not opened."""
+    return audio.scan(spark, root).join(chosen.select("file_key"), "file_key", "left_semi")
+
+
 def pooled(waves: DataFrame, frames: DataFrame, methods: tuple[str, ...] = pooling.METHODS) -> DataFrame:
     """(file_key, label, layer, method, vec): every pooling of every clip and layer without a shuffle."""
     rows = frames.where("error IS NULL") if "error" in frames.columns else frames
@@ -49,26 +61,76 @@ def extract_and_pool(spark: SparkSession, root: str, out: str, dataset: str, mod
     tables.write_table(pooled(waves, stored).withColumns({"dataset": F.lit(dataset), "model": F.lit(model)}), out, "features_pooled", "append")
 
 
-def evaluate_layers(features: DataFrame, ks: tuple[int, ...] = (3, 5, 7, 9)) -> DataFrame:
-    """(dataset, model, layer, metric, value) for every cell: cluster scores and the best kNN by balanced accuracy.
-
-    One grouped query over all datasets, models and layers; labels with a single clip are left out.
-    """
-    keys = ("dataset", "model", "layer")
+def _clean(features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, id, label, vec) of mean-pooled features, without labels that have a single clip."""
     label = Window.partitionBy(*keys, "label")
     rows = features.where(F.col("method") == "mean").select(*keys, F.xxhash64("file_key").alias("id"), "label", "vec").where(F.size("vec") > 0)
-    rows = rows.withColumn("_n", F.count("*").over(label)).where("_n > 1").drop("_n")
+    return rows.withColumn("_n", F.count("*").over(label)).where("_n > 1").drop("_n")
+
+
+def _long_metrics(cells: DataFrame, keys: tuple[str, ...], name: str, parameter: str, source: str = "") -> DataFrame:
+    """(keys, metric, value) of a classifier's three scores and its chosen parameter."""
+    at = lambda c: F.col(f"{source}{c}").cast("double")
+    found = [(f"{name}_best_{parameter}", at(parameter)), *[(f"{name}_{m}", at(m)) for m in ("accuracy", "balanced_accuracy", "macro_f1")]]
+    return cells.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in found])).alias("e")).select(*keys, "e.*")
+
+
+def probe_layers(split: DataFrame, keys: tuple[str, ...], name: str, grid: dict | None = None, folds: int = 5) -> DataFrame:
+    """(keys, C, accuracy, balanced_accuracy, macro_f1): in every cell the best C by cross-validation on the training rows, scored on the test rows."""
+    split = split.persist()
+    cells, out = [r.asDict() for r in split.select(*keys).distinct().orderBy(*keys).collect()], []  # a row for each model and layer
+    for cell in cells:
+        here = split
+        for k, v in cell.items():
+            here = here.where(F.col(k).eqNullSafe(F.lit(v)))
+        best, _ = models.search_and_refit(here.where("NOT is_test"), name, grid, folds)
+        got = best.evaluate(here.where("is_test")).first()
+        out.append((*cell.values(), float(best.settings["c"]), *[float(got[m]) for m in ("accuracy", "balanced_accuracy", "macro_f1")]))
+    kinds = dict(split.dtypes)
+    split.unpersist()
+    return split.sparkSession.createDataFrame(out, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "C double, accuracy double, balanced_accuracy double, macro_f1 double"]))
+
+
+def compare_layers(rows: DataFrame, keys: tuple[str, ...] = ("layer",), ks: tuple[int, ...] = (3, 5, 7, 9), probes: dict[str, str] | None = None, grid: dict | None = None, folds: int = 5) -> DataFrame:
+    """(keys, metric, value) of (keys, id, label, vec): three cluster scores, the best kNN, and the best linear probes.
+
+    kNN and cluster scores are one grouped query over all cells. ``probes`` has classifiers by the prefix of
+    their metrics; what a cell's score cannot tell is null or missing there and costs no other cell.
+    """
     split = sampling.stratified_split(rows, "label", "id", within=keys)
     cells = neighbors.holdout(split, list(ks), keys)
     best = cells.groupBy(*keys).agg(F.max_by(F.struct("k", "accuracy", "balanced_accuracy", "macro_f1"), F.struct("balanced_accuracy", (-F.col("k")).alias("k"))).alias("b"))
-    knn = best.select(*keys, F.explode(F.array(F.struct(F.lit("knn_best_k").alias("metric"), F.col("b.k").cast("double").alias("value")), *[F.struct(F.lit(f"knn_{m}").alias("metric"), F.col(f"b.{m}").alias("value")) for m in ("accuracy", "balanced_accuracy", "macro_f1")])).alias("e")).select(*keys, "e.*")
-    ch = clustering.calinski_harabasz(rows, keys).select(*keys, F.lit("calinski_harabasz").alias("metric"), F.col("score").alias("value"))
-    db = clustering.davies_bouldin(rows, keys).select(*keys, F.lit("davies_bouldin").alias("metric"), F.col("score").alias("value"))
-    return knn.unionByName(ch).unionByName(db)
+    out = _long_metrics(best, keys, "knn", "k", "b.")
+    scores = {"silhouette": clustering.silhouette_cosine(rows, keys).withColumnRenamed("silhouette", "score"), "calinski_harabasz": clustering.calinski_harabasz(rows, keys), "davies_bouldin": clustering.davies_bouldin(rows, keys)}
+    for name, found in scores.items():
+        out = out.unionByName(found.select(*keys, F.lit(name).alias("metric"), F.col("score").alias("value")))
+    for prefix, name in (probes or {}).items():
+        out = out.unionByName(_long_metrics(probe_layers(split, keys, name, grid, folds), keys, prefix, "C"))
+    return out
+
+
+#: The linear classifiers of a full comparison by the prefix of their metrics.
+PROBES = {"linear_probe": "linear_probe", "logreg": "logistic_regression"}
+
+
+def evaluate_layers(features: DataFrame, ks: tuple[int, ...] = (3, 5, 7, 9), probes: dict[str, str] | None = None) -> DataFrame:
+    """:func:`compare_layers` for every dataset, model and layer of stored features."""
+    keys = ("dataset", "model", "layer")
+    return compare_layers(_clean(features, keys), keys, ks, probes)
+
+
+def evaluate_sets(features: DataFrame, classifiers: tuple[str, ...] | None = None) -> DataFrame:
+    """(features, classifier, metrics): the whole bake-off on every set of (feature_type, file_key, label, vec)."""
+    out = None
+    for kind in sorted(r[0] for r in features.select("feature_type").distinct().collect()):  # a row for each set
+        cell = features.where(F.col("feature_type") == kind).select(F.xxhash64("file_key").alias("id"), "label", "vec")
+        rows = (models.bake_off(cell) if classifiers is None else models.bake_off(cell, classifiers)).withColumn("features", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def comprehensive(features: DataFrame, classifiers: tuple[str, ...] = ("logistic_regression", "svm_linear", "random_forest")) -> DataFrame:
-    """Scan the layers with kNN, then run every classifier on the best layer of each dataset and model.
+def comprehensive(features: DataFrame, classifiers: tuple[str, ...] | None = None) -> DataFrame:
+    """Scan the layers with kNN, then run every classifier, or those named, on the best layer of each dataset and model.
 
     Layer choice and scores share a split, as in the procedure that this reproduces, so scores are optimistic.
     """
@@ -77,6 +139,6 @@ def comprehensive(features: DataFrame, classifiers: tuple[str, ...] = ("logistic
     for r in best.collect():  # a row for each dataset and model
         at = (F.col("dataset") == r["dataset"]) & (F.col("model") == r["model"]) & (F.col("layer") == r["layer"]) & (F.col("method") == "mean")
         cell = features.where(at).select(F.xxhash64("file_key").alias("id"), "label", "vec")
-        rows = models.bake_off(cell, classifiers).withColumns({"dataset": F.lit(r["dataset"]), "model": F.lit(r["model"]), "layer": F.lit(r["layer"])})
+        rows = (models.bake_off(cell) if classifiers is None else models.bake_off(cell, classifiers)).withColumns({"dataset": F.lit(r["dataset"]), "model": F.lit(r["model"]), "layer": F.lit(r["layer"])})
         out = rows if out is None else out.unionByName(rows)
     return out

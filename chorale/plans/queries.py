@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chorale.functions import labels as L
 from chorale.functions.vec import long_form, reshape
 from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, ranking, reduction, sampling, scaling, stats, waveform
-from chorale.plans import reports
+from chorale.plans import pipelines, reports
 from chorale.sources import audio
 from chorale.sources.tables import layers4, points, table
 
@@ -219,6 +219,31 @@ def layer_contribution_weights(spark, sf_dir):
     return _ch_by_layer(spark, sf_dir).select("layer", r6("score"), F.round(layers.weights_from_scores(F.col("score")), 6).alias("weight"))
 
 
+@query
+def layer_silhouette(spark, sf_dir):
+    return clustering.silhouette_cosine(layers4(spark, sf_dir), ("layer",)).select("layer", r6("silhouette"))
+
+
+@query
+def layer_contributions(spark, sf_dir):
+    """Every layer's score and weight by each of the three metrics."""
+    rows = layers4(spark, sf_dir)
+    out = None
+    for metric in layers.CONTRIBUTIONS:
+        one = layers.layer_contributions(rows, metric).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return out.select("metric", "layer", r6("score"), F.round(layers.weights_from_scores(F.col("score"), "metric"), 6).alias("weight"))
+
+
+@query
+def layer_mean_by_pooling(spark, sf_dir):
+    """Layers of four frames of four dimensions, pooled by mean and by maximum, then averaged over the layers for each pooling."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vec", i * 4 + 1, 4))
+    pooled = F.array(*[F.struct(F.lit(m).alias("method"), pooling.pool_nested(frames, m).alias("vec")) for m in ("mean", "max")])
+    rows = layers4(spark, sf_dir).select("id", "layer", F.explode(pooled).alias("p")).select("id", "layer", "p.method", "p.vec")
+    return _long(layers.combine_layers(rows, ["id", "method"], "mean", [0, 1, 2, 3]), "id", "method")
+
+
 # fusion
 
 
@@ -324,6 +349,28 @@ def dataset_stats_estimate(spark, sf_dir):
     return out.select("source", "n_files", *[r6(c) for c in out.columns[2:]])
 
 
+@query
+def stats_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("total"))
+    return reports.as_json(rows, "source")
+
+
+@query
+def subset_manifest(spark, sf_dir):
+    """The manifest of up to twenty documents of each source, unfolded."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("label"), F.col("doc_id").cast("string").alias("file_key"))
+    one = pipelines.manifest(sampling.sample_per_group(docs, "label", "file_key", 20), "documents", 20)
+    return one.select("total_files", "random_seed", F.explode("individuals").alias("label", "v")).select("label", "v.num_files", F.array_join("v.files", ",").alias("files"), "total_files", "random_seed")
+
+
+@query
+def corpus_blocks(spark, sf_dir):
+    """Blocks of orders by status: who is in them, and what kinds."""
+    rows = table(spark, sf_dir, "orders").withColumn("kind", L.call_type(F.col("o_orderpriority")))
+    out = stats.corpus_blocks(rows, "o_orderstatus", "o_custkey", "kind", "o_totalprice")
+    return out.select("o_orderstatus", "num_files", "num_individuals", F.array_join("call_types", ",").alias("call_types"), F.round("avg_duration", 4).alias("avg_duration"))
+
+
 @query
 def distinct_sorted(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -482,6 +529,11 @@ def bench_report(spark, sf_dir):
     return reports.metric_lines(_layer_metrics(spark, sf_dir))
 
 
+@query
+def overall_summary(spark, sf_dir):
+    return reports.overall_lines(_layer_metrics(spark, sf_dir))
+
+
 @query
 def flagship(spark, sf_dir):
     """Which layer and neighbour count identify the individual best?"""
@@ -529,6 +581,22 @@ def bakeoff(spark, sf_dir):
     return models.bake_off(points(spark, sf_dir))
 
 
+@query
+def layer_comparison(spark, sf_dir):
+    """Cluster scores, the best kNN and the best linear probe and logistic regression of every layer."""
+    out = pipelines.compare_layers(layers4(spark, sf_dir), probes=pipelines.PROBES)
+    return out.select("layer", "metric", r6("value"))
+
+
+@query
+def scaling_by_features(spark, sf_dir):
+    """The scaling study on two feature sets."""
+    labels = points(spark, sf_dir).select(F.col("id").alias("file_key"), "label")
+    sets = {k: v.join(labels, "file_key").select(F.col("file_key").alias("id"), "label", "vec") for k, v in _sets(spark, sf_dir).items()}
+    out = scaling.compare_scaling(sets, [2, 5, 10])
+    return out.select("features", "classifier", "n", "trials", *[r6(c) for c in out.columns if c.endswith(("_mean", "_std"))])
+
+
 @query
 def pca_2d(spark, sf_dir):
     return reduction.pca_2d(points(spark, sf_dir))

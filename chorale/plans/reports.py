@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.labels import metric_title
-from chorale.operators.ranking import PARAMETERS, top_layers
+from chorale.operators.ranking import PARAMETERS, best_layer, top_layers
 
 
 def number(c: Column) -> Column:
@@ -56,3 +56,35 @@ def scatter_points(layout: DataFrame, most_labels: int = 20) -> DataFrame:
 def wide_metrics(metrics: DataFrame, names: list[str]) -> DataFrame:
     """A row per layer with a column for each metric."""
     return metrics.groupBy("layer").pivot("metric", names).agg(F.first("value"))
+
+
+#: How the classifiers of a layer comparison are titled.
+TITLES = {"knn": "k-NN", "linear_probe": "Linear Probe", "logreg": "Logistic Regression"}
+
+
+def overall_lines(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, place, line): for each classifier the scores of the layer with its best accuracy; classifiers that are missing have no line."""
+    out = None
+    for place, (prefix, title) in enumerate(TITLES.items()):
+        best = best_layer(metrics, f"{prefix}_accuracy", keys).select(*keys, "layer")
+        here = metrics.join(best, [*keys, "layer"], "left_semi").groupBy(*keys, "layer").agg(*[F.max(F.when(F.col("metric") == f"{prefix}_{m}", F.col("value"))).alias(m) for m in ("accuracy", "balanced_accuracy", "macro_f1")])
+        line = F.concat(F.lit(f"{title} (Layer "), F.col("layer").cast("string"), F.lit("): accuracy "), number(F.col("accuracy")), F.lit(", balanced accuracy "), number(F.col("balanced_accuracy")), F.lit(", macro F1 "), number(F.col("macro_f1")))
+        rows = here.select(*keys, F.lit(place).alias("place"), line.alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def bakeoff_table(results: DataFrame, score: str = "balanced_accuracy") -> DataFrame:
+    """A row for each feature set with a column for each classifier's score, and the best classifier; ties go to the first by name."""
+    best = results.groupBy("features").agg(F.min(F.struct((-F.col(score)).alias("s"), "classifier"))["classifier"].alias("best"))
+    return results.groupBy("features").pivot("classifier").agg(F.first(score)).join(best, "features")
+
+
+def as_json(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, json): every row as a JSON object."""
+    return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Write rows as JSON lines in one file; for statistics and manifests, which are small whatever the corpus."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -7,12 +7,14 @@ beside null values, so a bad clip never fails a job.
 from __future__ import annotations
 
 import io
+import warnings
 import wave
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,21 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.wav", content: bool =
     return files.select(key.alias("file_key"), "path", "length", *(["content"] if content else [])).withColumn("label", label_from_path(F.col("file_key")))
 
 
+def scan_corpora(spark: SparkSession, roots: dict[str, str], **options) -> DataFrame | None:
+    """:func:`scan` of several corpora with a column dataset; a folder that is not there is told by a warning and skipped, None if all are missing."""
+    out = None
+    for dataset, root in roots.items():
+        try:
+            files = scan(spark, root, **options).withColumn("dataset", F.lit(dataset))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"{dataset}: no folder {root}", stacklevel=2)
+            continue
+        out = files if out is None else out.unionByName(files)
+    return out
+
+
 def parse_header(data: bytes) -> dict:
     with wave.open(io.BytesIO(data)) as w:
         return {"sample_rate": w.getframerate(), "channels": w.getnchannels(), "duration": w.getnframes() / w.getframerate(), "frames": w.getnframes(), "format": "WAV", "subtype": _SUBTYPES[w.getsampwidth()]}
@@ -92,16 +109,19 @@ def headers(clips: DataFrame) -> DataFrame:
 
 
 def waveforms(clips: DataFrame, target: int = 16000, least: float | None = 0.1, most: float | None = 10.0, trim: bool = False, peak: bool = True) -> DataFrame:
-    """Decode, check the duration, trim and normalise; adds samples and sr, without content.
+    """Check the duration by the header, decode, trim and normalise; adds samples and sr, without content.
 
     ``error`` tells bad files and durations out of range apart.
     """
 
     def one(data: bytes, _) -> list[float]:
-        x, sr = decode_wav(data, target)
-        seconds = len(x) / sr
+        try:
+            seconds = parse_header(data)["duration"]
+        except (wave.Error, EOFError, KeyError) as e:
+            raise ValueError(f"not a PCM WAV file: {e}") from e
         if least is not None and seconds < least or most is not None and seconds > most:
             raise ValueError(f"duration {seconds:.4f} s is out of range")
+        x, sr = decode_wav(data, target)
         x = dsp.trim_silence(x) if trim else x
         top = np.abs(x).max(initial=0)
         return (x / top if peak and top > 0 else x).astype(np.float32)
@@ -140,14 +160,16 @@ class RandomProjectionEncoder:
     """A seeded stand-in for tests, not a speech model: each layer mixes the layer before at random."""
 
     def __init__(self, layers: int = 4, width: int = 32, frame: int = 400, hop: int = 320, seed: int = 42) -> None:
-        self.layers, self.width, self.frame, self.hop, self.seed = layers, width, frame, hop, seed
+        self.frame, self.hop = frame, hop
+        rng = np.random.default_rng(seed)
+        self.first = rng.normal(size=(frame, width)) / np.sqrt(frame)
+        self.mixes = [rng.normal(size=(width, width)) / np.sqrt(width) for _ in range(layers)]
 
     def encode(self, samples: np.ndarray, sr: int) -> dict[int, np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        state = np.tanh(dsp.frames(samples, self.frame, self.hop, centred=False) @ rng.normal(size=(self.frame, self.width)) / np.sqrt(self.frame))
+        state = np.tanh(dsp.frames(samples, self.frame, self.hop, centred=False) @ self.first)
         out = {0: state}
-        for k in range(1, self.layers + 1):
-            state = np.tanh(state @ rng.normal(size=(self.width, self.width)) / np.sqrt(self.width))
+        for k, mix in enumerate(self.mixes, 1):
+            state = np.tanh(state @ mix)
             out[k] = state
         return out
 

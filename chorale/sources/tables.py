@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions.vec import doubles, reshape
 
-PARTITIONS = {"features_raw": ["dataset", "model", "layer"], "features_pooled": ["dataset", "model", "method", "layer"]}
+PARTITIONS = {"features_handcrafted": ["dataset", "feature_type"], "features_raw": ["dataset", "model", "layer"], "features_pooled": ["dataset", "model", "method", "layer"]}
 
 
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
@@ -27,6 +28,22 @@ def design_matrix(pooled: DataFrame, layer: int, method: str = "mean") -> DataFr
     return pooled.where((F.col("layer") == layer) & (F.col("method") == method)).select("file_key", "label", "vec")
 
 
+#: The handcrafted sets that an evaluation compares.
+HANDCRAFTED = ("mfcc", "spectral", "combined")
+
+
+def handcrafted_sets(spark: SparkSession, path: str, dataset: str, method: str = "mean") -> DataFrame | None:
+    """(feature_type, file_key, label, vec) of the stored handcrafted sets of a dataset; None if there is none of them."""
+    try:
+        stored = read_table(spark, path, "features_handcrafted", dataset=dataset)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    rows = stored.where((F.col("method") == method) & F.col("feature_type").isin(*HANDCRAFTED)).select("feature_type", "file_key", "label", "vec")
+    return rows if rows.take(1) else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

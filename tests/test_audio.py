@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import dsp
+from chorale.operators import stats
 from chorale.operators.reduction import tsne, umap
-from chorale.plans import pipelines
+from chorale.plans import pipelines, reports
 from chorale.sources import audio, tables
 from chorale.streaming.clips import stream_waveforms
 
@@ -76,6 +77,49 @@ def test_features_and_layers(spark, corpus, tmp_path):
         audio.extract(waves, "unknown")
 
 
+def test_missing_folders_are_told_and_skipped(spark, corpus):
+    with pytest.warns(UserWarning, match="finch"):
+        files = audio.scan_corpora(spark, {"toy": corpus, "finch": corpus + "-none"}, content=False)
+    assert files.count() == 6 and files.select("dataset").distinct().first()[0] == "toy"
+    with pytest.warns(UserWarning):
+        assert audio.scan_corpora(spark, {"finch": corpus + "-none"}) is None
+
+
+def test_manifests_and_stored_sets(spark, corpus, tmp_path):
+    chosen = pipelines.subset(spark, corpus, 1)
+    reports.write_json(pipelines.manifest(chosen, "toy", 1), f"{tmp_path}/manifest")
+    back = spark.read.json(f"{tmp_path}/manifest").first()
+    assert (back["dataset"], back["total_files"], back["random_seed"]) == ("toy", 2, 42) and back["individuals"]["AL"]["num_files"] == 1
+    assert pipelines.chosen_clips(spark, corpus, chosen).count() == 2
+    assert tables.handcrafted_sets(spark, str(tmp_path), "toy") is None
+    waves, _ = pipelines.preprocess(spark, corpus)
+    tables.write_table(pipelines.handcrafted(waves).withColumn("dataset", F.lit("toy")), str(tmp_path), "features_handcrafted")
+    sets = tables.handcrafted_sets(spark, str(tmp_path), "toy")
+    assert {r[0] for r in sets.select("feature_type").distinct().collect()} == set(tables.HANDCRAFTED) and tables.handcrafted_sets(spark, str(tmp_path), "none") is None
+
+
+def test_blocks_of_a_corpus(spark):
+    rows = [("adult", "A", "DC", 1.0), ("adult", "B", None, 3.0), ("adult", "A", "Te", 2.0), ("chick", "C", "DC", None)]
+    out = {r["block"]: r for r in stats.corpus_blocks(spark.createDataFrame(rows, "block string, who string, call string, seconds double"), "block", "who", "call", "seconds").collect()}
+    assert (out["adult"]["individuals"], out["adult"]["call_types"], out["adult"]["avg_duration"]) == (["A", "B"], ["DC", "Te"], 2.0)
+    assert (out["chick"]["num_files"], out["chick"]["avg_duration"]) == (1, 0.0)
+
+
+def test_encoder_layers_by_numpy(spark):
+    encoder = audio.RandomProjectionEncoder(2, 8)
+    x = tone(440, 0.2).astype(np.float32)
+    found = encoder.encode(x, 16000)
+    frames = np.stack([x[i : i + 400] for i in range(0, len(x) - 399, 320)]).astype(float)
+    rng = np.random.default_rng(42)
+    state = np.tanh(frames @ rng.normal(size=(400, 8)) / 20)
+    assert np.allclose(found[0], state)
+    for k in (1, 2):
+        state = np.tanh(state @ rng.normal(size=(8, 8)) / np.sqrt(8))
+        assert np.allclose(found[k], state)
+    again = encoder.encode(x, 16000)
+    assert all((again[k] == v).all() for k, v in found.items())
+
+
 def test_stream(spark, corpus):
     q = stream_waveforms(spark, corpus).select("file_key", "label", "error").writeStream.format("memory").queryName("clips").trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import labels
-from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, ranking, sampling, scaling, stats, waveform
+from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, ranking, reduction, sampling, scaling, stats, waveform
+from chorale.plans import pipelines, reports
 
 
 def nested(spark, frames, method):
@@ -175,3 +176,80 @@ def test_model_errors(spark):
 def test_scaling_skips_what_is_not_there(spark):
     out = scaling.scaling_study(separable(spark, 60), [2, 3, 4], trials=2, k=3).toPandas()
     assert sorted(out["n"]) == [2, 3] and (out["accuracy_mean"] > 0.8).all() and (out["trials"] == 2).all()
+
+
+def test_boosted_trees_and_forest_defaults_are_whole(spark):
+    split = sampling.stratified_split(separable(spark, 60), "label", "id")
+    assert models.Classifier("xgboost", {"rounds": 2, "depth": 2}).train_and_evaluate(split).first()["balanced_accuracy"] > 0.9
+    forest = models.random_forest(10)
+    boosted = models.boosted_trees(10).getClassifier()
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 30) and (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 5, 0.1)
+
+
+def test_grid_search_ranks_and_refits(spark):
+    points = separable(spark, 60)
+    best, scores = models.search_and_refit(points, "linear_probe", {"c": [1e-6, 1.0]}, folds=2)
+    rows = scores.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2] and rows[0]["settings"] == repr(best.settings) and rows[0]["cv_mean"] >= rows[1]["cv_mean"]
+    assert best.evaluate(points).first()["accuracy"] > 0.9
+    two = models.search_and_refit(points, "svm_rbf", {"c": [1.0], "gamma": ["auto", 0.1]}, folds=2)
+    assert two[1].count() == 2 and "gamma" in two[0].settings
+
+
+def test_bake_off_and_comprehensive(spark):
+    points = separable(spark, 45)
+    assert set(models._classifiers) == {"linear_probe", "logistic_regression", "svm_linear", "svm_rbf", "random_forest", "xgboost"}
+    out = models.bake_off(points, ("logistic_regression",)).toPandas()
+    assert sorted(out["classifier"]) == ["knn", "logistic_regression"] and (out["balanced_accuracy"] > 0.9).all()
+    stored = points.select(F.lit("d").alias("dataset"), F.lit("m").alias("model"), F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"), F.lit("mean").alias("method"), F.col("id").cast("string").alias("file_key"), "label", "vec")
+    stored = stored.withColumn("vec", F.when(F.col("layer") == 1, F.col("vec")).otherwise(F.transform("vec", lambda x: F.lit(1.0) + 0 * x)))
+    got = pipelines.comprehensive(stored, ("logistic_regression",)).toPandas()
+    assert set(got["layer"]) == {1} and sorted(got["classifier"]) == ["knn", "logistic_regression"]
+    sets = points.select(F.explode(F.array(F.lit("mfcc"), F.lit("spectral"))).alias("feature_type"), F.col("id").cast("string").alias("file_key"), "label", "vec")
+    table = reports.bakeoff_table(pipelines.evaluate_sets(sets, ("logistic_regression",))).toPandas()
+    assert sorted(table["features"]) == ["mfcc", "spectral"] and {"knn", "logistic_regression", "best"} <= set(table.columns)
+
+
+def test_layer_comparison_has_every_column(spark):
+    rows = separable(spark, 45).withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = pipelines.compare_layers(rows, ks=(3,), probes=pipelines.PROBES, grid={"c": [1.0]}, folds=2).toPandas()
+    want = {"silhouette", "calinski_harabasz", "davies_bouldin"} | {f"{p}_{m}" for p in ("knn", "linear_probe", "logreg") for m in ("accuracy", "balanced_accuracy", "macro_f1")} | {"knn_best_k", "linear_probe_best_C", "logreg_best_C"}
+    assert set(out["metric"]) == want and len(out) == 2 * len(want)
+    lines = reports.overall_lines(spark.createDataFrame(out)).orderBy("place").collect()
+    assert [r["line"].split(" (")[0] for r in lines] == ["k-NN", "Linear Probe", "Logistic Regression"]
+
+
+def test_contributions_fail_to_nought(spark):
+    one = spark.createDataFrame([(0, i, "only", [float(i), 1.0]) for i in range(4)], "layer int, id int, label string, vec array<double>")
+    assert [layers.layer_contributions(one, m).first()["score"] for m in layers.CONTRIBUTIONS] == [0, 0, 0]
+    with pytest.raises(ValueError):
+        layers.layer_contributions(one, "entropy")
+    with pytest.raises(ValueError):
+        layers.combine_layers(one, ["id"], "mean", [0, 1])
+
+
+def test_cluster_blocks_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 7, rng.normal(size=5).tolist()) for i in range(60)], "id int, label int, vec array<double>")
+    scores = lambda: (clustering.silhouette_cosine(df).first()[0], clustering.davies_bouldin(df).first()[0])
+    whole = scores()
+    monkeypatch.setattr(clustering, "LABELS", 3)
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    assert scores() == pytest.approx(whole)
+
+
+def test_layouts_have_every_point(spark):
+    df = separable(spark, 60).withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    for method, options in (("tsne", {"steps": 120, "perplexity": 5}), ("umap", {"epochs": 60, "neighbours": 6}), ("other", {})):
+        out = reduction.layout_2d(df, method, ("layer",), most=30, **options).toPandas()
+        assert len(out) == 120 and out["error"].isna().all() and np.isfinite(out[["x", "y"]].to_numpy()).all()
+        if method == "umap":  # those placed by landmarks lie with their own
+            for _, g in out.groupby("layer"):
+                at = g[["x", "y"]].to_numpy()
+                centres = np.stack([at[(g["label"] == c).to_numpy()].mean(0) for c in ("c0", "c1", "c2")])
+                assert (np.linalg.norm(at[:, None] - centres, axis=2).argmin(1) == g["label"].str[1].astype(int)).mean() > 0.85
+
+
+def test_classifier_scaling(spark):
+    out = scaling.compare_scaling({"a": separable(spark, 45)}, [2, 3], {"knn": scaling.scaling_study, "logistic": scaling.classifier_study("logistic_regression")}, trials=1).toPandas()
+    assert sorted(zip(out["classifier"], out["n"], strict=True)) == [("knn", 2), ("knn", 3), ("logistic", 2), ("logistic", 3)] and (out["accuracy_mean"] > 0.8).all()
