@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.shared import bounded, is_empty, table
+from chorale.llm.shared import bounded, fits, table
 
 #: Nodes with more edges are hubs: their few minima are sent to the edges, so that no task gets a whole star.
 HUB = 256
@@ -14,6 +14,8 @@ HUB = 256
 def _with_least(edges: DataFrame) -> DataFrame:
     """``edges`` (x, y) with m, the least y of their x."""
     least = table(edges.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")), "least")
+    if fits(least):
+        return edges.join(F.broadcast(least.drop("n")), "x")
     hubs = least.where(F.col("n") > HUB).select(F.col("x").alias("hub"), F.col("m").alias("hub_m"))  # fewer than edges / HUB
     told = edges.join(bounded(hubs), F.col("x") == F.col("hub"), "left")
     rest = told.where("hub IS NULL").select("x", "y").join(least.where(F.col("n") <= HUB).select("x", "m"), "x")
@@ -29,15 +31,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     ends = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}")
     stars, seen = table(ends.distinct(), "edges"), None
     for _ in range(max_rounds):
-        if is_empty(stars):
-            break
         both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
         told = _with_least(both).withColumn("m", F.least("x", "m"))
-        large = table(told.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        large = table(told.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")), "large")
         small = _with_least(large).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x <> y")
         stars = table(small.distinct(), "stars")
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     else:

@@ -293,10 +293,16 @@ def test_bayes_bounds():
     assert p == 0
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (None, 3)]
+@pytest.mark.parametrize("few", [True, False])
+def test_components(spark, monkeypatch, few):
+    if not few:  # as for a table of nodes that is too large for a broadcast, with hubs
+        from chorale.llm import components as module
+
+        monkeypatch.setattr(module, "fits", lambda df: False)
+        monkeypatch.setattr(module, "HUB", 2)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(20)]
     out = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert out == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
+    assert out == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100} | {200 + i: 200 for i in range(21)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
