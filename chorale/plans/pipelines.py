@@ -42,14 +42,20 @@ def pooled(waves: DataFrame, frames: DataFrame, methods: tuple[str, ...] = pooli
 
 
 def handcrafted(waves: DataFrame, methods: tuple[str, ...] = ("mean",)) -> DataFrame:
-    """(file_key, label, feature_type, method, vec) of mfcc, spectral, prosodic and, where all three worked, combined."""
-    parts = {k: pooled(waves, audio.extract(waves, k), ("mean",) if k == "prosodic" else methods).drop("layer") for k in ("mfcc", "spectral", "prosodic")}
-    tone = parts["prosodic"].select("file_key", F.col("vec").alias("p"))
-    joined = parts["mfcc"].join(parts["spectral"].select("file_key", "method", F.col("vec").alias("s")), ["file_key", "method"]).join(tone, "file_key")
-    out = joined.select("file_key", "label", F.lit("combined").alias("feature_type"), "method", F.concat("vec", "s", "p").alias("vec"))
-    for k, df in parts.items():
-        out = out.unionByName(df.withColumn("feature_type", F.lit(k)))
-    return out
+    """(file_key, label, feature_type, method, vec) of mfcc, spectral, prosodic and, where all three worked, combined.
+
+    One pass over the waveforms; what belongs to a clip, a few vectors, meets in one row.
+    """
+    frames = audio.extract_many(waves, ("mfcc", "spectral", "prosodic")).withColumn("layer", F.col("kind"))
+    each = pooled(waves, frames, tuple(dict.fromkeys((*methods, "mean")))).withColumnRenamed("layer", "feature_type")
+    each = each.where(F.when(F.col("feature_type") == "prosodic", F.col("method") == "mean").otherwise(F.col("method").isin(*methods)))
+    one = lambda kind, m: F.max(F.when((F.col("feature_type") == kind) & (F.col("method") == m), F.col("vec")))
+    entry = lambda kind, m, vec: F.struct(kind.alias("feature_type"), m.alias("method"), vec.alias("vec"))
+    whole = [F.concat(one("mfcc", m), one("spectral", m), one("prosodic", "mean")) for m in methods]
+    combined = F.array(*[entry(F.lit("combined"), F.lit(m), v) for m, v in zip(methods, whole, strict=True)])
+    clips = each.groupBy("file_key", "label").agg(F.collect_list(entry(F.col("feature_type"), F.col("method"), F.col("vec"))).alias("own"), combined.alias("combined"))
+    rows = clips.select("file_key", "label", F.explode(F.concat("own", F.filter("combined", lambda e: e["vec"].isNotNull()))).alias("e"))
+    return rows.select("file_key", "label", "e.feature_type", "e.method", "e.vec")
 
 
 def extract_and_pool(spark: SparkSession, root: str, out: str, dataset: str, model: str, encoder: audio.Encoder) -> None:

@@ -80,8 +80,23 @@ def encode_wav(x: np.ndarray, sr: int) -> bytes:
     return out.getvalue()
 
 
-def _each(df: DataFrame, column: str, f: Callable, out: str, kind: str, arrow: pa.DataType, step: int = 32) -> DataFrame:
-    """Adds ``out`` = f(value, row) and error; the other columns pass through."""
+def frames_array(values: list[np.ndarray | None]) -> pa.Array:
+    """``array<array<float>>`` of (frames, width) matrices, without going through Python lists."""
+    known = [v for v in values if v is not None]
+    flat = np.concatenate([np.zeros(0, np.float32), *[v.ravel().astype(np.float32) for v in known]])
+    rows = np.concatenate([np.zeros(1, np.int32), *[np.full(len(v), v.shape[1], np.int32) for v in known]]).cumsum(dtype=np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(rows), pa.array(flat))
+    clips = np.array([0, *[0 if v is None else len(v) for v in values]]).cumsum(dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(clips), inner, mask=pa.array([v is None for v in values]))
+
+
+def _value(v: pa.Scalar) -> object:
+    """Lists of numbers as numpy arrays, other values as Python's."""
+    return v.values.to_numpy(zero_copy_only=False) if v.is_valid and isinstance(v, pa.ListScalar) else v.as_py()
+
+
+def _each(df: DataFrame, column: str, f: Callable, out: str, kind: str, arrow: pa.DataType | Callable[[list], pa.Array], step: int = 32) -> DataFrame:
+    """Adds ``out`` = f(value, row) and error; the other columns pass through. ``arrow`` is the type of ``out`` or makes its array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +105,13 @@ def _each(df: DataFrame, column: str, f: Callable, out: str, kind: str, arrow: p
                 values, errors = [], []
                 for i, v in enumerate(part.column(column)):
                     try:
-                        values.append(f(v.as_py(), part.slice(i, 1)))
+                        values.append(f(_value(v), part.slice(i, 1)))
                         errors.append(None)
                     except Exception as e:  # noqa: BLE001 - a clip's fault is its result
                         values.append(None)
                         errors.append(f"{type(e).__name__}: {e}"[:500])
                 keep = [n for n in part.schema.names if n not in (out, "error")]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(values, arrow), pa.array(errors, pa.string())], names=[*keep, out, "error"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], arrow(values) if callable(arrow) else pa.array(values, arrow), pa.array(errors, pa.string())], names=[*keep, out, "error"])
 
     keep = [f"`{n}` {t}" for n, t in df.dtypes if n not in (out, "error")]
     return df.mapInArrow(run, ", ".join([*keep, f"{out} {kind}", "error string"]))
@@ -146,8 +161,33 @@ def extract(waves: DataFrame, kind: str) -> DataFrame:
     if kind not in _extractors:
         raise ValueError(f"unknown features: {kind}")
     f = _extractors[kind]
-    one = lambda x, row: f(np.asarray(x, float), row.column("sr")[0].as_py()).astype(np.float32).tolist()
-    return _each(waves, "samples", one, "frames", "array<array<float>>", pa.list_(pa.list_(pa.float32()))).drop("samples")
+    one = lambda x, row: f(np.asarray(x, float), row.column("sr")[0].as_py())
+    return _each(waves, "samples", one, "frames", "array<array<float>>", frames_array).drop("samples")
+
+
+def extract_many(waves: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(…, kind, frames, error): the frames of several extractors from one pass over the waveforms, a row for each clip and kind."""
+    for kind in kinds:
+        if kind not in _extractors:
+            raise ValueError(f"unknown features: {kind}")
+    chosen = {k: _extractors[k] for k in kinds}
+    keep = [c for c in waves.columns if c not in ("samples", "kind", "frames", "error")]
+    kinds_of = dict(waves.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 32) for b in batches for at in range(0, b.num_rows, 32)):
+            for name, f in chosen.items():
+                values, errors = [], []
+                for v, sr in zip(part.column("samples"), part.column("sr"), strict=True):
+                    try:
+                        values.append(f(np.asarray(_value(v), float), sr.as_py()))
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001 - a clip's fault is its result
+                        values.append(None)
+                        errors.append(f"{type(e).__name__}: {e}"[:500])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([name] * len(values)), frames_array(values), pa.array(errors, pa.string())], names=[*keep, "kind", "frames", "error"])
+
+    return waves.mapInArrow(run, ", ".join([*[f"`{c}` {kinds_of[c]}" for c in keep], "kind string, frames array<array<float>>, error string"]))
 
 
 class Encoder(Protocol):
@@ -180,10 +220,14 @@ def encode(waves: DataFrame, encoder: Encoder, layers: list[int] | None = None)
     The encoder is built once and reused by every worker; clips that fail keep one row with ``error``.
     """
 
-    def one(x: list[float], row: pa.RecordBatch) -> list[dict]:
+    def one(x: np.ndarray, row: pa.RecordBatch) -> list[tuple[int, np.ndarray]]:
         found = encoder.encode(np.asarray(x, float), row.column("sr")[0].as_py())
-        return [{"layer": k, "frames": v.astype(np.float32).tolist()} for k, v in sorted(found.items()) if layers is None or k in layers]
+        return [(k, v) for k, v in sorted(found.items()) if layers is None or k in layers]
+
+    def kind(values: list) -> pa.Array:
+        flat = [x for v in values for x in v or ()]
+        each = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.int32()), frames_array([v for _, v in flat])], names=["layer", "frames"])
+        return pa.ListArray.from_arrays(pa.array(np.array([0, *[len(v or ()) for v in values]]).cumsum(dtype=np.int32)), each, mask=pa.array([v is None for v in values]))
 
-    kind = pa.list_(pa.struct([("layer", pa.int32()), ("frames", pa.list_(pa.list_(pa.float32())))]))
     out = _each(waves, "samples", one, "_layers", "array<struct<layer:int,frames:array<array<float>>>>", kind, step=4).drop("samples")
     return out.select("*", F.explode_outer("_layers").alias("_l")).select(*[c for c in out.columns if c not in ("_layers", "error")], "_l.layer", "_l.frames", "error")
