@@ -52,6 +52,52 @@ def test_sine_features():
     assert 15000 < len(dsp.trim_silence(padded)) < 20000
 
 
+def plain_power(x, n, hop, shape):
+    """Power spectra by the definition of the Fourier transform, frame by frame."""
+    padded = np.concatenate((np.zeros(n // 2), x, np.zeros(n // 2)))
+    t = np.arange(n)
+    w = {"hamming": 0.54 - 0.46 * np.cos(2 * np.pi * t / n), "hann": 0.5 - 0.5 * np.cos(2 * np.pi * t / n)}[shape]
+    out = []
+    for at in range(0, len(padded) - n + 1, hop):
+        y = padded[at : at + n] * w
+        out.append([abs(sum(y * np.exp(-2j * np.pi * k * t / n))) ** 2 for k in range(n // 2 + 1)])
+    return np.array(out)
+
+
+def test_mfcc_contrast_and_chroma_by_definition():
+    rng = np.random.default_rng(4)
+    x, sr, n = tone(440, 0.08) + 0.3 * tone(1500, 0.08) + 0.05 * rng.normal(size=1280), 16000, 512
+    mel = lambda f: f * 3 / 200 if f < 1000 else 15 + 27 * np.log(f / 1000) / np.log(6.4)
+    hertz = lambda m: m * 200 / 3 if m < 15 else 1000 * np.exp((m - 15) * np.log(6.4) / 27)
+    points = [hertz(mel(sr / 2) * i / 129) for i in range(130)]
+    bins = [k * sr / n for k in range(n // 2 + 1)]
+    power = plain_power(x, n, 256, "hamming")
+    db = np.empty((len(power), 128))
+    for i, row in enumerate(power):
+        for m in range(128):
+            low, mid, high = points[m : m + 3]
+            weights = [max(0, min((f - low) / (mid - low), (high - f) / (high - mid))) * 2 / (high - low) for f in bins]
+            db[i, m] = 10 * np.log10(max(sum(a * b for a, b in zip(weights, row, strict=True)), 1e-10))
+    db = np.maximum(db, db.max() - 80)
+    want = np.array([[sum(row[m] * np.cos(np.pi * k * (2 * m + 1) / 256) for m in range(128)) * np.sqrt((1 if k == 0 else 2) / 128) for k in range(13)] for row in db])
+    assert np.allclose(dsp.mfcc(x, sr), want, atol=1e-6)
+    magnitude = np.sqrt(plain_power(x, n, 256, "hann"))
+    edges = [0, 200, 400, 800, 1600, 3200, 6400, sr]
+    for i, row in enumerate(magnitude):
+        for k in range(7):
+            band = sorted(v for v, f in zip(row, bins, strict=True) if edges[k] <= f <= edges[k + 1])
+            count = max(1, int(round(0.02 * len(band))))
+            got = 10 * np.log10(max(np.mean(band[-count:]), 1e-10)) - 10 * np.log10(max(np.mean(band[:count]), 1e-10))
+            assert dsp.contrast(magnitude, sr)[i, k] == pytest.approx(got, abs=1e-6)
+        classes = [0.0] * 12
+        for v, f in zip(row[1:], bins[1:], strict=True):
+            classes[int(np.round(12 * np.log2(f / 440) + 69)) % 12] += v**2
+        assert dsp.chroma(magnitude, sr)[i] == pytest.approx([c / max(classes) for c in classes], abs=1e-9)
+    assert np.allclose(dsp.spectrum(x, kind="hann"), magnitude, atol=1e-9)
+    both = dsp.mfcc_frames(tone(440, 0.3), sr, delta_deltas=True)
+    assert both.shape[1] == 39 and np.allclose(both[:, 26:], dsp.delta(both[:, :13], order=2))
+
+
 def test_preprocess_tells_failures_apart(spark, corpus):
     waves, failures = pipelines.preprocess(spark, corpus)
     assert sorted(r["file_key"] for r in waves.collect()) == ["AL/a.wav", "AL/b.wav", "BE/c.wav", "BE/d.wav"]
