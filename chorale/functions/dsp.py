@@ -148,11 +148,18 @@ def spectral_frames(x: np.ndarray, sr: int, n_fft: int = 512, hop: int = 256, wi
     return np.concatenate([p[:n] for p in parts], axis=1)
 
 
-def pitch(x: np.ndarray, sr: int, low: float = 50.0, high: float = 8000.0, length: int = 2048, hop: int = 512, threshold: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """F0 (NaN unvoiced), voiced flags and probabilities by YIN with parabolic interpolation."""
-    f = frames(x, length, hop)
+#: Thresholds of the period search and how likely each is (a beta distribution of 2 and 18), after Mauch and Dixon (2014).
+THRESHOLDS = np.linspace(0.01, 1, 100)
+_PRIOR = THRESHOLDS * (1 - THRESHOLDS) ** 17
+_PRIOR /= _PRIOR.sum()
+#: Chance to start or stop voicing at a frame, and how many octaves pitch moves from frame to frame, about.
+SWITCH, GLIDE = 0.01, 0.1
+
+
+def _difference(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative-mean-normalised differences (frames, lags) of frames, and the energy of their first halves."""
+    length = f.shape[1]
     half = length // 2
-    tau_low, tau_high = max(2, int(sr / high)), min(half - 1, int(sr / low))
     spec = np.fft.rfft(f, 2 * length, axis=1)
     head = np.fft.rfft(f[:, :half], 2 * length, axis=1)
     cross = np.fft.irfft(spec * np.conj(head), axis=1)[:, :half]
@@ -163,17 +170,52 @@ def pitch(x: np.ndarray, sr: int, low: float = 50.0, high: float = 8000.0, lengt
     grown = d.cumsum(1)
     norm = np.where(grown > EPS, d * np.maximum(tau, 1) / np.maximum(grown, EPS), 1.0)
     norm[:, 0] = 1
-    search = norm[:, tau_low : tau_high + 1]
-    below = search < threshold
-    falls = np.concatenate((search[:, :-1] <= search[:, 1:], np.ones((len(f), 1), bool)), axis=1)
-    hit = below & falls
-    best = np.where(hit.any(1), hit.argmax(1), search.argmin(1)) + tau_low
-    row = np.arange(len(f))
-    a, b, c = norm[row, best - 1], norm[row, best], norm[row, np.minimum(best + 1, half - 1)]
-    bend = a - 2 * b + c
-    shift = np.where(np.abs(bend) > EPS, np.clip((a - c) / np.where(np.abs(bend) > EPS, 2 * bend, 1), -0.5, 0.5), 0)
-    voiced = hit.any(1) & (energy[:, 0] > EPS)
-    return np.where(voiced, sr / (best + shift), np.nan), voiced, np.clip(1 - b, 0, 1)
+    return norm, energy[:, 0]
+
+
+def _candidates(row: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Periods of a frame, refined by a parabola, and their probabilities: how many thresholds choose each, weighted."""
+    inside = row[low : high + 1]
+    at = np.flatnonzero((inside[1:-1] <= inside[:-2]) & (inside[1:-1] < inside[2:])) + low + 1
+    if not len(at):
+        return np.empty(0), np.empty(0)
+    below = row[at][:, None] < THRESHOLDS[None, :]
+    hit = below.any(0)
+    chance = np.bincount(below.argmax(0)[hit], weights=_PRIOR[hit], minlength=len(at))
+    at, chance = at[chance > 0], chance[chance > 0]
+    a, b, c = row[at - 1], row[at], row[at + 1]
+    bend = np.maximum(a - 2 * b + c, EPS)
+    return at + np.clip((a - c) / (2 * bend), -0.5, 0.5), chance
+
+
+def pitch(x: np.ndarray, sr: int, low: float = 50.0, high: float = 8000.0, length: int = 2048, hop: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """F0 (NaN unvoiced), voiced flags and probabilities: periods of each frame by many thresholds, then the most likely path through them."""
+    norm, energy = _difference(frames(x, length, hop))
+    first, last = max(2, int(sr / high)), min(norm.shape[1] - 2, int(sr / low))
+    found = [_candidates(row, first, last) if e > EPS else (np.empty(0), np.empty(0)) for row, e in zip(norm, energy, strict=True)]
+    probability = np.array([c.sum() for _, c in found])
+    # states of a frame: its periods, then silence
+    score, before = [], []
+    for k, (tau, chance) in enumerate(found):
+        seen = np.log(np.maximum(np.append(chance, 1 - chance.sum()), EPS))
+        if k == 0:
+            score.append(seen)
+            before.append(None)
+            continue
+        step = np.full((len(found[k - 1][0]) + 1, len(tau) + 1), np.log(SWITCH))
+        step[:-1, :-1] = np.log(1 - SWITCH) - np.abs(np.log2(found[k - 1][0][:, None] / tau[None, :])) / GLIDE
+        step[-1, -1] = np.log(1 - SWITCH)
+        total = score[-1][:, None] + step
+        before.append(total.argmax(0))
+        score.append(total.max(0) + seen)
+    f0 = np.full(len(found), np.nan)
+    state = int(score[-1].argmax()) if found else 0
+    for k in range(len(found) - 1, -1, -1):
+        tau = found[k][0]
+        if state < len(tau):
+            f0[k] = sr / tau[state]
+        state = int(before[k][state]) if k else 0
+    return f0, ~np.isnan(f0), np.clip(probability, 0, 1)
 
 
 def _stats(v: np.ndarray) -> list[float]:

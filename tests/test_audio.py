@@ -52,6 +52,20 @@ def test_sine_features():
     assert 15000 < len(dsp.trim_silence(padded)) < 20000
 
 
+def test_pitch_follows_a_smoothed_path():
+    rng = np.random.default_rng(3)
+    t = np.arange(16000) / 16000
+    glide = np.sin(2 * np.pi * (200 * t + 100 * t**2)) + 0.5 * np.sin(4 * np.pi * (200 * t + 100 * t**2))
+    f0, voiced, chance = dsp.pitch(glide + 0.02 * rng.normal(size=16000), 16000)
+    want = 200 + 200 * np.arange(len(f0)) * 512 / 16000
+    inner = slice(3, -3)
+    assert voiced[inner].all() and np.allclose(f0[inner], want[inner], rtol=0.05) and (chance >= 0).all() and (chance <= 1).all()
+    hissed = np.concatenate((tone(440, 0.5), 0.3 * rng.normal(size=8000), tone(440, 0.5)))
+    f0, voiced, _ = dsp.pitch(hissed, 16000)
+    assert voiced[2:13].all() and voiced[18:28].mean() < 0.3 and np.allclose(f0[2:13], 440, rtol=0.01)
+    assert not dsp.pitch(np.zeros(5000), 16000)[1].any()
+
+
 def plain_power(x, n, hop, shape):
     """Power spectra by the definition of the Fourier transform, frame by frame."""
     padded = np.concatenate((np.zeros(n // 2), x, np.zeros(n // 2)))
