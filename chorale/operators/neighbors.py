@@ -34,13 +34,13 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, keys: tuple[str, ...] = (), metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, train: DataFrame, k: int, keys: tuple[str, ...] = (), metric: str = "cosine", block: int = BLOCK, apart: str | None = None) -> DataFrame:
     """(keys, id, label, rank, neighbour, neighbour_label, dist): the ``k`` nearest of ``train`` (keys, id, label, vec).
 
-    A point is no neighbour of itself. Distances are compared after rounding to 9 places, ties go to the
+    A point is no neighbour of itself, nor of those with its value of ``apart``. Distances are compared after rounding to 9 places, ties go to the
     smallest id, so that any engine gives the same neighbours.
     """
-    cols = [*keys, "id", "label", doubles("vec").alias("vec")]
+    cols = [*keys, "id", "label", doubles("vec").alias("vec"), *([F.col(apart).alias("_apart")] if apart else [])]
     n_q, n_t = _blocks(queries, block), _blocks(train, block)
     both = _dealt(queries.select(*cols), 0, "qb", n_q, "tb", n_t).unionByName(_dealt(train.select(*cols), 1, "tb", n_t, "qb", n_q))
     kinds = dict(both.dtypes)
@@ -52,6 +52,8 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, keys: tuple[str, ...]
             return pd.DataFrame({c: [] for c in (*keys, "id", "label", "neighbour", "neighbour_label", "dist")})
         d = np.round(_distances(np.stack(q["vec"]), np.stack(t["vec"]), metric), 9)
         d[q["id"].to_numpy()[:, None] == t["id"].to_numpy()[None, :]] = np.inf
+        if apart:
+            d[q["_apart"].to_numpy()[:, None] == t["_apart"].to_numpy()[None, :]] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(q)), order.shape[1])
         at = order.ravel()
@@ -79,10 +81,9 @@ def holdout(points: DataFrame, ks: list[int], keys: tuple[str, ...] = ()) -> Dat
 
 
 def cross_validated(points: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, cv_mean, cv_std): accuracy of each fold among the others; ``points`` has fold."""
-    folds = points.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points.agg(F.max("fold")).first()[0]).cast("long"))).alias("part"), "id", "label", "vec", "fold")
-    found = nearest(folds.where("fold = part"), folds.where("fold <> part"), max(ks), ("part",))
-    scores = vote(found, ks, ("part",)).groupBy("k", "part").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("score"))
+    """(k, cv_mean, cv_std): accuracy of each fold among the others, from one search; ``points`` has fold."""
+    told = vote(nearest(points, points, max(ks), apart="fold"), ks).join(points.select("id", "fold"), "id")
+    scores = told.groupBy("k", "fold").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("score"))
     return scores.groupBy("k").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
 
 
