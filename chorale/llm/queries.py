@@ -11,10 +11,14 @@ from chorale.llm import sql
 from chorale.llm.exact_dedup import exact_dedup
 from chorale.llm.jaccard_join import jaccard_join
 from chorale.llm.language_id import held_out, identify, learn
+from chorale.llm.language_model import score_texts
 from chorale.llm.line_dedup import line_dedup
 from chorale.llm.packing import pack_documents
 from chorale.llm.pieces import encode_and_decode
 from chorale.llm.quality import quality_cascade
+from chorale.llm.resampling import resample
+from chorale.llm.runs import find_runs
+from chorale.llm.shared import let, n_words, words
 from chorale.llm.sharding import shard_documents
 from chorale.llm.url_filter import UrlRule, url_verdicts, with_parts
 from chorale.llm.warc import archive_pages
@@ -93,6 +97,44 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.md5("cleaned").alias("cleaned_md5"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, in which every tenth document by hash repeats a stretch of its words to its end.
+
+    With h = crc32(doc_id) and g = h div 10, a text of n > 0 words whose h is a multiple of 10 becomes the words
+    from a = g mod n on in a period of 1 + (n - a) div (3 + g mod 8). A null id plants nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(w):
+        n = F.size(w).cast("long")
+        return let(g % n, lambda a: let((F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("long"), lambda p: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")))
+
+    text = F.when((h % 10 == 0) & (n_words(F.col("text")) > 0), let(words(F.col("text")), planted)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_runs(with_planted_period(_read(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    length = -F.col("best.l")
+    return out.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trained = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    out, _ = score_texts(_read(spark, sf_dir, "documents"), trained)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +142,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_ngram_jaccard_join, op5_sentencepiece, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_ngram_jaccard_join, op5_sentencepiece, op6_exact_dedup, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_line_dedup, op11_periodic_runs, op12_lm_scoring, op13_importance_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -106,3 +106,14 @@ def squeezed(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`table` wrote and that nothing reads any more, and let Spark drop shuffles that nothing refers to."""
+    spark = df.sparkSession
+    for owner, path in [x for x in _written if x[0] == spark.sparkContext.applicationId]:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1]):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _written.remove((owner, path))
+    spark._jvm.System.gc()
