@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +63,18 @@ STATS = {
     "n_repeat_words": Stat(lambda: repeat_words(F.col("words")), 2600, "words"),
     "n_upper": Stat(lambda: _removed(F.col("t"), r"\p{Lu}+"), 100),
     "n_letters": Stat(lambda: _removed(F.col("t"), r"\p{L}+"), 90),
+    "n_letterless": Stat(lambda: F.size(F.filter("words", lambda w: ~w.rlike(r"\p{L}"))).cast("long"), 150, "words"),
+    "n_distinct": Stat(lambda: F.size(F.array_distinct("words")).cast("long"), 300, "words"),
+    "n_bullets": Stat(lambda: F.size(F.filter("lines", lambda x: x.rlike(rf"^[{SPACE}]*[-*\u2022]"))).cast("long"), 300, "lines"),
+    "n_ellipses": Stat(lambda: F.size(F.filter("lines", lambda x: x.rlike(rf"(\.\.\.|\u2026)[{SPACE}]*$"))).cast("long"), 500, "lines"),
 }
+#: Statistics that are computed from others.
+NEEDS = {"n_words": ("words",), "n_repeat_words": ("words",), "n_letterless": ("words",), "n_distinct": ("words",)} | {s: ("lines",) for s in ("n_lines", "n_dup_lines", "n_bullets", "n_ellipses")}
+
+
+def with_needs(stats: Iterable[str]) -> tuple[str, ...]:
+    """``stats``, each after those that it is computed from."""
+    return tuple(dict.fromkeys(s for k in stats for s in (*NEEDS.get(k, ()), k)))
 
 
 #: Distinct whole texts, about, on which the rules are tried before they are ordered.
@@ -77,7 +88,7 @@ class Rule:
     name: str
     stats: tuple[str, ...]
     reject: str
-    #: On a sample, as of its place in the order: nanoseconds of what it adds for a document that reaches it, and the share of all documents that it rejects there.
+    #: On a sample, as of its place in the order and over the documents that reach it: nanoseconds of what it adds for one, and the share that it rejects.
     cost: float = field(default=0.0, compare=False)
     rejects: float = field(default=0.0, compare=False)
 
@@ -91,6 +102,10 @@ METHOD_RULES = (
     Rule("word_length", ("words", "n_words", "word_chars"), "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
     Rule("repeated_lines", ("lines", "n_lines", "n_dup_lines"), "10 * n_dup_lines > 4 * n_lines"),
     Rule("capitals", ("n_letters", "n_upper"), "10 * n_upper > 3 * n_letters"),
+    Rule("letterless_words", ("words", "n_words", "n_letterless"), "10 * n_letterless > 2 * n_words"),
+    Rule("few_distinct_words", ("words", "n_words", "n_distinct"), "20 * n_distinct < n_words"),
+    Rule("bullets", ("lines", "n_lines", "n_bullets"), "10 * n_bullets > 9 * n_lines"),
+    Rule("ellipses", ("lines", "n_lines", "n_ellipses"), "10 * n_ellipses > 3 * n_lines"),
 )
 RULES = BASE_RULES + METHOD_RULES
 
@@ -99,7 +114,7 @@ def _cascade(docs: DataFrame, rules: tuple[Rule, ...], always: tuple[str, ...] =
     """Adds _failed (first failing rule, else null) and the statistics; those not in ``always`` are computed only while no rule has failed."""
     have: set[str] = set()
     out = docs.withColumn("_failed", F.lit(None).cast("string"))
-    for stat in always:
+    for stat in with_needs(always):
         out = out.withColumn(stat, STATS[stat].value())
         have.add(stat)
     for rule in rules:
@@ -136,20 +151,20 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
     ``docs`` has the text as ``t``. About ``sample_rows`` distinct whole texts are chosen by their hash and
     weigh as much as they have copies. A rule's cost is the work of those of its statistics that neither
-    ``always`` nor an earlier rule has computed, its rejection what it rejects of what earlier rules let
-    through. Work is counted, not timed, so a table gives the same order in every run and partitioning. Only
+    ``always`` nor an earlier rule has computed, its rejection what it rejects, both for a document that
+    earlier rules let through. Work is counted, not timed, so a table gives the same order in every run and partitioning. Only
     the order depends on the sample, never a verdict.
     """
     alive = _patterns(docs, rules, sample_rows)
     if not alive:
         return tuple(rules)
-    whole, have, left, out = sum(p["docs"] for p in alive), set(always), list(enumerate(rules)), []
+    have, left, out = set(with_needs(always)), list(enumerate(rules)), []
     while left:
         reached = max(sum(p["docs"] for p in alive), 1)
 
         def weigh(rule: Rule, k: int, reached: int = reached) -> Rule:
             work = sum(STATS[s].price * p[STATS[s].unit] for s in rule.stats if s not in have for p in alive)
-            return replace(rule, cost=max(work / reached, 1.0), rejects=sum(p["docs"] for p in alive if p["hit"][k]) / whole)
+            return replace(rule, cost=max(work / reached, 1.0), rejects=sum(p["docs"] for p in alive if p["hit"][k]) / reached)
 
         k, best = min(((k, weigh(r, k)) for k, r in left), key=lambda x: (-x[1].rejects / x[1].cost, x[1].cost, x[1].name))
         out.append(best)
@@ -175,8 +190,7 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule,
 def _judge(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], sample_rows: int, keep_stats: tuple[str, ...]) -> DataFrame:
     """The rows as struct _row beside _failed and the statistics."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    needs = {"n_words": ("words",), "n_repeat_words": ("words",), "n_lines": ("lines",), "n_dup_lines": ("lines",)}
-    always = tuple(dict.fromkeys(s for k in keep_stats for s in (*needs.get(k, ()), k)))
+    always = with_needs(keep_stats)
     order = order_rules(docs.select(text), rules, sample_rows, always)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text)
     return _fenced(_cascade(rows, order, always), (*always, "_failed"))

@@ -1,8 +1,8 @@
 """Shards balanced jointly in bytes, tokens and rows by vector bin packing.
 
-Rows with equal texts form a group that is placed as one item, unless it alone exceeds a shard; then it
-is split into as few pieces as fit. Heavy items, of which there are few whatever the corpus, are placed
-first against the whole residual capacity. Light items are dealt by hash into packs; every task places
+Rows with equal texts form a group that is placed as one item, unless it alone exceeds a shard; then its
+rows are numbered and cut into equal pieces of a small part of a shard. Heavy items and such pieces, of which
+there are few whatever the corpus, are placed first against the whole residual capacity. Light items are dealt by hash into packs; every task places
 its pack's items, largest first, against its share of what the heavy items left. An item goes to the
 shard where the dot product of its weights with the residual capacity is highest, among those it fits.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chorale.llm.shared import n_words, numbered_copies, table
 
 DIMENSIONS = ("bytes", "tokens", "rows")
-#: An item is heavy above this part of a shard; so there are at most 3 * 64 * n_shards heavy items.
+#: An item is heavy above this part of a shard, and so large are the pieces of a split group; so there are at most 2 * 3 * 64 * n_shards of both.
 HEAVY = 1 / 64
 #: Number ranges of a shard that are counted apart, at most; the table of offsets is n_shards times as long.
 MAX_RANGES = 4096
@@ -42,10 +42,26 @@ def _ordered(pdf: pd.DataFrame, total: dict) -> tuple[pd.DataFrame, np.ndarray]:
     return pdf.iloc[order], weights[order]
 
 
+def _pieces(rows: DataFrame, splits: DataFrame, ranges: int) -> DataFrame:
+    """``rows`` with the piece of a split group that each is in, null in others; pieces of a group differ by a row at most.
+
+    A group's rows are counted by ranges of a hash and numbered within them, so no task has the whole of it.
+    """
+    told = rows.join(F.broadcast(splits), "key", "left")  # at most 3 * n_shards splits
+    hot = told.where("pieces IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id", "copy"), F.lit(ranges)))
+    counts = hot.groupBy("key", "part").count()
+    before = F.sum("count").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("key", "part", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy("id", "copy")) - 1
+    placed = hot.withColumn("within", within).join(F.broadcast(offsets), ["key", "part"])  # ranges for each split
+    piece = F.floor((F.col("offset") + F.col("within")) * F.col("pieces") / F.col("of")).cast("int")
+    return told.where("pieces IS NULL").withColumn("piece", F.lit(None).cast("int")).select(*rows.columns, "piece").unionByName(placed.withColumn("piece", piece).select(*rows.columns, "piece"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", pack_groups: int = 1 << 16) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in every shard).
 
-    A null text counts as empty: 8 bytes, no tokens, CRC 0. Null and repeated ids are rows like any other.
+    A null text counts as empty: 8 bytes, no tokens, CRC 0. Long texts are one item whatever their length. Null and repeated ids are rows like any other.
     An empty table gives an empty result; other columns of ``docs`` are not looked at. Shards and slots follow
     from ids and texts alone, however the table is partitioned.
     """
@@ -57,19 +73,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
 
     share = F.greatest(*[F.col(d) * n_shards / float(max(total[d], 1)) for d in DIMENSIONS])
     sized = groups.withColumn("share", share)
-    splits = table(sized.where("share > 1").select("key", F.ceil("share").cast("int").alias("pieces")), "splits")
-    dealt = rows.join(F.broadcast(splits), "key", "left").withColumn("piece", F.coalesce(F.expr("CAST(pmod(xxhash64(id, copy), pieces) AS INT)"), F.lit(0)))  # at most 3 * n_shards splits
+    splits = table(sized.where("share > 1").select("key", F.col("rows").alias("of"), F.ceil(F.col("share") / HEAVY).cast("int").alias("pieces")), "splits")
+    ranges = min(MAX_RANGES, max(16, -(-total["rows"] // 250_000)))
+    dealt = table(_pieces(rows, splits, ranges), "dealt")
     whole = sized.where("share <= 1").select("key", F.lit(0).alias("piece"), *DIMENSIONS, "share")
-    pieces = dealt.where("pieces IS NOT NULL").groupBy("key", "piece").agg(*sums).withColumn("share", share)
-    items = table(whole.unionByName(pieces), "items")
+    pieces = dealt.where("piece IS NOT NULL").groupBy("key", "piece").agg(*sums).withColumn("share", share)
+    items = table(whole.withColumn("hot", F.lit(False)).unionByName(pieces.withColumn("hot", F.lit(True))), "items")
+    dealt = dealt.withColumn("piece", F.coalesce("piece", F.lit(0)))
 
-    heavy, weights = _ordered(items.where(F.col("share") > HEAVY).toPandas(), total)
+    heavy, weights = _ordered(items.where((F.col("share") > HEAVY) | F.col("hot")).toPandas(), total)
     residual = np.full((n_shards, len(DIMENSIONS)), 1 / n_shards)
     heavy = heavy.assign(shard=place(weights, residual))[["key", "piece", "shard"]]
     residual = np.maximum(residual, 0)
     residual /= np.maximum(residual.sum(axis=0), 1e-12)
 
-    light = items.where(F.col("share") <= HEAVY)
+    light = items.where((F.col("share") <= HEAVY) & ~F.col("hot"))
     packs = max(1, -(-light.count() // pack_groups))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +101,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         placed = placed.unionByName(docs.sparkSession.createDataFrame(heavy, schema))
     placed = table(placed, "placed")
 
-    ranges = min(MAX_RANGES, max(16, -(-total["rows"] // 250_000)))
     number = table(dealt.join(placed, ["key", "piece"]).select("id", "size", "crc", "shard", "key", "copy", F.pmod(F.xxhash64("id", "key", "copy"), F.lit(ranges)).cast("int").alias("part")), "sharded")
     counts = number.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

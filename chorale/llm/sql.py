@@ -29,13 +29,16 @@ base AS (
   SELECT b.rid, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
-    length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS n_letters
+    length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS n_letters,
+    len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_letterless, len(list_distinct(ws)) AS n_distinct,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipses
   FROM base b JOIN lines USING (rid) LEFT JOIN cover c USING (rid)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats
 ), quality AS (
   SELECT *, NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
-    OR 10 * n_dup_lines > 4 * n_lines OR 10 * n_upper > 3 * n_letters) AS kept FROM judged
+    OR 10 * n_dup_lines > 4 * n_lines OR 10 * n_upper > 3 * n_letters
+    OR 10 * n_letterless > 2 * n_words OR 20 * n_distinct < n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines) AS kept FROM judged
 )
 """
 

@@ -133,11 +133,18 @@ def test_rules_are_ordered_by_evidence_that_repeats(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     orders = [quality.order_rules(d) for d in (df, df.repartition(3), df.orderBy("t"))]
     assert orders[0] == orders[1] == orders[2] and {r.name for r in orders[0]} == {r.name for r in quality.RULES}
-    assert sum(r.rejects for r in orders[0]) <= 1 and orders[0][0].rejects > 0  # each rejection counts for the first rule that makes it
     alone = {r.name: quality.order_rules(df, (r,))[0] for r in quality.RULES}
-    assert orders[0][0] == max(alone.values(), key=lambda r: r.rejects / r.cost)
-    later = [r for r in orders[0][1:] if "words" in r.stats and "words" in orders[0][0].stats]
-    assert later and all(r.cost < alone[r.name].cost for r in later)  # words are charged once
+    assert orders[0][0] == max(alone.values(), key=lambda r: r.rejects / r.cost) and orders[0][0].rejects > 0
+    # cost and rejection of each rule among the documents that reach it, shared statistics charged once
+    every = quality.with_needs(s for r in quality.RULES for s in r.stats)
+    judged = quality._cascade(df, (), every).select("t", *[F.coalesce(F.expr(r.reject), F.lit(False)).alias(r.name) for r in quality.RULES]).toPandas()
+    units = {"chars": judged["t"].map(len), "words": judged["t"].map(lambda t: len(WORD.findall(t))), "lines": judged["t"].map(lambda t: t.count("\n"))}
+    have, alive = set(), np.ones(len(judged), bool)
+    for rule in orders[0]:
+        work = sum(quality.STATS[s].price * units[quality.STATS[s].unit][alive].sum() for s in rule.stats if s not in have)
+        assert rule.cost == pytest.approx(max(work / max(alive.sum(), 1), 1.0)) and rule.rejects == pytest.approx(judged[rule.name][alive].sum() / max(alive.sum(), 1))
+        have |= set(rule.stats)
+        alive &= ~judged[rule.name].to_numpy()
     assert quality.order_rules(df.limit(0)) == quality.RULES
 
 
@@ -147,6 +154,29 @@ def test_later_statistics_are_not_computed_for_rejected_rows(spark):
     assert [(r["n_words"], r["n_upper"], r["_failed"]) for r in out] == [(1, None, "too_few_words"), (80, 0, None)]
 
 
+def test_measured_order_differs_and_skips_work(spark, sf_dir):
+    """The order by measured work is not the list's, and what it skips is counted."""
+    docs = documents(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("t"))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = quality.order_rules(docs, always=shown)
+    assert [r.name for r in order] != [r.name for r in quality.RULES]
+    lazy = [s for s in quality.STATS if s not in quality.with_needs(shown) and any(s in r.stats for r in quality.RULES)]
+    assert len(lazy) >= 5
+    judged = quality._cascade(docs, order, shown).select("_failed", *[F.col(s).isNull().alias(s) for s in lazy]).toPandas()
+    failed = judged["_failed"].notna()
+    assert failed.any() and not judged.loc[~failed, lazy].any().any()  # kept documents have every statistic
+    place = {s: min(k for k, r in enumerate(order) if s in r.stats) for s in lazy}
+    at = judged["_failed"].map({r.name: k for k, r in enumerate(order)})
+    for s in lazy:
+        assert (judged[s] == (at < place[s])).all()  # skipped exactly where an earlier rule has rejected
+
+
+@pytest.mark.parametrize("text", ["- one bullet line with words\n* and two\n\u2022 three" * 20, "it goes on ...\nand on \u2026 \n" * 40, "12 34 5.6 " * 30 + "word " * 10, "same words again " * 60])
+def test_method_rules_reject(spark, text):
+    rules = {r.name: bool(quality._cascade(spark.createDataFrame([(text,)], "t string"), (r,)).first()["_failed"]) for r in quality.METHOD_RULES}
+    assert any(rules[n] for n in ("bullets", "ellipses", "letterless_words", "few_distinct_words"))
+
+
 # sharding
 
 
@@ -166,6 +196,11 @@ def test_a_hot_group_is_split_and_others_are_not(spark):
     rows = [(i, "hot text") for i in range(300)] + [(1000 + i, f"text {i // 2}") for i in range(600)]
     out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
     assert out.groupby("shard").size().pipe(lambda s: s.max() - s.min()) <= 6
+    rng = np.random.default_rng(5)
+    many = [(i, "a hot text of some words") for i in range(3000)] + [(10_000 + i, long_text(int(rng.integers(2000)), 12)) for i in range(6000)]
+    big = sharding.shard_documents(spark.createDataFrame(many, "doc_id long, text string"), 24).toPandas()
+    for sums in (big.groupby("shard").size(), big.groupby("shard")["size"].sum()):
+        assert sums.max() / sums.mean() < 1.02 and len(sums) == 24
     cold = out[out["doc_id"] >= 1000].merge(spark.createDataFrame(rows, "doc_id long, text string").toPandas())
     assert (cold.groupby("text")["shard"].nunique() == 1).all()
 
