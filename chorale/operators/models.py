@@ -11,7 +11,7 @@ from itertools import product
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from chorale.functions.labels import encode
 from chorale.functions.tables import small
 from chorale.functions.vec import doubles
+from chorale.operators.boosting import Boosting
 from chorale.operators.metrics import bundle, confusion
 from chorale.operators.neighbors import nearest, vote
 from chorale.operators.sampling import class_weights, drop_rare, stratified_folds, stratified_split
@@ -47,9 +48,9 @@ def random_forest(n_rows: int, trees: int = 100, depth: int = 30, min_rows: int
     return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, seed=42)
 
 
-def boosted_trees(n_rows: int, rounds: int = 100, depth: int = 5, rate: float = 0.1) -> Estimator:
-    """Boosting is binary in Spark ML, so one against the rest."""
-    return OneVsRest(classifier=GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42), featuresCol="features", labelCol="y", parallelism=4)
+def boosted_trees(n_rows: int, rounds: int = 100, depth: int = 5, rate: float = 0.1) -> Boosting:
+    """A tree for each label in every round, all labels in one aggregate a level."""
+    return Boosting(rounds, depth, rate)
 
 
 def fourier_map(points: DataFrame, gamma: float | str = "scale", n: int = 128, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
@@ -76,7 +77,7 @@ def fourier_map(points: DataFrame, gamma: float | str = "scale", n: int = 128, s
 #: Rows of a partition in training; many small partitions cost more than they share.
 ROWS_IN_PART = 50_000
 
-Maker = Callable[..., Estimator]
+Maker = Callable[..., Estimator | Boosting]
 #: Classifiers by name: how to make one, its default settings, its grid.
 _classifiers: dict[str, tuple[Maker, dict, dict]] = {
     "linear_probe": (logistic, {"c": 1.0}, {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}),

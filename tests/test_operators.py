@@ -182,8 +182,8 @@ def test_boosted_trees_and_forest_defaults_are_whole(spark):
     split = sampling.stratified_split(separable(spark, 60), "label", "id")
     assert models.Classifier("xgboost", {"rounds": 2, "depth": 2}).train_and_evaluate(split).first()["balanced_accuracy"] > 0.9
     forest = models.random_forest(10)
-    boosted = models.boosted_trees(10).getClassifier()
-    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 30) and (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 5, 0.1)
+    boosted = models.boosted_trees(10)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 30) and (boosted.rounds, boosted.depth, boosted.rate) == (100, 5, 0.1)
 
 
 def test_grid_search_ranks_and_refits(spark):
