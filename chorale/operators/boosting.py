@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.functions.tables import array_sums
 from chorale.functions.vec import doubles, long_form
 
 #: Points of a block, and rounds after which the points' scores are stored.
 BLOCK, STORED = 1 << 13, 10
-#: So many partitions or fewer send their sums to the driver; more are summed by label and node first.
-FEW = 4
 
 
 @dataclass
@@ -253,14 +252,5 @@ def _level_sums(state: DataFrame, model: Boosted, since: int, trees: Trees, leve
                 out += histograms(bins, g, h, trees.walk(bins, level), cells, n_bins)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["cell", "sums"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
-        return pa.table({"cell": group.column("cell").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    each = state.mapInArrow(run, "cell int, sums binary")
-    if parts > FEW:
-        each = each.groupBy("cell").applyInArrow(add, "cell int, sums binary")
-    out = np.zeros((len(cells), *shape))
-    for r in each.collect():  # labels x nodes x dimensions x bins, for each of FEW partitions at most
-        out[r["cell"]] += np.frombuffer(r["sums"]).reshape(shape)
-    return out
+    out = array_sums(state.mapInArrow(run, "cell int, sums binary"), parts)  # labels x nodes x dimensions x bins
+    return np.stack([out[k].reshape(shape) for k in range(len(cells))])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from chorale.functions.labels import encode
 from chorale.functions.tables import small
 from chorale.functions.vec import doubles
+from chorale.operators import linear
 from chorale.operators.boosting import Boosting
 from chorale.operators.metrics import bundle, confusion
 from chorale.operators.neighbors import nearest, vote
@@ -93,6 +94,10 @@ def register_classifier(name: str, make: Maker, defaults: dict | None = None, gr
     _classifiers[name] = (make, defaults or {}, grid or {})
 
 
+def grid_of(name: str) -> dict:
+    return _classifiers[name][2]
+
+
 @dataclass
 class Classifier:
     """train, predict, evaluate and train_and_evaluate under one name; without ``settings`` those it is registered with."""
@@ -138,9 +143,25 @@ AT_A_TIME = 8
 
 
 def grid_search(points: DataFrame, name: str, grid: dict | None = None, folds: int = 5) -> DataFrame:
-    """(settings, cv_mean, cv_std, rank): balanced accuracy of every setting over stratified folds, best first."""
+    """(settings, cv_mean, cv_std, rank): balanced accuracy of every setting over stratified folds, best first.
+
+    Multinomial regressions are fitted all at once; other classifiers AT_A_TIME.
+    """
     grid = grid or _classifiers[name][2]
-    rows = stratified_folds(points, "label", "id", folds).persist()
+    rows = stratified_folds(points, "label", "id", folds)
+    if _classifiers[name][0] is logistic and set(grid) == {"c"}:
+        counts, cells, _ = linear.fit_grid(rows, (), list(grid["c"]), list(range(folds)))
+        scored = bundle(counts, ("cell",)).collect()  # a row for each setting and fold
+        scores = [(repr({"c": cells[r["cell"]].c}), cells[r["cell"]].fold, r["balanced_accuracy"]) for r in scored]
+        counts.unpersist()
+    else:
+        scores = _fit_each(rows.persist(), name, grid, folds)
+    table = points.sparkSession.createDataFrame(scores, "settings string, fold int, score double")
+    means = table.groupBy("settings").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
+    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_mean"), "settings")))
+
+
+def _fit_each(rows: DataFrame, name: str, grid: dict, folds: int) -> list[tuple[str, int, float]]:
     rows.count()
 
     def score(cell: tuple[dict, int]) -> tuple[str, int, float]:
@@ -150,11 +171,9 @@ def grid_search(points: DataFrame, name: str, grid: dict | None = None, folds: i
 
     cells = [(dict(zip(grid, values, strict=True)), fold) for values in product(*grid.values()) for fold in range(folds)]
     with ThreadPoolExecutor(AT_A_TIME) as pool:
-        scores = list(pool.map(inheritable_thread_target(points.sparkSession)(score), cells))
+        scores = list(pool.map(inheritable_thread_target(rows.sparkSession)(score), cells))
     rows.unpersist()
-    table = points.sparkSession.createDataFrame(scores, "settings string, fold int, score double")
-    means = table.groupBy("settings").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
-    return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_mean"), "settings")))
+    return scores
 
 
 def search_and_refit(points: DataFrame, name: str, grid: dict | None = None, folds: int = 5) -> tuple[Classifier, DataFrame]:

@@ -26,9 +26,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: str = "0.2"
     return df.withColumn("is_test", _place([*within, label], key, seed) <= share)
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds fold in 0..k-1; every label's rows are dealt in hash order."""
-    return df.withColumn("fold", ((_place([label], key, seed) - 1) % k).cast("long"))
+    return df.withColumn("fold", ((_place([*within, label], key, seed) - 1) % k).cast("long"))
 
 
 def sample_labels(df: DataFrame, label: str, n: int, trials: int, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chorale.operators import clustering, models, neighbors, pooling, ranking, sampling
+from chorale.operators import clustering, linear, metrics, models, neighbors, pooling, ranking, sampling
 from chorale.sources import audio, tables
 
 
@@ -81,27 +81,32 @@ def _long_metrics(cells: DataFrame, keys: tuple[str, ...], name: str, parameter:
     return cells.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in found])).alias("e")).select(*keys, "e.*")
 
 
-def probe_layers(split: DataFrame, keys: tuple[str, ...], name: str, grid: dict | None = None, folds: int = 5) -> DataFrame:
-    """(keys, C, accuracy, balanced_accuracy, macro_f1): in every cell the best C by cross-validation on the training rows, scored on the test rows."""
-    split = split.persist()
-    cells, out = [r.asDict() for r in split.select(*keys).distinct().orderBy(*keys).collect()], []  # a row for each model and layer
-    for cell in cells:
-        here = split
-        for k, v in cell.items():
-            here = here.where(F.col(k).eqNullSafe(F.lit(v)))
-        best, _ = models.search_and_refit(here.where("NOT is_test"), name, grid, folds)
-        got = best.evaluate(here.where("is_test")).first()
-        out.append((*cell.values(), float(best.settings["c"]), *[float(got[m]) for m in ("accuracy", "balanced_accuracy", "macro_f1")]))
+def probe_layers(split: DataFrame, keys: tuple[str, ...], cs: list[float], folds: int = 5) -> DataFrame:
+    """(keys, C, accuracy, balanced_accuracy, macro_f1): in every cell the best C by cross-validation on the training rows, scored on the test rows.
+
+    All layers, folds and C are fitted together, those that train on every fold too.
+    """
+    train = sampling.stratified_folds(split.where("NOT is_test"), "label", "id", folds, within=keys)
+    points = train.select(*keys, "label", "vec", "fold").unionByName(split.where("is_test").select(*keys, "label", "vec", F.lit(linear.TEST).cast("long").alias("fold")))
+    counts, cells, groups = linear.fit_grid(points, keys, cs, [*range(folds), linear.TEST])
+    found = {r["cell"]: r for r in metrics.bundle(counts, ("cell",)).collect()}  # a row for each cell
+    counts.unpersist()
+    out = []
+    for g, key in enumerate(groups):
+        at = {(c.c, c.fold): found[k] for k, c in enumerate(cells) if c.group == g and k in found}
+        means = {c: [at[c, f]["balanced_accuracy"] for f in range(folds) if (c, f) in at] for c in cs}
+        best = min(cs, key=lambda c: (-sum(means[c]) / max(len(means[c]), 1), repr({"c": c})))
+        if (best, linear.TEST) in at:
+            out.append((*key, float(best), *[float(at[best, linear.TEST][m]) for m in ("accuracy", "balanced_accuracy", "macro_f1")]))
     kinds = dict(split.dtypes)
-    split.unpersist()
     return split.sparkSession.createDataFrame(out, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "C double, accuracy double, balanced_accuracy double, macro_f1 double"]))
 
 
 def compare_layers(rows: DataFrame, keys: tuple[str, ...] = ("layer",), ks: tuple[int, ...] = (3, 5, 7, 9), probes: dict[str, str] | None = None, grid: dict | None = None, folds: int = 5) -> DataFrame:
     """(keys, metric, value) of (keys, id, label, vec): three cluster scores, the best kNN, and the best linear probes.
 
-    kNN and cluster scores are one grouped query over all cells. ``probes`` has classifiers by the prefix of
-    their metrics; what a cell's score cannot tell is null or missing there and costs no other cell.
+    kNN and cluster scores are one grouped query over all cells. ``probes`` has multinomial regressions by the
+    prefix of their metrics, whose fits all run in one optimiser; what a cell's score cannot tell is null or missing there and costs no other cell.
     """
     split = sampling.stratified_split(rows, "label", "id", within=keys)
     cells = neighbors.holdout(split, list(ks), keys)
@@ -110,8 +115,11 @@ def compare_layers(rows: DataFrame, keys: tuple[str, ...] = ("layer",), ks: tupl
     scores = {"silhouette": clustering.silhouette_cosine(rows, keys).withColumnRenamed("silhouette", "score"), "calinski_harabasz": clustering.calinski_harabasz(rows, keys), "davies_bouldin": clustering.davies_bouldin(rows, keys)}
     for name, found in scores.items():
         out = out.unionByName(found.select(*keys, F.lit(name).alias("metric"), F.col("score").alias("value")))
-    for prefix, name in (probes or {}).items():
-        out = out.unionByName(_long_metrics(probe_layers(split, keys, name, grid, folds), keys, prefix, "C"))
+    if probes:
+        grids = {prefix: tuple((grid or models.grid_of(name))["c"]) for prefix, name in probes.items()}
+        found = {cs: probe_layers(split, keys, list(cs), folds) for cs in dict.fromkeys(grids.values())}  # both are multinomial, so a grid is fitted once
+        for prefix, cs in grids.items():
+            out = out.unionByName(_long_metrics(found[cs], keys, prefix, "C"))
     return out
 
 

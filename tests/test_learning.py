@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from chorale.operators import models
+from chorale.operators import linear, models
 from chorale.operators.boosting import Boosting
 
 
@@ -67,3 +67,52 @@ def test_boosting_of_one_label_and_constant_dimensions(spark):
     x, y = cloud(200, 4, 2)
     got = models.Classifier("xgboost", {"rounds": 20, "depth": 3}).train(frame(spark, x, y).select("id", "label", "vec"))
     assert got.evaluate(frame(spark, x, y).select("id", "label", "vec")).first()["balanced_accuracy"] > 0.9
+
+
+def cells_of(spark, seeds=(1, 2), folds=3):
+    """Two layers of points with folds, a fifth of them for tests."""
+    rows = []
+    for layer, seed in enumerate(seeds):
+        x, y = cloud(150, 4, 3, seed)
+        rows += [(layer, i, f"c{k}", (x[i] * 0.4).tolist(), linear.TEST if i % 5 == 0 else i % folds) for i, k in enumerate(y)]
+    return rows, spark.createDataFrame(rows, "layer int, id long, label string, vec array<double>, fold int").repartition(3)
+
+
+def test_many_fits_equal_single_ones(spark):
+    rows, points = cells_of(spark)
+    counts, cells, groups = linear.fit_grid(points, ("layer",), [0.01, 1.0], [0, 1, 2, linear.TEST])
+    assert groups == [(0,), (1,)] and len(cells) == 2 * 4 * 2
+    got = {}
+    for r in counts.collect():
+        got.setdefault(r["cell"], {})[r["y_true"], r["y_pred"]] = r["n"]
+    for k in (0, 5, 8, 15):
+        cell = cells[k]
+        own = [r for r in rows if r[0] == cell.group]
+        train = spark.createDataFrame([r[1:4] for r in own if r[4] not in (cell.fold, linear.TEST)], "id long, label string, vec array<double>")
+        test = spark.createDataFrame([r[1:4] for r in own if r[4] == cell.fold], "id long, label string, vec array<double>")
+        assert train.count() == cell.rows
+        single = models.Classifier("logistic_regression", {"c": cell.c}).train(train).predict(test).groupBy("label", "pred").count().collect()
+        assert {(r["label"], r["pred"]): r["count"] for r in single} == got[k]
+
+
+def test_minimum_is_flat_and_the_same_for_each_cell_alone(spark):
+    _, points = cells_of(spark)
+    blocks = linear.to_blocks(points, ("layer",))
+    cells = [linear.Cell(g, f, c, 100) for g in (0, 1) for f in (0, linear.TEST) for c in (0.1, 10.0)]
+    size = (blocks.width + 1) * len(blocks.labels)
+    together = linear.minimise(lambda k, w: linear.losses(blocks, [cells[i] for i in k], w), len(cells), size)
+    f, slope = linear.losses(blocks, cells, together)
+    assert np.abs(slope).max() < 1e-6 and (f < np.log(3)).all()
+    alone = linear.minimise(lambda k, w: linear.losses(blocks, [cells[3]], w), 1, size)
+    assert np.isclose(linear.losses(blocks, [cells[3]], alone)[0][0], f[3], atol=1e-9)
+    x = np.random.default_rng(1).normal(size=(len(cells), size))
+    e = 1e-6 * np.eye(size)[7]
+    up, down = (linear.losses(blocks, cells, x + s * e)[0] for s in (1, -1))
+    assert np.allclose((up - down) / 2e-6, linear.losses(blocks, cells, x)[1][:, 7], atol=1e-6)
+
+
+def test_fits_of_many_partitions_and_of_nothing(spark):
+    _, points = cells_of(spark)
+    few, many = (sorted(map(tuple, linear.fit_grid(points.repartition(n), ("layer",), [1.0], [linear.TEST])[0].collect())) for n in (1, 9))
+    assert few == many
+    assert linear.fit_grid(points.limit(0), ("layer",), [1.0], [0])[1] == []
