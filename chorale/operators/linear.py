@@ -22,6 +22,8 @@ from chorale.functions.vec import doubles
 
 #: Points of a block; steps that a cell remembers; passes, and the largest entry of a gradient with which a cell is done.
 BLOCK, MEMORY, PASSES, NEAR = 1 << 12, 8, 500, 1e-6
+#: Points of a partition; many small ones cost more in every pass than they share.
+ROWS_IN_PART = 50_000
 #: The fold of points for tests, and the fold left out by a cell that trains on all other points.
 TEST = -1
 
@@ -70,7 +72,8 @@ def to_blocks(points: DataFrame, keys: tuple[str, ...]) -> Blocks:
                 here = g == k
                 yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([batch.column(c).to_numpy()[here].astype("<i4").tobytes()]) for c in (1, 2)], pa.array([np.ascontiguousarray(x[here]).tobytes()])], names=["g", "y", "fold", "x"])
 
-    frame = rows.select("g", "y", F.col("fold").cast("int").alias("fold"), doubles("vec").alias("vec")).mapInArrow(pack, "g int, y binary, fold binary, x binary").persist()
+    parts = max(1, rows.count() // ROWS_IN_PART)
+    frame = rows.select("g", "y", F.col("fold").cast("int").alias("fold"), doubles("vec").alias("vec")).coalesce(parts).mapInArrow(pack, "g int, y binary, fold binary, x binary").persist()
     return Blocks(frame, frame.rdd.getNumPartitions(), width, labels, groups)
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -191,7 +192,13 @@ def knn_metrics(split: DataFrame, k: int = 5) -> DataFrame:
 def bake_off(points: DataFrame, names: tuple[str, ...] = tuple(_classifiers)) -> DataFrame:
     """(classifier, metrics) of kNN and the named classifiers, all by default, on one stratified split without rare labels."""
     split = stratified_split(drop_rare(points, "label"), "label", "id").persist()
-    out = knn_metrics(split).withColumn("classifier", F.lit("knn"))
-    for name in names:
-        out = out.unionByName(Classifier(name).train_and_evaluate(split).withColumn("classifier", F.lit(name)))
-    return out
+    split.count()
+
+    def row(name: str) -> pa.Table:
+        scores = knn_metrics(split) if name == "knn" else Classifier(name).train_and_evaluate(split)
+        return scores.withColumn("classifier", F.lit(name)).toArrow()
+
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        rows = list(pool.map(inheritable_thread_target(points.sparkSession)(row), ("knn", *names)))  # a row for each
+    split.unpersist()
+    return points.sparkSession.createDataFrame(pa.concat_tables(rows))
