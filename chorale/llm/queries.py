@@ -92,7 +92,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, and repeated runs of lines that straddle their boundaries."""
     out = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("_row.doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.md5("cleaned").alias("cleaned_md5"))
 

@@ -86,24 +86,27 @@ WITH docs AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM docs
 ), codes AS (
   SELECT doc_id, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, ('0x' || substr(md5(line), 1, 12))::BIGINT % 2147483647 AS code FROM lines
-), marks AS (
-  SELECT *, (code * 31 + coalesce(lag(code) OVER w, 0) * 1000003) % 2147483647 % 3 = 0 AS mark FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), firsts AS (
-  SELECT *, mark AND NOT coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY i), false) AS closes FROM marks
-), bounds AS (
-  SELECT *, closes OR (i - coalesce(max(CASE WHEN closes THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 64 = 0 AS ends FROM firsts
-), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM bounds
-), chunks AS (
-  SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, part HAVING count(*) > 1 AND count_if(worded) > 1
+), rolled AS (
+  SELECT *, (code * 31 + coalesce(lag(code) OVER w, 0) * 1000003) % 2147483647 AS v FROM codes WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), scales(d, r) AS (
+  VALUES (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)
+), ends AS (
+  SELECT DISTINCT * FROM (
+    SELECT doc_id, d, r, i AS e FROM rolled, scales WHERE v % d = r
+    UNION ALL SELECT doc_id, d, r, unnest([0, len(l)]) AS e FROM docs, scales)
 ), nexts AS (
-  SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM codes WHERE worded
-), pairs AS (
-  SELECT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS chunk FROM nexts JOIN docs USING (doc_id) WHERE b IS NOT NULL
+  SELECT doc_id, e AS a0, lead(e) OVER w AS e1, lead(e, 2) OVER w AS e2 FROM ends WINDOW w AS (PARTITION BY doc_id, d, r ORDER BY e)
+), stops AS (
+  SELECT DISTINCT doc_id, a0, CASE WHEN e1 - a0 >= 2 THEN e1 ELSE coalesce(e2, e1) END AS stop FROM nexts WHERE e1 IS NOT NULL
+), parts AS (
+  SELECT doc_id, stop, unnest(range(a0 + 1, stop + 1, 64)) AS a FROM stops
+), pieces AS (
+  SELECT DISTINCT doc_id, a, least(a + 63, stop) AS b FROM parts
 ), spans AS (
-  SELECT *, false AS pair FROM chunks UNION ALL SELECT *, true FROM pairs
+  SELECT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS chunk FROM pieces JOIN docs USING (doc_id)
+  WHERE b > a AND len(list_filter(l[a:b], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 1
 ), placed AS (
-  SELECT *, first_value(doc_id) OVER w AS d1, first_value(b) OVER w AS b1 FROM spans WINDOW w AS (PARTITION BY pair, chunk ORDER BY doc_id, a)
+  SELECT *, first_value(doc_id) OVER w AS d1, first_value(b) OVER w AS b1 FROM spans WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, a, b)
 ), cuts AS (
   SELECT * FROM placed WHERE NOT (doc_id = d1 AND a <= b1)
 ), gone AS (
@@ -113,5 +116,5 @@ WITH docs AS (
   FROM lines n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id
 )
 SELECT doc_id, n_lines, coalesce(c.n, 0)::BIGINT AS n_removed_chunks, n_removed_lines, CASE WHEN text IS NOT NULL THEN md5(coalesce(cleaned, '')) END AS cleaned_md5
-FROM docs JOIN whole USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cuts WHERE NOT pair GROUP BY doc_id) c USING (doc_id)
+FROM docs JOIN whole USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cuts GROUP BY doc_id) c USING (doc_id)
 """
