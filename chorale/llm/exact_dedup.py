@@ -4,9 +4,9 @@ Every row is reduced to a 64-bit key and a SHA-256 fingerprint of its normalised
 (key, fingerprint) entries, so that a hot text is one of them, form the index. A directory addressed by the
 leading bits of the key starts with one bucket and doubles whenever an overfull bucket sits at the
 directory's depth; a bucket is a folder of files for the range of keys that it owns. The texts of entries
-with several rows, one row for each different text, are dealt to the same buckets. The task that owns a
-bucket follows the chain of every key, compares the bytes and says which rows are copies: nothing counts as
-a copy but by its verdict.
+with several rows are dealt to the same buckets, each once for a partition that has it, so that a hot text is
+not many. The task that owns a bucket sorts it, follows the chain of every key, compares the bytes, and gives
+each different text its size and its keeper: nothing counts as a copy but by its verdict.
 """
 
 from __future__ import annotations
@@ -85,38 +85,48 @@ def bucket_files(directory: Directory, entries: DataFrame, name: str) -> DataFra
 def owners(index: DataFrame, texts: DataFrame) -> DataFrame:
     """What the owner of each bucket finds along its chains: a link for every different text.
 
-    ``index`` has the bucket files of entries and ``texts`` those of the texts of entries with several rows.
-    Returns (key, fingerprint, link, norm, keep_id, keep_row, n): ``link`` is the place of a text among those
-    of equal key; ``norm`` is null unless texts of one entry differ, in which case keep_row is null.
+    ``index`` has the bucket files of entries and ``texts`` those of the texts of entries with several rows, any
+    of them several times, as (key, fingerprint, norm, first, n). Along the sorted chain of a key a text whose
+    bytes differ from those before it begins a link; the link's size is the sum of its texts, its keeper the
+    least of them. Returns (key, fingerprint, link, norm, keep_id, keep_row, n): ``link`` is the place of a text
+    in its chain; ``norm`` is null unless texts of one entry differ, in which case keep_row is null.
     """
-    asked = index.where("n > 1").select("bucket", "key", "fingerprint", "n", "first_row", F.lit(None).cast("string").alias("norm"), F.lit(None).alias("id"))
-    found = texts.select("bucket", "key", "fingerprint", "n", F.lit(None).cast("long").alias("first_row"), "norm", F.col("first.id").alias("id"))
-    owned = asked.withColumn("id", F.col("id").cast(dict(found.dtypes)["id"])).unionByName(found).repartition("bucket")
-    entry = Window.partitionBy("bucket", "key", "fingerprint")
     chain = Window.partitionBy("bucket", "key").orderBy("fingerprint", "norm")
-    told = owned.withColumns({"texts": F.count("norm").over(entry), "keep_row": F.max("first_row").over(entry)}).where("norm IS NOT NULL")
-    alone = F.col("texts") == 1
-    return told.select("key", "fingerprint", (F.row_number().over(chain) - 1).alias("link"), F.when(~alone, F.col("norm")).alias("norm"), F.col("id").alias("keep_id"), F.when(alone, F.col("keep_row")).alias("keep_row"), "n")
+    owned = texts.repartition("bucket")
+    same = (F.col("norm") == F.lag("norm").over(chain)) & (F.col("fingerprint") == F.lag("fingerprint").over(chain))
+    linked = owned.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("link", F.sum("new").over(chain) - 1)
+    links = linked.groupBy("bucket", "key", "fingerprint", "link").agg(F.min("norm").alias("norm"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    alone = F.count("*").over(Window.partitionBy("bucket", "key", "fingerprint")) == 1
+    told = links.withColumn("alone", alone).withColumn("norm", F.when(~F.col("alone"), F.col("norm")))
+    rows = index.where("n > 1").select("key", "fingerprint", "first_row")
+    return told.join(rows, ["key", "fingerprint"]).select("key", "fingerprint", "link", "norm", F.col("first.id").alias("keep_id"), F.when(F.col("alone"), F.col("first_row")).alias("keep_row"), "n")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, max_depth: int = MAX_DEPTH, normalise: Callable[[Column], Column] = squeezed, key: Callable[[Column], Column] = _key64, fingerprint: Callable[[Column], Column] = _sha256) -> DataFrame:
+#: Entries of a bucket, at most; a table has at least twice as many buckets as there are cores, if it has so many entries.
+CAPACITY = 1 << 17
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, max_depth: int = MAX_DEPTH, normalise: Callable[[Column], Column] = squeezed, key: Callable[[Column], Column] = _key64, fingerprint: Callable[[Column], Column] = _sha256) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, fingerprint.
 
     Null texts count as empty; empty texts are copies of each other. Of equal texts the smallest id stays,
-    null ids last; of rows that repeat the same id and text exactly one is kept. An empty table gives an
-    empty result; other columns of ``docs`` are not looked at, whatever their names.
+    null ids last; of rows that repeat the same id and text exactly one is kept. Texts are compared whole,
+    of any length. An empty table gives an empty result; other columns of ``docs`` are not looked at, whatever their names.
     """
     slim = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm"))
     marks = {"key": key(F.col("norm")).cast("long"), "fingerprint": fingerprint(F.col("norm"))}
     rows = table(slim.withColumns(marks).select("id", "key", "fingerprint", F.monotonically_increasing_id().alias("row")), "rows")
     least = F.struct(F.col("id").isNull().alias("no_id"), "id")
     entries = table(rows.groupBy("key", "fingerprint").agg(F.min_by("row", F.struct(least.alias("least"), "row")).alias("first_row"), F.count("*").alias("n")), "entries")
+    if capacity is None:
+        capacity = max(1, min(CAPACITY, entries.count() // (2 * docs.sparkSession.sparkContext.defaultParallelism)))
     directory = build_directory(entries, capacity, max_depth)
     index = bucket_files(directory, entries, "index")
 
     open_keys = bounded(table(index.where("n > 1").select("key").distinct(), "open-keys"))
     again = slim.withColumns(marks).join(open_keys, "key", "left_semi")
-    texts = bucket_files(directory, again.groupBy("key", "fingerprint", "norm").agg(F.min(least).alias("first"), F.count("*").alias("n")), "texts")
+    here = again.withColumn("piece", F.spark_partition_id()).groupBy("piece", "key", "fingerprint", "norm").agg(F.min(least).alias("first"), F.count("*").alias("n"))
+    texts = bucket_files(directory, here.drop("piece"), "texts")
     links = table(owners(index, texts), "links")
 
     one = bounded(links.where("norm IS NULL").drop("norm", "link"))
@@ -146,7 +156,8 @@ def _along_chains(again: DataFrame, clashes: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops, all columns kept.
 
-    Rows are dropped by id and text fingerprint; of rows that repeat both, one stays.
+    Rows are dropped by id and text fingerprint; of rows that repeat both, one stays. Null counts as an empty
+    text; an empty table stays empty.
     """
     verdicts = table(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fingerprint"), F.col("kept").alias("_kept")), "verdicts")
     return drop_rows(docs, F.col(id_col), options.get("fingerprint", _sha256)(options.get("normalise", squeezed)(F.col(text_col))), verdicts)

@@ -96,6 +96,24 @@ def test_owners_follow_chains_and_decide(spark, odd, monkeypatch):
     assert exact.exact_dedup(odd).where("NOT kept").count() == 0
 
 
+def test_owners_compare_bytes_and_choose(spark, sf_dir, monkeypatch):
+    """Every text comes to its owner once a partition; sizes and keepers are the owner's, in several buckets without being asked."""
+    seen = []
+    plain = exact.owners
+    monkeypatch.setattr(exact, "owners", lambda index, texts: seen.append((index, texts)) or plain(index, texts))
+    docs = documents(spark, sf_dir)
+    docs = docs.unionByName(docs.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.where("doc_id < 20")).repartition(5)
+    out = exact.exact_dedup(docs).collect()
+    index, texts = seen[0]
+    assert index.select("bucket").distinct().count() > 4
+    assert texts.count() > texts.select("norm").distinct().count()  # copies from several partitions meet at the owner only
+    want = brute_exact([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in out), key=str) == want
+    monkeypatch.setattr(exact, "owners", lambda index, texts: plain(index, texts.withColumn("norm", F.concat("norm", F.expr("CAST(uuid() AS STRING)")))))
+    other = exact.exact_dedup(docs).collect()  # an owner to whom no two texts are equal finds no copies
+    assert sum(r["group_size"] for r in other) < sum(r["group_size"] for r in out)
+
+
 def test_directory_doubles_where_it_must():
     depth, buckets = exact.grow_directory({0: 5, 1: 5, 15: 1}, capacity=6, max_depth=4)
     assert depth == 4 and sum(n for _, _, n in buckets) == 11
