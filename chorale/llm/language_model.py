@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorale.llm.chunks import CHUNK, SPACES, answered, byte_table, chunk_table, dictionary, in_order, mixed, n_parts, pack, part_of, per_document, unpack
-from chorale.llm.shared import discard, table
+from chorale.llm.shared import discard, release, table
 
 BECOME = byte_table(SPACES, lower=True)
 #: Numbers of the mark before the first word, which is only a history, and of the token that ends a text; words follow.
@@ -174,11 +174,12 @@ class Model:
     unknown: float
 
 
-def _fit(known: DataFrame, pairs: DataFrame, parts: int, texts: int) -> Model:
-    spark = known.sparkSession
+def _word_table(known: DataFrame, parts: int, texts: int) -> DataFrame:
     numbered = known.where("chunk IS NULL").select("part", F.posexplode("counts").alias("at", "c")).where("c > 0").select((FIRST_WORD + F.col("at").cast("long") * parts + F.col("part")).alias("w"), "c")
-    end = spark.createDataFrame([(END, texts)] if texts else [], "w long, c long")
-    words = table(numbered.unionByName(end), "words")
+    return table(numbered.unionByName(known.sparkSession.createDataFrame([(END, texts)] if texts else [], "w long, c long")), "words")
+
+
+def _fit(words: DataFrame, pairs: DataFrame, texts: int) -> Model:
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     single, double = good_turing(_counts_of_counts(words)), good_turing(_counts_of_counts(pairs))
     c = F.col("c")
@@ -223,12 +224,14 @@ def score_texts(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_c
     ask = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("w", "v", "c")]])
     schema = T.StructType([T.StructField(c, k) for c, k in (("chunk", T.LongType()), ("rows", kinds), ("n", longs), ("n_known", longs), ("known", doubles), ("history", doubles), ("pairs", T.BinaryType()), ("asks", T.ArrayType(ask)))])
     told = table(answered(chunks.select("chunk", "rows", "n", "codes"), known.where("chunk IS NOT NULL").select("chunk", "part", "at", "count"), _pairs(parts), schema), "told")
+    words = _word_table(known, parts, int(texts))
     discard(chunks)
+    discard(known)
     asked = told.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.part", "a.w", "a.v", "a.c").repartition(parts, "part")
     merged = table(asked.groupBy("part").applyInArrow(_merge_pairs, "kind int, part int, chunk long, v long, w long, c long, answer binary"), "pairs", ["kind"])
-    model = _fit(known, merged.where("kind = 0").select("v", "w", "c"), parts, int(texts))
-    discard(known)
-
+    release(merged.sparkSession)
+    model = _fit(words, merged.where("kind = 0").select("v", "w", "c"), int(texts))
+    release(merged.sparkSession)
     unseen = table(_unseen(merged.where("kind = 2"), model).groupBy("chunk").agg(*[F.collect_list(c).alias(c) for c in ("part", "at", "x")]), "unseen")  # a chunk's own pairs at most
     answers = merged.where("kind = 1").select("chunk", "part", "answer", *[F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("parts", "int"), ("at", "bigint"), ("x", "double"))])
     new = unseen.select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("answer"), F.col("part").alias("parts"), "at", "x")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -108,12 +109,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`table` wrote and that nothing reads any more, and let Spark drop shuffles that nothing refers to."""
+    """Delete a table that :func:`table` wrote and that nothing reads any more, and :func:`release`."""
     spark = df.sparkSession
     for owner, path in [x for x in _written if x[0] == spark.sparkContext.applicationId]:
         if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1]):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
             _written.remove((owner, path))
-    spark._jvm.System.gc()
+    release(spark)
