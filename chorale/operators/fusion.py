@@ -1,17 +1,20 @@
-"""Standardising, projecting and fusing feature sets; fitted state is a small table or a Spark ML model."""
+"""Standardising, projecting and fusing feature sets; fitted state is a few arrays."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.vec import doubles, long_form, scale
+from chorale.functions.vec import doubles, scale
 from chorale.operators.layers import combine_layers, default_weights
+from chorale.operators.projection import applied, moments, principal
+
+
+#: Dimensions up to which means and deviations are literals of the plan; wider vectors go through an Arrow step.
+LITERALS = 512
 
 
 @dataclass
@@ -22,13 +25,17 @@ class Standardiser:
     std: list[float] | None = None
 
     def fit(self, df: DataFrame, vec: str = "vec") -> Standardiser:
-        rows = long_form(df, vec).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("dim").collect()  # a row per dimension
-        self.mean, self.std = [r["m"] for r in rows], [r["s"] or 1.0 for r in rows]
+        _, mean, std = moments(df, vec)
+        flat = std <= 1e-12 * np.maximum(np.abs(mean), 1)
+        self.mean, self.std = mean.tolist(), np.where(flat, 1.0, std).tolist()
         return self
 
     def transform(self, df: DataFrame, vec: str = "vec") -> DataFrame:
         if self.mean is None:
             raise ValueError("the standardiser is not fitted")
+        if len(self.mean) > LITERALS:
+            mean, std = np.array(self.mean), np.array(self.std)
+            return df.withColumn(vec, applied(doubles(vec), lambda x: (x - mean) / std))
         m, s = (F.array(*[F.lit(x) for x in v]) for v in (self.mean, self.std))
         return df.withColumn(vec, F.zip_with(F.zip_with(doubles(vec), m, lambda x, a: x - a), s, lambda x, b: x / b))
 
@@ -43,20 +50,15 @@ class CentredPCA:
     mean: list[float] = field(default_factory=list)
 
     def fit(self, df: DataFrame, vec: str = "vec") -> CentredPCA:
-        model = PCA(k=self.k, inputCol="_f", outputCol="_p").fit(df.select(array_to_vector(doubles(vec)).alias("_f")))
-        loadings = model.pc.toArray().T
-        signs = np.sign(loadings[np.arange(len(loadings)), np.abs(loadings).argmax(axis=1)])
-        self.components, self.explained = (loadings * signs[:, None]).tolist(), model.explainedVariance.toArray().tolist()
-        self.mean = [r["m"] for r in long_form(df, vec).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").collect()]
+        axes, shares, mean = principal(df, self.k, vec)
+        self.components, self.explained, self.mean = axes.tolist(), shares.tolist(), mean.tolist()
         return self
 
     def transform(self, df: DataFrame, vec: str = "vec") -> DataFrame:
         if not self.components:
             raise ValueError("the projection is not fitted")
-        m = F.array(*[F.lit(x) for x in self.mean])
-        centred = df.withColumn("_c", F.zip_with(doubles(vec), m, lambda x, a: x - a))
-        part = lambda w: F.aggregate(F.zip_with("_c", F.array(*[F.lit(x) for x in w]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        return centred.withColumn(vec, F.array(*[part(w) for w in self.components])).drop("_c")
+        axes, mean = np.array(self.components).T, np.array(self.mean)
+        return df.withColumn(vec, applied(doubles(vec), lambda x: (x - mean) @ axes))
 
 
 def fusion_weights(dims: list[int]) -> list[float]:
@@ -141,12 +143,3 @@ class MultiLayerFusion:
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
-
-
-def covariance(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """(i, j, cov) for i <= j, population covariance; each row is spread into its products, never paired with another."""
-    v = df.select(doubles(vec).alias("v"))
-    spread = v.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    return spread.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
-
-

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from chorale.functions.vec import doubles
 from chorale.operators.clustering import scatter
-from chorale.operators.fusion import CentredPCA, covariance
+from chorale.operators.fusion import CentredPCA
 from chorale.operators.neighbors import nearest
+from chorale.operators.projection import covariance_array
 from chorale.operators.sampling import hash_order
 
 
@@ -33,16 +34,13 @@ def discriminant_2d(points: DataFrame) -> DataFrame:
     Class means and the total covariance are aggregated in Spark; the driver solves for the directions.
     """
     s = scatter(points).toPandas()  # labels * dimensions rows
-    cov = covariance(points).toPandas()  # dimensions squared rows
+    total, _ = covariance_array(points)
     labels, d = s["label"].nunique(), int(s["dim"].max()) + 1
     if labels < 2:
         raise ValueError("linear discriminants need two labels")
     means = s.pivot(index="label", columns="dim", values="mean").to_numpy()
     sizes = s[s["dim"] == 0].sort_values("label")["n"].to_numpy()
     grand = sizes @ means / sizes.sum()
-    total = np.zeros((d, d))
-    total[cov["i"], cov["j"]] = cov["cov"]
-    total = np.triu(total) + np.triu(total, 1).T
     between = ((means - grand) * (sizes / sizes.sum())[:, None]).T @ (means - grand)
     within = total - between + 1e-9 * np.trace(total) / d * np.eye(d)
     half = np.linalg.inv(np.linalg.cholesky(within))

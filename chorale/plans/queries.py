@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions import labels as L
 from chorale.functions.vec import long_form, reshape
-from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, ranking, reduction, sampling, scaling, stats, waveform
+from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, projection, ranking, reduction, sampling, scaling, stats, waveform
 from chorale.plans import pipelines, reports
 from chorale.sources import audio
 from chorale.sources.tables import layers4, points, table
@@ -276,7 +276,7 @@ def multi_layer_fusion(spark, sf_dir):
 
 @query
 def covariance_matrix(spark, sf_dir):
-    return fusion.covariance(points(spark, sf_dir)).select("i", "j", F.round("cov", 9).alias("cov"))
+    return projection.covariance(points(spark, sf_dir)).select("i", "j", F.round("cov", 9).alias("cov"))
 
 
 @query

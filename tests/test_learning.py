@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from chorale.operators import linear, models
+from chorale.operators import fusion, linear, models, projection
 from chorale.operators.boosting import Boosting
 
 
@@ -118,3 +118,36 @@ def test_fits_of_many_partitions_and_of_nothing(spark, monkeypatch):
     monkeypatch.setattr(linear, "ROWS_IN_PART", 30)
     assert linear.to_blocks(points.repartition(9), ("layer",)).parts > 4 and fit() == few
     assert linear.fit_grid(points.limit(0), ("layer",), [1.0], [0])[1] == []
+
+
+def wide(spark, n=60, width=9984, rank=5, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, rank)) * np.arange(rank, 0, -1) * 3 @ rng.normal(size=(rank, width)) + 0.01 * rng.normal(size=(n, width)) + 100
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "file_key int, vec array<double>").repartition(3)
+
+
+def test_wide_vectors_are_projected(spark):
+    x, df = wide(spark)
+    pca = fusion.CentredPCA(5).fit(df)
+    _, values, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs((np.array(pca.components) * axes[:5]).sum(axis=1)), 1, atol=1e-6)
+    assert np.allclose(pca.explained, (values**2 / (values**2).sum())[:5], rtol=1e-6)
+    got = {r["file_key"]: r["vec"] for r in pca.transform(df).collect()}
+    assert np.allclose([got[i] for i in range(60)], (x - x.mean(0)) @ np.array(pca.components).T, atol=1e-6)
+    scaled = {r["file_key"]: r["vec"] for r in fusion.Standardiser().fit(df).transform(df).collect()}
+    assert np.allclose([scaled[i] for i in range(60)], (x - x.mean(0)) / x.std(0), atol=1e-6)
+
+
+def test_sums_in_bands_equal_numpy(spark, monkeypatch):
+    x, df = wide(spark, 40, 30)
+    monkeypatch.setattr(projection, "BAND", 7)
+    monkeypatch.setattr(projection, "BLOCK", 6)
+    df = df.repartition(9)
+    cov = {(r["i"], r["j"]): r["cov"] for r in projection.covariance(df).collect()}
+    want = np.cov(x.T, bias=True)
+    assert len(cov) == 30 * 31 // 2 and all(np.isclose(v, want[k], rtol=1e-9) for k, v in cov.items())
+    whole, few = projection.principal(df, 3), projection.principal(df, 3, wide=8)
+    assert np.allclose(whole[0], few[0], atol=1e-6) and np.allclose(whole[1], few[1])
+    n, mean, std = projection.moments(df)
+    assert n == 40 and np.allclose(mean, x.mean(0)) and np.allclose(std, x.std(0))
+    assert projection.moments(df.limit(0))[0] == 0
