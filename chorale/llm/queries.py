@@ -145,4 +145,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": sql.OP1, "op2_quality_rules": sql.OP2, "op6_exact_dedup": sql.OP6, "op7_url_filters": sql.OP7, "op10_line_dedup": sql.OP10}
+    return {"op1_warc": sql.OP1, "op2_quality_rules": sql.OP2, "op6_exact_dedup": sql.OP6, "op7_url_filters": sql.OP7, "op10_line_dedup": sql.OP10, "op13_importance_resampling": sql.OP13}

@@ -118,3 +118,34 @@ WITH docs AS (
 SELECT doc_id, n_lines, coalesce(c.n, 0)::BIGINT AS n_removed_chunks, n_removed_lines, CASE WHEN text IS NOT NULL THEN md5(coalesce(cleaned, '')) END AS cleaned_md5
 FROM docs JOIN whole USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cuts GROUP BY doc_id) c USING (doc_id)
 """
+
+#: CRC-32 by its polynomial, eight steps for each byte of a word; words are hashed once.
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), words AS (
+  SELECT rid, unnest(ws) AS w FROM docs
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), known AS (
+  SELECT w, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT w, 1 AS s, 0 AS t FROM words UNION ALL SELECT w, 0, 1 FROM wanted) GROUP BY w
+), hexed AS (
+  SELECT *, hex(encode(w)) AS h FROM known
+), hashed AS (
+  SELECT w, s, t, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda crc, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM hexed
+), buckets AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM buckets) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM buckets) + 10000))))::BIGINT AS gain FROM buckets
+), weights AS (
+  SELECT rid, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5) / 4294967296.0))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (rid)
+), drawn AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN drawn USING (rid)
+"""
