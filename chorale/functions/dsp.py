@@ -9,16 +9,38 @@ import numpy as np
 EPS = 1e-10
 
 
-def resample(x: np.ndarray, sr: int, target: int) -> np.ndarray:
-    """Band-limited resampling in the frequency domain."""
+#: Zero crossings of the resampling filter on each side, and outputs of a block.
+CROSSINGS, RESAMPLED = 32, 1 << 12
+
+
+@functools.cache
+def filter_bank(up: int, down: int) -> np.ndarray:
+    """(up, taps): for each place of an output between two inputs the weights of the inputs around it, a windowed sinc.
+
+    The band is that of the lower rate; every filter leaves a constant as it is.
+    """
+    cut = min(1.0, up / down)
+    half = int(np.ceil(CROSSINGS / cut))
+    at = np.arange(-half + 1, half + 1)[None, :] - np.arange(up)[:, None] / up
+    bank = cut * np.sinc(cut * at) * np.where(np.abs(at) < half, 0.5 + 0.5 * np.cos(np.pi * at / half), 0)
+    return bank / bank.sum(axis=1, keepdims=True)
+
+
+def resample(x: np.ndarray, sr: int, target: int, block: int = RESAMPLED) -> np.ndarray:
+    """Band-limited resampling by a polyphase filter, so many outputs at a time; beyond its ends a signal is silent."""
     if sr == target or not len(x):
         return x
-    n = int(round(len(x) * target / sr))
-    spectrum = np.fft.rfft(x)
-    out = np.zeros(n // 2 + 1, dtype=complex)
-    m = min(len(spectrum), len(out))
-    out[:m] = spectrum[:m]
-    return np.fft.irfft(out, n) * (n / len(x))
+    shared = int(np.gcd(sr, target))
+    up, down = target // shared, sr // shared
+    bank = filter_bank(up, down)
+    taps = bank.shape[1]
+    padded = np.concatenate((np.zeros(taps // 2 - 1), x, np.zeros(taps // 2 + 1)))
+    out = np.empty(int(round(len(x) * target / sr)))
+    for first in range(0, len(out), block):
+        at, phase = np.divmod(np.arange(first, min(first + block, len(out)), dtype=np.int64) * down, up)
+        near = np.lib.stride_tricks.sliding_window_view(padded, taps)[np.minimum(at, len(padded) - taps)]
+        out[first : first + block] = np.einsum("ij,ij->i", near, bank[phase])
+    return out
 
 
 def frames(x: np.ndarray, length: int, hop: int, centred: bool = True) -> np.ndarray:

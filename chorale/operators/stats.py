@@ -74,9 +74,16 @@ def dft_shape(signals: DataFrame, key: str, n: int, part: float = 0.85) -> DataF
     return rows.groupBy(key).agg(F.max("c").alias("centroid"), F.sqrt(F.sum(F.col("m") / F.col("all") * (F.col("f") - F.col("c")) * (F.col("f") - F.col("c")))).alias("bandwidth"), F.min(F.when(F.round("grown", 9) >= F.round(part * F.col("all"), 9), F.col("f"))).cast("long").alias("rolloff"))
 
 
-def delta_frames(df: DataFrame, keys: list[str], t: str, x: str, width: int = 9) -> DataFrame:
-    """Adds delta: the slope of a line through ``width`` frames around each; null near the ends."""
+def delta_frames(df: DataFrame, keys: list[str], t: str, x: str, width: int = 9, order: int = 1) -> DataFrame:
+    """Adds delta: the slope of a line through ``width`` frames around each, or with ``order`` 2 the second derivative of a parabola; null near the ends."""
     half = width // 2
     w = Window.partitionBy(*keys).orderBy(t)
-    slope = sum((F.lit(float(k)) * F.lead(x, k).over(w) if k > 0 else F.lit(float(k)) * F.lag(x, -k).over(w) for k in range(-half, half + 1) if k), F.lit(0.0))
-    return df.withColumn("delta", slope / float(sum(k * k for k in range(-half, half + 1))))
+    places = range(-half, half + 1)
+    spread = sum(k * k for k in places)
+    if order == 1:
+        weights = {k: k / spread for k in places}
+    else:  # the least-squares parabola's leading weight, twice
+        fourth = sum(k**4 for k in places)
+        weights = {k: 2 * (width * k * k - spread) / (width * fourth - spread * spread) for k in places}
+    neighbour = lambda k: F.col(x) if k == 0 else F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w)
+    return df.withColumn("delta", sum((F.lit(v) * neighbour(k) for k, v in weights.items() if v), F.lit(0.0)))

@@ -91,6 +91,22 @@ _JUDGED = f"WITH conf AS (SELECT quality AS y_true, toxic AS y_pred, count(*) AS
 
 _SETS = f"{_EMB}, sets AS (SELECT id AS file_key, dim, x FROM emb)"
 
+_MEANS = ", ".join(f"round({f}({m}), 6)::DOUBLE AS {m}_{s}" for m in ("accuracy", "balanced_accuracy", "macro_f1") for s, f in (("mean", "avg"), ("std", "stddev_pop")))
+
+
+def _scaling(sizes: str, sets: dict[str, str]) -> str:
+    """bundle by features, size and trial, of kNN over labels chosen anew in every trial."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS features, vec_id AS id, label, {part}::DOUBLE[] AS v FROM embeddings" for name, part in sets.items())
+    return f"""WITH cfg AS (SELECT n, trial FROM (SELECT unnest({sizes}) AS n), range(5) r(trial)), lab AS (SELECT DISTINCT label FROM embeddings
+), chosen AS (SELECT n, trial, label FROM cfg, lab WHERE n <= (SELECT count(*) FROM lab) QUALIFY row_number() OVER (PARTITION BY n, trial ORDER BY md5((trial + 42) || ':' || label), label) <= n
+), points AS ({rows}
+), rows_ AS (SELECT features, n, trial, id, label, v, row_number() OVER (PARTITION BY features, n, trial, label ORDER BY md5((trial + 42) || ':' || id), id) <= (count(*) OVER (PARTITION BY features, n, trial, label) + 4) // 5 AS is_test FROM points JOIN chosen USING (label)
+), nn AS (
+  SELECT q.features, q.n AS size, q.trial, q.id, q.label, t.label AS nb_label, row_number() OVER (PARTITION BY q.features, q.n, q.trial, q.id ORDER BY round(1 - list_dot_product(q.v, t.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(t.v, t.v)), 9), t.id) AS r
+  FROM rows_ q JOIN rows_ t ON q.features = t.features AND q.n = t.n AND q.trial = t.trial AND q.is_test AND NOT t.is_test
+), {_votes('features, size, trial', '[5]')}"""
+
+
 SQL: dict[str, str] = {f"pool_{m}": f"{_POOL} SELECT label, dim, round(x, 6) AS x FROM pooled WHERE method = '{m}'" for m in ("mean", "max", "first", "last", "weighted", "mean_std")}
 SQL |= {
     "pool_all_methods": f"{_POOL} SELECT label, method, dim, round(x, 6) AS x FROM pooled",
@@ -110,6 +126,7 @@ SELECT user_id, date_sub('second', min(ts), max(ts)) AS duration_sec, round(coun
     "dft_centroid_bandwidth_rolloff": f"""WITH {_EMB}, b AS (SELECT id, f, sum(x * cos(-2 * pi() * f * dim / 64)) AS re, sum(x * sin(-2 * pi() * f * dim / 64)) AS im FROM emb, range(33) r(f) GROUP BY id, f
 ), m AS (SELECT id, f, sqrt(re * re + im * im) AS m FROM b), a AS (SELECT id, f, m, sum(m) OVER (PARTITION BY id) AS a, sum(m) OVER (PARTITION BY id ORDER BY f) AS g, sum(f * m) OVER (PARTITION BY id) / sum(m) OVER (PARTITION BY id) AS c FROM m)
 SELECT id, round(max(c), 6) AS centroid, round(sqrt(sum(m / a * (f - c) * (f - c))), 6) AS bandwidth, min(f) FILTER (round(g, 9) >= round(0.85::DOUBLE * a, 9)) AS rolloff FROM a GROUP BY id""",
+    "delta_delta": f"""WITH {_EMB} SELECT id, dim AS t, round({" + ".join(f"({2 * (9 * k * k - 60)} / 2772.0) * {'lead' if k > 0 else 'lag'}(x, {abs(k)}) OVER w" for k in range(-4, 5))}, 6) AS delta FROM emb WINDOW w AS (PARTITION BY id ORDER BY dim)""",
     "delta": f"""WITH {_EMB} SELECT id, dim AS t, round(({" + ".join(f"{k} * {'lead' if k > 0 else 'lag'}(x, {abs(k)}) OVER w" for k in (-4, -3, -2, -1, 1, 2, 3, 4))}) / 60, 6) AS delta FROM emb WINDOW w AS (PARTITION BY id ORDER BY dim)""",
     "peak_normalize": _PEAK.format(level="max(abs(x))"),
     "rms_normalize": f"WITH {_EMB} SELECT id, dim, round(x / sqrt(avg(x * x) OVER (PARTITION BY id)), 6) AS x FROM emb",
@@ -206,14 +223,10 @@ SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s
 SELECT 1 AS section, lpad(layer::VARCHAR, 3, '0') || metric AS place, 'Layer ' || layer || '  ' || title || '  ' || printf('%.4f', value) AS line FROM t
 UNION ALL SELECT 2, metric || rank, title || '  ' || rank || '. layer ' || layer || '  ' || printf('%.4f', value) FROM t WHERE rank <= 3""",
     "flagship": f"WITH {_NN}, {_votes('layer', '[3, 5, 7, 9]')}, c AS (SELECT layer, k, round(balanced_accuracy, 9) AS b FROM bundle) SELECT layer, k, round(b, 6) AS balanced_accuracy, row_number() OVER (ORDER BY b DESC, layer, k) AS rank FROM c",
-    "scaling_study": f"""WITH cfg AS (SELECT n, trial FROM (SELECT unnest([2, 3, 5, 8, 10, 50]) AS n), range(5) r(trial)), lab AS (SELECT DISTINCT label FROM embeddings
-), chosen AS (SELECT n, trial, label FROM cfg, lab WHERE n <= (SELECT count(*) FROM lab) QUALIFY row_number() OVER (PARTITION BY n, trial ORDER BY md5((trial + 42) || ':' || label), label) <= n
-), rows_ AS (SELECT n, trial, vec_id AS id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY n, trial, label ORDER BY md5((trial + 42) || ':' || vec_id), vec_id) <= (count(*) OVER (PARTITION BY n, trial, label) + 4) // 5 AS is_test FROM embeddings JOIN chosen USING (label)
-), nn AS (
-  SELECT q.n AS size, q.trial, q.id, q.label, t.label AS nb_label, row_number() OVER (PARTITION BY q.n, q.trial, q.id ORDER BY round(1 - list_dot_product(q.v, t.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(t.v, t.v)), 9), t.id) AS r
-  FROM rows_ q JOIN rows_ t ON q.n = t.n AND q.trial = t.trial AND q.is_test AND NOT t.is_test
-), {_votes('size, trial', '[5]')}
-SELECT size::INT AS n, count(*) AS trials, {", ".join(f"round({f}({m}), 6)::DOUBLE AS {m}_{s}" for m in ("accuracy", "balanced_accuracy", "macro_f1") for s, f in (("mean", "avg"), ("std", "stddev_pop")))} FROM bundle GROUP BY size""",
+    "scaling_study": f"""{_scaling("[2, 3, 5, 8, 10, 50]", {"all": "embedding"})}
+SELECT size::INT AS n, count(*) AS trials, {_MEANS} FROM bundle GROUP BY size""",
+    "scaling_by_features": f"""{_scaling("[2, 5, 10]", {"handcrafted": "embedding[1:16]", "encoder": "embedding[17:64]"})}
+SELECT features, 'knn' AS classifier, size::INT AS n, count(*) AS trials, {_MEANS} FROM bundle GROUP BY features, size""",
     "scaling_extremes": """WITH c AS (SELECT label, count(*) AS rows_ FROM embeddings GROUP BY label), r AS (SELECT label, row_number() OVER (ORDER BY rows_ DESC, label) AS most, row_number() OVER (ORDER BY rows_, label) AS least FROM c), n AS (SELECT unnest([2, 4]) AS n)
 SELECT 'most' AS selection, n::INT AS n, label FROM r, n WHERE most <= n UNION ALL SELECT 'least', n::INT, label FROM r, n WHERE least <= n""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorale.operators import clustering, linear, metrics, models, neighbors, pooling, ranking, sampling
@@ -15,6 +15,23 @@ def preprocess(spark: SparkSession, root: str, **options) -> tuple[DataFrame, Da
     return done.where("error IS NULL").drop("error"), done.where("error IS NOT NULL").select("file_key", "error")
 
 
+def counted(done: DataFrame, name: str = "clips") -> tuple[DataFrame, Observation]:
+    """``done`` (…, error), and the counts success, failed and out_of_range that its next run makes on the way; no second decode."""
+    seen = Observation(name)
+    return done.observe(seen, *[F.count_if(_status() == k).alias(k) for k in ("success", "failed", "out_of_range")]), seen
+
+
+def _status() -> Column:
+    return F.when(F.col("error").isNull(), "success").when(F.col("error").contains("is out of range"), "out_of_range").otherwise("failed")
+
+
+def preprocess_to(spark: SparkSession, root: str, out: str, **options) -> dict[str, int]:
+    """Write waveforms and failures of a corpus folder, a folder for each status, in one run that decodes every clip once; its counts."""
+    done, seen = counted(audio.waveforms(audio.scan(spark, root), **options))
+    done.withColumn("status", _status()).write.partitionBy("status").mode("overwrite").parquet(out)
+    return seen.get
+
+
 def subset(spark: SparkSession, root: str, n: int = 20, seed: int = 42) -> DataFrame:
     """Manifest (label, file_key) of up to ``n`` clips of each individual; no file is opened or copied."""
     files = audio.scan(spark, root, content=False)

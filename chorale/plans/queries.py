@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import labels as L
+from chorale.functions.tables import small
 from chorale.functions.vec import long_form, reshape
 from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, projection, ranking, reduction, sampling, scaling, stats, waveform
 from chorale.plans import pipelines, reports
@@ -102,6 +103,12 @@ def delta(spark, sf_dir):
     return stats.delta_frames(_signal(spark, sf_dir), ["id"], "t", "x").select("id", "t", r6("delta"))
 
 
+@query
+def delta_delta(spark, sf_dir):
+    """Second-order deltas."""
+    return stats.delta_frames(_signal(spark, sf_dir), ["id"], "t", "x", order=2).select("id", "t", r6("delta"))
+
+
 def _features(kind: str) -> Query:
     def run(spark, sf_dir):
         """Features of embeddings played 64 times over as clips of 4,096 samples."""
@@ -184,7 +191,7 @@ def folder_normalize(spark, sf_dir):
 def label_encode(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     codes = orders.select("o_orderpriority").distinct().withColumn("code", L.encode("o_orderpriority"))
-    return orders.join(F.broadcast(codes), "o_orderpriority").select("o_orderkey", "o_orderpriority", "code")  # as many codes as labels
+    return orders.join(small(codes), "o_orderpriority").select("o_orderkey", "o_orderpriority", "code")
 
 
 # layers

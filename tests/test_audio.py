@@ -193,3 +193,35 @@ def test_layouts_keep_clusters_apart():
         centres = np.stack([y[25 * k : 25 * (k + 1)].mean(0) for k in range(3)])
         near = np.linalg.norm(y[:, None] - centres[None], axis=2).argmin(1)
         assert (near == np.repeat(range(3), 25)).mean() > 0.9
+
+
+def test_resampling_does_not_wrap_and_blocks_do_not_matter():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=24414)
+    for sr, target in ((24414, 16000), (44100, 16000), (8000, 16000)):
+        whole, parts = dsp.resample(x, sr, target, 1 << 20), dsp.resample(x, sr, target, 1000)
+        assert len(whole) == round(len(x) * target / sr) and np.allclose(whole, parts, atol=1e-12)
+        click = np.zeros(sr)
+        click[-1] = 1
+        assert np.abs(dsp.resample(click, sr, target)[: target // 2]).max() == 0
+        t = np.arange(sr) / sr
+        tone = dsp.resample(np.sin(2 * np.pi * 440 * t), sr, target)
+        at = np.arange(target) / target
+        assert np.abs(tone - np.sin(2 * np.pi * 440 * at))[200:-200].max() < 1e-3
+    high = dsp.resample(np.sin(2 * np.pi * 11000 * np.arange(44100) / 44100), 44100, 16000)
+    assert np.abs(high[200:-200]).max() < 1e-3  # above the band of the lower rate
+    assert np.allclose(dsp.resample(np.ones(5000), 44100, 16000)[200:-200], 1)
+
+
+def test_one_run_counts_and_writes(spark, tmp_path):
+    from chorale.plans import pipelines
+
+    for name, n in (("A/a.wav", 8000), ("A/b.wav", 16000), ("B/short.wav", 100)):
+        at = tmp_path / "in" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(audio.encode_wav(np.sin(np.arange(n) / 7), 16000))
+    (tmp_path / "in" / "B" / "bad.wav").write_bytes(b"nothing")
+    counts = pipelines.preprocess_to(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert counts == {"success": 2, "failed": 1, "out_of_range": 1}
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["file_key"]: r["status"] for r in stored.collect()} == {"A/a.wav": "success", "A/b.wav": "success", "B/short.wav": "out_of_range", "B/bad.wav": "failed"}
