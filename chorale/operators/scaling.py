@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chorale.functions.tables import small
 from chorale.operators.models import Classifier
 from chorale.operators.neighbors import holdout
+from chorale.operators.sampling import placed
 
 
 def choose(points: DataFrame, sizes: list[int], trials: int = 5, selection: str = "random", seed: int = 42) -> DataFrame:
@@ -34,10 +35,9 @@ def choose(points: DataFrame, sizes: list[int], trials: int = 5, selection: str
 def split_trials(points: DataFrame, chosen: DataFrame, seed: int = 42) -> DataFrame:
     """(n, trial, id, label, vec, is_test): a stratified fifth of every label is for tests, anew in each trial."""
     rows = points.join(small(chosen, 3), "label")
-    label = Window.partitionBy("n", "trial", "label")
     order = F.md5(F.concat((F.col("trial") + seed).cast("string"), F.lit(":"), F.col("id").cast("string")))
-    place = F.row_number().over(label.orderBy(order, "id"))
-    return rows.withColumn("is_test", place <= F.expr("(count(1) OVER (PARTITION BY n, trial, label) + 4) DIV 5"))
+    told = placed(rows, ["n", "trial", "label"], "id", order)
+    return told.withColumn("is_test", F.col("_place") <= F.floor((F.col("_total") + 4) / 5)).drop("_place", "_total")
 
 
 def scaling_study(points: DataFrame, sizes: list[int], trials: int = 5, selection: str = "random", k: int = 5, seed: int = 42) -> DataFrame:

@@ -87,7 +87,7 @@ def extract_and_pool(spark: SparkSession, root: str, out: str, dataset: str, mod
 def _clean(features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, id, label, vec) of mean-pooled features, without labels that have a single clip."""
     label = Window.partitionBy(*keys, "label")
-    rows = features.where(F.col("method") == "mean").select(*keys, F.xxhash64("file_key").alias("id"), "label", "vec").where(F.size("vec") > 0)
+    rows = features.where(F.col("method") == "mean").select(*keys, F.col("file_key").alias("id"), "label", "vec").where(F.size("vec") > 0)
     return rows.withColumn("_n", F.count("*").over(label)).where("_n > 1").drop("_n")
 
 
@@ -154,7 +154,7 @@ def evaluate_sets(features: DataFrame, classifiers: tuple[str, ...] | None = Non
     """(features, classifier, metrics): the whole bake-off on every set of (feature_type, file_key, label, vec)."""
     out = None
     for kind in sorted(r[0] for r in features.select("feature_type").distinct().collect()):  # a row for each set
-        cell = features.where(F.col("feature_type") == kind).select(F.xxhash64("file_key").alias("id"), "label", "vec")
+        cell = features.where(F.col("feature_type") == kind).select(F.col("file_key").alias("id"), "label", "vec")
         rows = (models.bake_off(cell) if classifiers is None else models.bake_off(cell, classifiers)).withColumn("features", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -169,7 +169,7 @@ def comprehensive(features: DataFrame, classifiers: tuple[str, ...] | None = Non
     out = None
     for r in best.collect():  # a row for each dataset and model
         at = (F.col("dataset") == r["dataset"]) & (F.col("model") == r["model"]) & (F.col("layer") == r["layer"]) & (F.col("method") == "mean")
-        cell = features.where(at).select(F.xxhash64("file_key").alias("id"), "label", "vec")
+        cell = features.where(at).select(F.col("file_key").alias("id"), "label", "vec")
         rows = (models.bake_off(cell) if classifiers is None else models.bake_off(cell, classifiers)).withColumns({"dataset": F.lit(r["dataset"]), "model": F.lit(r["model"]), "layer": F.lit(r["layer"])})
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -1,6 +1,7 @@
 """Hand-computed cases and invariants of the operators."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -253,3 +254,19 @@ def test_layouts_have_every_point(spark):
 def test_classifier_scaling(spark):
     out = scaling.compare_scaling({"a": separable(spark, 45)}, [2, 3], {"knn": scaling.scaling_study, "logistic": scaling.classifier_study("logistic_regression")}, trials=1).toPandas()
     assert sorted(zip(out["classifier"], out["n"], strict=True)) == [("knn", 2), ("knn", 3), ("logistic", 2), ("logistic", 3)] and (out["accuracy_mean"] > 0.8).all()
+
+
+def test_places_are_those_of_a_window(spark):
+    """A label with two thirds of all rows, one row alone, and null, by plain sorting; many tasks share the large label."""
+    import hashlib
+
+    rows = [(i, "hot" if i % 3 else "one" if i == 0 else None if i % 2 else f"c{i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, label string").repartition(5)
+    got = {(r["label"], r["id"]): (r["_place"], r["_total"]) for r in sampling.placed(df, ["label"], "id", sampling.hash_order("id"), digits=2).collect()}
+    want = {}
+    for label in {x for _, x in rows}:
+        own = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, x in rows if x == label)
+        want |= {(label, i): (k + 1, len(own)) for k, (_, i) in enumerate(own)}
+    assert got == want
+    split = sampling.stratified_split(df, "label", "id").toPandas()
+    assert split["is_test"].sum() == sum(-(-2 * n // 10) for n in Counter(x for _, x in rows).values())

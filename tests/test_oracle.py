@@ -14,7 +14,7 @@ def test_query_matches_sql(spark, duck, sf_dir, as_rows, name):
     assert as_rows(ours) == as_rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["mfcc_features", "spectral_features", "prosodic_features", "encoder_layers", "fusion_pca", "pca_2d", "discriminant_2d", "umap_2d", "logreg_probe"])
+@pytest.mark.parametrize("name", ["mfcc_features", "spectral_features", "prosodic_features", "encoder_layers", "fusion_pca", "pca_2d", "discriminant_2d", "umap_2d", "logreg_probe", "gbt", "grid_search", "layer_comparison", "bakeoff"])
 def test_other_queries_run(spark, sf_dir, name):
     out = QUERIES[name](spark, sf_dir).toPandas()
     assert len(out)
