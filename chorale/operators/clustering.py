@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.functions.tables import small
 from chorale.functions.vec import long_form, rebuild, unit
 from chorale.operators.neighbors import BLOCK, cluster_distances
 
@@ -29,13 +28,15 @@ def silhouette_euclidean(points: DataFrame) -> DataFrame:
     return _mean_silhouette(cluster_distances(points, "euclidean"))
 
 
-def _against_labels(rows: DataFrame, clusters: DataFrame, keys: tuple[str, ...], one: Callable[[pd.DataFrame, pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
+def _against_labels(rows: DataFrame, clusters: DataFrame, keys: tuple[str, ...], one: Callable[[pd.DataFrame, pd.DataFrame, dict], pd.DataFrame], schema: str, most: int | None = None, total: int | None = None) -> DataFrame:
     """``one`` on every block of rows (keys, id, label, ...) with every block of clusters (keys, label, ...), of LABELS at most.
 
-    There is one block of clusters unless labels are many, so rows go through the shuffle once.
+    There is one block of clusters unless labels are many, so rows go through the shuffle once. ``most`` labels
+    of one key and ``total`` rows are counted here if they are not known.
     """
-    most = clusters.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    n_labels, n_rows = max(1, -(-most // LABELS)), max(1, -(-rows.count() // BLOCK))
+    most = most if most is not None else clusters.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    total = total if total is not None else rows.count()
+    n_labels, n_rows = max(1, -(-(most or 1) // LABELS)), max(1, -(-total // BLOCK))
     dealt = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))))
     told = clusters.withColumn("cb", F.pmod(F.xxhash64("label"), F.lit(n_labels)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     told = told.select(*[F.col(c).alias(f"_{c}") for c in told.columns])  # names of its own, for both sides can be one table
@@ -98,10 +99,11 @@ def davies_bouldin(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     Labels with the same centroid are not compared; null with one label.
     """
     centroids = rebuild(scatter(points, keys).withColumnRenamed("mean", "x"), *keys, "label", out="c")
-    width = points.agg(F.max(F.size("vec"))).first()[0] or 1
-    joined = points.join(small(centroids, width), [*keys, "label"])
+    sizes = centroids.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size("c")).alias("width")).agg(F.max("n"), F.sum("n"), F.max("width")).first()
+    most, total, width = (x or 0 for x in sizes)
+    joined = points.join(F.broadcast(centroids) if total * width <= 1 << 20 else centroids, [*keys, "label"])
     gap = F.sqrt(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    spread = joined.groupBy(*keys, "label").agg(F.avg(gap).alias("s")).join(centroids, [*keys, "label"]).persist()
+    spread = joined.groupBy(*keys, "label").agg(F.avg(gap).alias("s")).join(centroids, [*keys, "label"])
     kinds = dict(spread.dtypes)
 
     def one(left: pd.DataFrame, right: pd.DataFrame, head: dict) -> pd.DataFrame:
@@ -114,5 +116,5 @@ def davies_bouldin(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, "label")], "r double"])
     rows = spread.withColumn("id", F.col("label"))
-    worst = _against_labels(rows, spread, keys, one, schema).groupBy(*keys, "label").agg(F.max(F.when(~F.isnan("r"), F.col("r"))).alias("r"))
+    worst = _against_labels(rows, spread, keys, one, schema, most, total).groupBy(*keys, "label").agg(F.max(F.when(~F.isnan("r"), F.col("r"))).alias("r"))
     return worst.groupBy(*keys).agg(F.avg("r").alias("score"))
