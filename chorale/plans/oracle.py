@@ -230,3 +230,6 @@ SELECT features, 'knn' AS classifier, size::INT AS n, count(*) AS trials, {_MEAN
     "scaling_extremes": """WITH c AS (SELECT label, count(*) AS rows_ FROM embeddings GROUP BY label), r AS (SELECT label, row_number() OVER (ORDER BY rows_ DESC, label) AS most, row_number() OVER (ORDER BY rows_, label) AS least FROM c), n AS (SELECT unnest([2, 4]) AS n)
 SELECT 'most' AS selection, n::INT AS n, label FROM r, n WHERE most <= n UNION ALL SELECT 'least', n::INT, label FROM r, n WHERE least <= n""",
 }
+
+#: The same results from SQL text over table functions.
+SQL |= {"sql_frames": SQL["frame_rms_zcr"], "sql_pooling": SQL["pool_nested_frames"]}

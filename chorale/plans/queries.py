@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import labels as L
+from chorale.functions import lateral
 from chorale.functions.tables import small
 from chorale.functions.vec import long_form, reshape
 from chorale.operators import clustering, fusion, layers, metrics, models, neighbors, pooling, projection, ranking, reduction, sampling, scaling, stats, waveform
@@ -130,6 +131,28 @@ def encoder_layers(spark, sf_dir):
     return audio.encode(waves, audio.RandomProjectionEncoder()).select("id", "layer", pooling.pool_nested(F.col("frames"), "mean").alias("vec"), "error")
 
 
+# the same in SQL text
+
+
+def _in_sql(text: str) -> Query:
+    """A query in SQL over a view ``clips`` of (id, samples, sr, frames): embeddings as clips of 64 samples and as eight frames."""
+
+    def run(spark, sf_dir):
+        lateral.register(spark)
+        frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vec", i * 8 + 1, 8))
+        clips = points(spark, sf_dir).select("id", F.col("vec").alias("samples"), F.lit(16000).alias("sr"), frames.alias("frames"))
+        return spark.sql(text, clips=clips)
+
+    return run
+
+
+QUERIES |= {
+    "sql_frames": _in_sql("SELECT c.id, f.frame, round(f.rms, 6) AS rms, round(f.zcr, 6) AS zcr FROM {clips} c, LATERAL wave_frames(c.samples, 16, 8) f"),
+    "sql_mfcc": _in_sql("SELECT c.id, m.frame, m.vec FROM {clips} c, LATERAL wave_mfcc(flatten(array_repeat(c.samples, 64)), c.sr) m"),
+    "sql_pooling": _in_sql(" UNION ALL ".join(f"SELECT c.id, '{m}' AS method, p.dim, round(p.x, 6) AS x FROM {{clips}} c, LATERAL pool_frames(c.frames, '{m}') p" for m in pooling.METHODS)),
+}
+
+
 # waveforms and filters
 
 

@@ -23,6 +23,21 @@ def read_table(spark: SparkSession, path: str, name: str, **where: str | int) ->
     return df
 
 
+#: Buckets of a stored set of features; sets that are joined have equally many.
+BUCKETS = 64
+
+
+def store_set(df: DataFrame, name: str, key: str = "file_key", buckets: int = BUCKETS, path: str | None = None) -> None:
+    """Store (key, label, vec, ...) as a table of the catalogue in buckets of the key, sorted: sets stored so are joined side by side, without a shuffle."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def stored_sets(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
+    """Sets by name from the tables that hold them, as :class:`chorale.operators.fusion.Fusion` takes them."""
+    return {k: spark.table(v) for k, v in names.items()}
+
+
 def design_matrix(pooled: DataFrame, layer: int, method: str = "mean") -> DataFrame:
     """(file_key, label, vec) of one layer and pooling."""
     return pooled.where((F.col("layer") == layer) & (F.col("method") == method)).select("file_key", "label", "vec")

@@ -270,3 +270,37 @@ def test_places_are_those_of_a_window(spark):
     assert got == want
     split = sampling.stratified_split(df, "label", "id").toPandas()
     assert split["is_test"].sum() == sum(-(-2 * n // 10) for n in Counter(x for _, x in rows).values())
+
+
+def test_sql_functions_equal_the_dataframe_forms(spark, sf_dir):
+    from chorale.functions import lateral
+    from chorale.plans.queries import QUERIES
+
+    base = QUERIES["mfcc_features"](spark, sf_dir).select("id", "vec").orderBy("id").limit(20).collect()
+    rows = QUERIES["sql_mfcc"](spark, sf_dir).where(F.col("id") <= base[-1]["id"]).toPandas()
+    for r in base:
+        assert np.allclose(np.stack(rows[rows["id"] == r["id"]].sort_values("frame")["vec"]).mean(0), r["vec"], atol=1e-3)
+    lateral.register(spark)
+    assert spark.sql("SELECT * FROM wave_frames(NULL, 4, 2)").count() == 0 and spark.sql("SELECT * FROM pool_frames(array(), 'mean')").count() == 0
+    with pytest.raises(Exception, match="unknown pooling"):
+        spark.sql("SELECT * FROM pool_frames(array(array(1D)), 'sum')").collect()
+
+
+def test_stored_sets_join_without_a_shuffle(spark, tmp_path):
+    from chorale.sources import tables
+
+    points = separable(spark, 60).select(F.col("id").cast("string").alias("file_key"), "label", "vec")
+    for k, name in enumerate(("stored_a", "stored_b")):
+        tables.store_set(points.withColumn("vec", F.transform("vec", lambda x: x + k)), name, buckets=4, path=str(tmp_path / name))
+    sets = {k: v.select("file_key", "vec") for k, v in tables.stored_sets(spark, {"a": "stored_a", "b": "stored_b"}).items()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fused = fusion.Fusion("concatenation").fit_transform(sets)
+        plan = fused._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Exchange" not in plan
+        assert fused.count() == 60 and len(fused.first()["vec"]) == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("stored_a", "stored_b"):
+            spark.sql(f"DROP TABLE {name}")
