@@ -170,7 +170,12 @@ def _identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str,
 
 
 def keep_languages(docs: DataFrame, profiles: dict[str, list[int]], langs: tuple[str, ...] | None = None, min_score: float = 0.0, text_col: str = "text", least: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` in a learned language (or one of ``langs``) with at least ``min_score`` and the language's score in ``least``."""
+    """The rows of ``docs`` in a learned language (or one of ``langs``) with at least ``min_score`` and the language's score in ``least``.
+
+    Null texts and texts without a letter have no language and go; rows that repeat stay or go together; whole texts
+    are read, of any length; an empty table, and one without profiles, gives an empty result. Columns are unchanged,
+    whatever their names.
+    """
     out = _identified(docs, profiles, text_col, PROFILE, docs.columns).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score))
     if langs is not None:
         out = out.where(F.col("_lang").isin(list(langs)))

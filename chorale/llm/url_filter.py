@@ -55,7 +55,11 @@ def canonical_url(host: Column, path: Column, query: Column) -> Column:
 
 
 def with_parts(pages: DataFrame, url_col: str) -> DataFrame:
-    """One struct column ``_row`` of the input beside host, path and canonical."""
+    """One struct column ``_row`` of the input beside host, path and canonical.
+
+    A null URL, or one without a host, has three empty strings; rows that repeat and long URLs are like any other, an
+    empty table gives an empty result, and names of the input clash with nothing, being inside the struct.
+    """
     parts = url_parts(F.col(url_col))
     out = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), *[v.alias(k) for k, v in parts.items()])
     return out.withColumn("canonical", canonical_url(F.col("host"), F.col("path"), F.col("query"))).drop("query")
