@@ -143,3 +143,22 @@ class MultiLayerFusion:
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
+
+
+def simple_fusion(**options) -> Fusion:
+    """Sets side by side as they are."""
+    return Fusion("concatenation", **{"normalise": False} | options)
+
+
+def weighted_fusion(**options) -> Fusion:
+    """Standardised sets, each weighted so that a wide one does not outweigh a narrow one."""
+    return Fusion("weighted", **options)
+
+
+def pca_fusion(pca_dims: dict[str, int], **options) -> Fusion:
+    """Standardised sets, each projected to so many components."""
+    return Fusion("pca_fusion", pca_dims=pca_dims, **options)
+
+
+def layer_fusion(layers: list[int], method: str = "concatenation", **options) -> MultiLayerFusion:
+    return MultiLayerFusion(layers, method, **options)

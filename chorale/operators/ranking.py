@@ -61,6 +61,15 @@ def compare_models(a: DataFrame, b: DataFrame, value: str = "value") -> DataFram
     return left.join(right, "layer", "full_outer").select("layer", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
+def compare_metrics(models: dict[str, DataFrame], keys: tuple[str, ...] = ("metric", "layer")) -> DataFrame:
+    """(keys, a column for each model): the union of the metrics and layers that any model has; what a model lacks is null."""
+    out = None
+    for name, metrics in models.items():
+        one = metrics.where(~F.col("metric").isin(*PARAMETERS)).select(*keys, F.col("value").alias(name))
+        out = one if out is None else out.join(one, list(keys), "full_outer")
+    return out
+
+
 def grid(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Every row value with every column value; cells without a result are 0. The dimensions are joined, not the rows."""
     every = cells.select(row).distinct().crossJoin(cells.select(column).distinct())

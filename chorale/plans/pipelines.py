@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chorale.operators import clustering, linear, metrics, models, neighbors, pooling, ranking, sampling
+from chorale.operators import clustering, linear, metrics, models, neighbors, pooling, ranking, reduction, sampling
 from chorale.sources import audio, tables
 
 
@@ -173,3 +173,28 @@ def comprehensive(features: DataFrame, classifiers: tuple[str, ...] | None = Non
         rows = (models.bake_off(cell) if classifiers is None else models.bake_off(cell, classifiers)).withColumns({"dataset": F.lit(r["dataset"]), "model": F.lit(r["model"]), "layer": F.lit(r["layer"])})
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def subsets(spark: SparkSession, roots: dict[str, str], n: int = 20, seed: int = 42, layouts: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(clips, manifests) of up to ``n`` clips of each individual of every corpus; one query for all, None if no corpus is there."""
+    files = audio.scan_corpora(spark, roots, layouts, content=False)
+    if files is None:
+        return None
+    rows = files.withColumn("_in", F.struct("dataset", "label"))
+    chosen = sampling.sample_per_group(rows, "_in", "file_key", n, seed).select("dataset", "label", "file_key")
+    each = chosen.groupBy("dataset", "label").agg(F.struct(F.count("*").alias("num_files"), F.array_sort(F.collect_list("file_key")).alias("files")).alias("v"))
+    one = each.groupBy("dataset").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "v")))).alias("individuals"), F.sum("v.num_files").alias("total_files"))
+    return chosen, one.select("dataset", F.lit(n).alias("samples_per_individual"), "individuals", "total_files", F.lit(seed).alias("random_seed"))
+
+
+def best_grid(metrics_of: DataFrame, metric: str) -> DataFrame:
+    """(dataset, model, layer, value): the best layer of every model on every corpus by one metric; the whole grid, without a result 0."""
+    best = ranking.best_layer(metrics_of, metric, ("dataset", "model"))
+    return ranking.grid(best, "dataset", "model", "value").join(best.select("dataset", "model", "layer"), ["dataset", "model"], "left")
+
+
+def views(features: DataFrame, method: str = "umap", layers: list[int] | None = None, **options) -> DataFrame:
+    """(dataset, model, layer, id, label, x, y, error): every stored layer of every model and corpus in two dimensions."""
+    keys = ("dataset", "model", "layer")
+    rows = _clean(features, keys)
+    return reduction.layout_2d(rows if layers is None else rows.where(F.col("layer").isin(layers)), method, keys, **options)

@@ -31,6 +31,13 @@ def sweep_lines(results: DataFrame, parameter: str, score: str = "accuracy") ->
     return marked.select(F.col(parameter).alias("place"), line.alias("line"))
 
 
+def classification_lines(report: DataFrame) -> DataFrame:
+    """(section, place, line) of :func:`chorale.operators.metrics.report`: a line for each label, then the means."""
+    mean = F.col("label").isin("macro avg", "weighted avg")
+    line = F.concat(F.rpad(F.col("label"), 20, " "), *[F.concat(F.lit("  "), number(F.col(c))) for c in ("precision", "recall", "f1")], F.lpad(F.col("support").cast("string"), 8, " "))
+    return report.select(F.when(mean, 2).otherwise(1).alias("section"), F.col("label").alias("place"), line.alias("line"))
+
+
 def corpus_lines(stats: DataFrame, label: str) -> DataFrame:
     """(place, line): files and durations of every individual; missing figures are 0."""
     line = F.concat(F.rpad(F.col(label), 20, " "), F.format_string("%8d files  avg %.2f s  min %.2f s  max %.2f s  total %.2f h", "n_files", "avg_duration", "min_duration", "max_duration", F.col("total_duration") / 3600))

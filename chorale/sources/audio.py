@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import dsp
-from chorale.functions.labels import label_from_path
+from chorale.functions.labels import call_type, label_from_path, prefix, stem
 
 HEADER = "struct<sample_rate:int,channels:int,duration:double,frames:bigint,format:string,subtype:string>"
 _SUBTYPES = {1: "PCM_U8", 2: "PCM_16", 3: "PCM_24", 4: "PCM_32"}
@@ -33,12 +33,32 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.wav", content: bool =
     return files.select(key.alias("file_key"), "path", "length", *(["content"] if content else [])).withColumn("label", label_from_path(F.col("file_key")))
 
 
-def scan_corpora(spark: SparkSession, roots: dict[str, str], **options) -> DataFrame | None:
-    """:func:`scan` of several corpora with a column dataset; a folder that is not there is told by a warning and skipped, None if all are missing."""
+#: Where a corpus has its labels: in the folder of a clip, or before the first underscore of its name, which then ends in the kind of call.
+LAYOUTS = ("folder", "name")
+
+
+def labelled(files: DataFrame, layout: str) -> DataFrame:
+    """``files`` with label and call_type (null unless names tell it) by the layout of their corpus."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout: {layout}")
+    name = stem(F.col("file_key"))
+    if layout == "folder":
+        return files.withColumns({"label": label_from_path(F.col("file_key")), "call_type": F.lit(None).cast("string")})
+    return files.withColumns({"label": prefix(name), "call_type": call_type(name)})
+
+
+def header_kinds(clips: DataFrame, *keys: str) -> DataFrame:
+    """(keys, sample_rates, channels, n_files) of clips with header: what rates and channels a corpus has, in order."""
+    distinct = lambda c: F.array_sort(F.collect_set(f"header.{c}")).alias(f"{c}s")
+    return clips.where("header IS NOT NULL").groupBy(*keys).agg(distinct("sample_rate"), distinct("channels").alias("channels"), F.count("*").alias("n_files"))
+
+
+def scan_corpora(spark: SparkSession, roots: dict[str, str], layouts: dict[str, str] | None = None, **options) -> DataFrame | None:
+    """:func:`scan` of several corpora with a column dataset, each :func:`labelled` by its layout (folder by default); a folder that is not there is told by a warning and skipped, None if all are missing."""
     out = None
     for dataset, root in roots.items():
         try:
-            files = scan(spark, root, **options).withColumn("dataset", F.lit(dataset))
+            files = labelled(scan(spark, root, **options), (layouts or {}).get(dataset, "folder")).withColumn("dataset", F.lit(dataset))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
