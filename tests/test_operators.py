@@ -304,3 +304,18 @@ def test_stored_sets_join_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for name in ("stored_a", "stored_b"):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_zero_crossings_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """A value that equals its user's mean is on the side that the sum in order of time puts it, whatever order the file has."""
+    from datetime import datetime
+
+    from chorale.plans.queries import QUERIES
+
+    values = [(0.1, 0.3, 0.2), (0.2, 0.3, 0.1), (0.7, 0.1, 0.4)] * 20
+    rows = [(3 * u + t, datetime(2024, 1, 1, 0, 0, t), u, v) for u, vs in enumerate(values) for t, v in enumerate(vs)]
+    found = []
+    for name, some in (("ahead", rows), ("back", rows[::-1])):
+        spark.createDataFrame(some, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        found.append([tuple(r) for r in QUERIES["event_duration_zcr"](spark, f"{tmp_path}/{name}").orderBy("user_id").collect()])
+    assert found[0] == found[1]
