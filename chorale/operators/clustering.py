@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.vec import long_form, rebuild, unit
-from chorale.operators.neighbors import BLOCK, cluster_distances
+from chorale.operators.neighbors import cluster_distances
 
-#: Labels in a block of clusters, at most about.
+#: Rows in a block of points, and labels in a block of clusters, at most about.
+BLOCK = 4096
 LABELS = 4096
 
 

@@ -319,3 +319,28 @@ def test_zero_crossings_do_not_depend_on_the_order_of_rows(spark, tmp_path):
         spark.createDataFrame(some, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
         found.append([tuple(r) for r in QUERIES["event_duration_zcr"](spark, f"{tmp_path}/{name}").orderBy("user_id").collect()])
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_equals_a_plain_loop_over_many_tiles(spark, monkeypatch, metric):
+    """Equal points, repeated in many tiles, are told apart by their ids; a whole matrix of distances says the same."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(160, 5)), 2)
+    x[::7] = x[0]
+    n = 3 * len(x)
+    df = spark.createDataFrame([(i, i % 4, x[i % len(x)].tolist()) for i in range(n)], "id long, label int, vec array<double>")
+    x = np.tile(x, (3, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T if metric == "cosine" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1, j) for i in range(n) for r, j in enumerate(sorted(range(n), key=lambda j: (d[i, j], j))[:4])}
+    monkeypatch.setattr(neighbors, "TILE_FIRST", 8)
+    for block in (40, 1000):
+        got = {tuple(r) for r in neighbors.nearest(df, df, 4, metric=metric, block=block).select("id", "rank", "neighbour").collect()}
+        assert got == want
+
+
+def test_summary_reads_the_metrics_once(spark):
+    metrics_of = spark.range(12).selectExpr("cast(id % 4 as int) layer", "concat('knn_', array('accuracy', 'balanced_accuracy', 'macro_f1')[int(id / 4)]) metric", "id / 12 value")
+    for lines in (reports.overall_lines(metrics_of), reports.metric_lines(metrics_of)):
+        assert lines._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
