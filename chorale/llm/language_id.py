@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chorale.llm.shared import table
+from chorale.llm.shared import discard, table
 
 UNKNOWN = "und"
 #: Stands for a word's end in n-gram codes; a control character, so never a letter.
@@ -26,6 +26,8 @@ HELD = 1 << 18
 PROFILE = 400
 #: A text is taken for no learned language below this part of the score that all but FLOOR_SHARE of its own texts reach.
 FLOOR_PART, FLOOR_SHARE = 0.8, 0.001
+#: Scores are counted in steps of its inverse, so a percentile holds no more of them.
+STEPS = 1_000_000
 
 
 @functools.cache
@@ -83,20 +85,28 @@ def _sampled(labelled: DataFrame, lang_col: str, text_col: str, sample_docs: int
     return rows.join(totals, "lang").where(chance * F.col("count") < sample_docs).groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 4000, size: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language, fitted on about ``sample_docs`` distinct whole texts of each language.
+def _distinct(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, text): every whole text of each language once, however often it is copied."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).distinct()
 
-    Texts are chosen by their hash and copies count once; rows with null language or text don't count.
+
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int | None = None, size: int = PROFILE) -> dict[str, list[int]]:
+    """Profiles by language, fitted on all distinct whole texts of each language, or on about ``sample_docs`` of each.
+
+    Copies count once; rows with null language or text don't count; a sample is chosen by hash.
     What returns to the driver is ``size`` codes for each language.
     """
-    return _profiles(_sampled(labelled, lang_col, text_col, sample_docs), size)
+    return _profiles(_distinct(labelled, lang_col, text_col) if sample_docs is None else _sampled(labelled, lang_col, text_col, sample_docs), size)
 
 
-def learn_with_floors(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = 4000, size: int = PROFILE) -> tuple[dict[str, list[int]], dict[str, float]]:
-    """What :func:`learn` gives, and the least score with which a text is taken for each language, from one sample."""
-    chosen = table(_sampled(labelled, lang_col, text_col, sample_docs), "language-sample")
+def learn_with_floors(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> tuple[dict[str, list[int]], dict[str, float]]:
+    """What :func:`learn` gives, and the least score with which a text is taken for each language, both from all distinct texts."""
+    chosen = table(_distinct(labelled, lang_col, text_col), "language-texts")
     profiles = _profiles(chosen, size)
-    return profiles, _floors(chosen, profiles, size)
+    floors = _floors(chosen, profiles, size)
+    discard(chosen)
+    return profiles, floors
 
 
 def _profiles(chosen: DataFrame, size: int) -> dict[str, list[int]]:
@@ -112,7 +122,8 @@ def _profiles(chosen: DataFrame, size: int) -> dict[str, list[int]]:
 def _floors(chosen: DataFrame, profiles: dict[str, list[int]], size: int) -> dict[str, float]:
     """FLOOR_PART of the score that all but FLOOR_SHARE of a language's rightly told texts reach."""
     told = identify(chosen, profiles, "text", size, carry=["lang"]).where(F.col("lang") == F.col("_lang"))
-    low = told.groupBy("lang").agg((F.percentile("_score", F.lit(FLOOR_SHARE)) * FLOOR_PART).alias("floor"))
+    counts = told.groupBy("lang", (F.floor(F.col("_score") * STEPS) / STEPS).alias("score")).agg(F.count("*").alias("n"))  # no more rows than steps for a language
+    low = counts.groupBy("lang").agg((F.percentile("score", F.lit(FLOOR_SHARE), F.col("n")) * FLOOR_PART).alias("floor"))
     return {r["lang"]: r["floor"] for r in low.collect()}  # a row per language
 
 

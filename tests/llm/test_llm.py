@@ -779,3 +779,13 @@ def test_chunks_with_one_name_go_by_their_bytes(spark, monkeypatch):
     want = sorted((r["_row"]["doc_id"], r["cleaned"]) for r in lines.line_dedup(df).collect())
     monkeypatch.setattr(lines, "_name", lambda t: F.unhex(F.left(F.md5(t), F.lit(1)).substr(1, 0)))  # all names alike
     assert sorted((r["_row"]["doc_id"], r["cleaned"]) for r in lines.line_dedup(df).collect()) == want
+
+
+def test_every_distinct_text_teaches_its_language(spark):
+    """Each of 9,000 texts has a letter of its own, and a profile that is large enough has them all."""
+    docs = spark.range(9000).selectExpr("'aa' lang", "char(19968 + id % 256) || decode(unhex(hex(19968 + id)), 'UTF-16BE') text")
+    docs = docs.selectExpr("lang", "substring(text, -1) text")
+    letters = {ord(r["text"]) for r in docs.collect()}
+    profiles, floors = lang.learn_with_floors(docs, size=100_000)
+    assert len(letters) == 9000 and letters <= set(profiles["aa"]) and letters <= set(lang.learn(docs, size=100_000)["aa"])
+    assert set(floors) == {"aa"}
