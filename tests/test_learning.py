@@ -151,3 +151,17 @@ def test_sums_in_bands_equal_numpy(spark, monkeypatch):
     n, mean, std = projection.moments(df)
     assert n == 40 and np.allclose(mean, x.mean(0)) and np.allclose(std, x.std(0))
     assert projection.moments(df.limit(0))[0] == 0
+
+
+def test_sums_of_boosting_stay_on_the_executors(spark):
+    """What a level sends to the driver does not grow with dimensions and bins."""
+    x, y = np.random.default_rng(5).normal(size=(400, 40)), np.arange(400) % 3
+    kind, sent = type(spark.range(1)), []
+    plain = kind.collect
+    try:
+        kind.collect = lambda df: (sent.append((df.columns, rows := plain(df))), rows)[1]
+        Boosting(rounds=2, depth=3, rate=0.3, n_bins=32).fit(frame(spark, x, y, 3))
+    finally:
+        kind.collect = plain
+    levels = [rows for columns, rows in sent if "gain" in columns]
+    assert levels and max(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)) for rows in levels) < 32 * 3 * 8
