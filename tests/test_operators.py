@@ -344,3 +344,36 @@ def test_summary_reads_the_metrics_once(spark):
     metrics_of = spark.range(12).selectExpr("cast(id % 4 as int) layer", "concat('knn_', array('accuracy', 'balanced_accuracy', 'macro_f1')[int(id / 4)]) metric", "id / 12 value")
     for lines in (reports.overall_lines(metrics_of), reports.metric_lines(metrics_of)):
         assert lines._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_trials_split_a_label_once_for_all_sizes(spark, monkeypatch):
+    """What is shuffled for the split are points x trials, not points x trials x sizes."""
+    sizes, points = [], separable(spark, 60)
+    plain = scaling.placed
+    monkeypatch.setattr(scaling, "placed", lambda df, *rest: (sizes.append(df.count()), plain(df, *rest))[1])
+    chosen = scaling.choose(points, [2, 3], trials=2)
+    rows = scaling.split_trials(points, chosen).toPandas()
+    assert sizes[0] <= 120 and len(rows) == sum(points.where(F.col("label") == r["label"]).count() for r in chosen.collect())
+    assert rows.groupby(["trial", "id"])["is_test"].nunique().max() == 1
+
+
+def test_table_functions_hold_few_clips(spark, monkeypatch):
+    from chorale.functions import lateral
+
+    class Probe:
+        def eval(self, samples):
+            import resource
+
+            yield (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024,)
+
+    monkeypatch.setitem(lateral.FUNCTIONS, "probe", (Probe, "mb double"))
+    lateral.register(spark)
+    clips = spark.range(0, 4000, 1, 1).selectExpr("array_repeat(id + 0.5D, 16384) samples")
+    assert spark.sql("SELECT max(p.mb) FROM {clips} c, LATERAL probe(c.samples) p", clips=clips).first()[0] < 1000
+
+
+def test_points_reach_their_blocks_by_a_shuffle(spark):
+    from chorale.operators import linear
+
+    plan = linear.to_blocks(separable(spark, 60).withColumn("fold", F.lit(0)), ()).frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Coalesce" not in plan
