@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def build_directory(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPT
     histogram = entries.groupBy(_prefix(F.col("key"), max_depth).alias("prefix")).count().collect()
     depth, buckets = grow_directory({r["prefix"]: r["count"] for r in histogram}, capacity, max_depth)
     slots = [(slot, number) for number, (prefix, local, _) in enumerate(buckets) for slot in range(prefix << (depth - local), (prefix + 1) << (depth - local))]
-    return Directory(depth, entries.sparkSession.createDataFrame(slots, "slot long, bucket int"))
+    names = pa.table([pa.array(c, kind) for c, kind in zip(zip(*slots, strict=True), (pa.int64(), pa.int32()), strict=True)], ["slot", "bucket"])
+    return Directory(depth, entries.sparkSession.createDataFrame(names))  # from Arrow: a list of rows would start Python workers of their own on every executor
 
 
 def bucket_files(directory: Directory, entries: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm.components import components
 from chorale.llm.exact_dedup import drop_rows
-from chorale.llm.shared import bounded, is_empty, table
+from chorale.llm.shared import bounded, is_empty, small_batches, table
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -49,13 +49,16 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PIECE = 1 << 20
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.ones(2 * _PIECE + 1, dtype=np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
+_POWERS: list[np.ndarray] = []
 
 
-_POWERS: list[np.ndarray] = []
+def _powers(most: int) -> list[np.ndarray]:
+    """The powers 0 to ``most``, or more, of the base and of its inverse; kept for the longest piece seen so far."""
+    if not _POWERS or len(_POWERS[0]) <= most:
+        out = np.ones((2, 1 << max(12, most.bit_length())), dtype=np.uint64)
+        out[:, 1:] = np.array([[_BASE], [_INVERSE]], dtype=np.uint64)
+        _POWERS[:] = np.multiply.accumulate(out, axis=1)
+    return _POWERS
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,9 +69,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word, in order, from prefix sums over the bytes in pieces of bounded length."""
-    if not _POWERS:
-        _POWERS.extend((_powers(_BASE), _powers(_INVERSE)))
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    power, inverse = _powers(min(len(data), _PIECE))
     out, at = [], 0
     while at < len(data):
         piece = data[at : at + _PIECE]
@@ -80,14 +82,14 @@ def word_hashes(text: str) -> np.ndarray:
             else:
                 rest = np.flatnonzero(_SPACE[data[at:]])
                 word = data[at : at + (int(rest[0]) if len(rest) else len(data) - at)]
-                parts = [_BYTE[word[k : k + _PIECE]] * _POWERS[0][: len(word[k : k + _PIECE])] for k in range(0, len(word), _PIECE)]
+                parts = [_BYTE[word[k : k + _PIECE]] * power[: len(word[k : k + _PIECE])] for k in range(0, len(word), _PIECE)]
                 out.append(_mix(np.array([sum(int(p.sum(dtype=np.uint64)) * (2 * k + 1) for k, p in enumerate(parts)) % 2**64], dtype=np.uint64)))
                 at += len(word)
                 continue
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * _POWERS[0][: len(piece)], dtype=np.uint64)))
-        out.append(_mix((sums[last] - sums[first]) * _POWERS[1][first]))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * power[: len(piece)], dtype=np.uint64)))
+        out.append(_mix((sums[last] - sums[first]) * inverse[first]))
         at += len(piece)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -361,6 +363,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other only. Null ids come last where the smallest is chosen; repeated rows are copies like others.
     ``mark`` is a hash of the text. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(slim.dtypes)["id"]
     made = slim.mapInArrow(_features(width), f"id {id_type}, mark long, key binary, size int, sig binary, bands array<long>")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chorale.llm.shared import discard, table
+from chorale.llm.shared import discard, small_batches, table
 
 UNKNOWN = "und"
 #: Stands for a word's end in n-gram codes; a control character, so never a letter.
@@ -110,6 +110,7 @@ def learn_with_floors(labelled: DataFrame, lang_col: str = "lang", text_col: str
 
 
 def _profiles(chosen: DataFrame, size: int) -> dict[str, list[int]]:
+    small_batches(chosen.sparkSession)
     counts = chosen.mapInArrow(_count_by_language, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= size).collect()
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
 def _identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str, size: int, names: list[str]) -> DataFrame:
     """The columns ``names`` as struct _row, _lang and _score."""
+    small_batches(docs.sparkSession)
     inside = names.index(text_col) if text_col in names else None
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *([] if inside is not None else [F.col(text_col).alias("_text")]))
 

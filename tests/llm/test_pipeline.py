@@ -5,8 +5,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
+from chorale.llm import exact_dedup as exact
+from chorale.llm import jaccard_join as joins
 from chorale.llm import language_id as lang
+from chorale.llm import shared
 from chorale.llm.shared import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,3 +77,35 @@ def test_language_stage_rejects_what_no_labelled_document_teaches(spark, sf_dir)
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf_dir).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert lang.keep_languages(more, {}, least={}).count() == 0
+
+
+def test_stages_send_small_batches_to_python(spark, sf_dir):
+    before = spark.conf.get(shared.BATCH)
+    try:
+        docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat(id, ' word '), 1000) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")
+        most = lambda: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg({"n": "max"}).first()[0]
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.ngram_jaccard_join):
+            spark.conf.set(shared.BATCH, shared.BATCH_DEFAULT)
+            assert most() > 16 << 20
+            stage(spark, docs.limit(5), sf_dir)
+            assert most() < 6 << 20
+        spark.conf.set(shared.BATCH, "1m")
+        corpus_pipeline.ngram_jaccard_join(spark, docs.limit(5), sf_dir)
+        assert spark.conf.get(shared.BATCH) == "1m"
+    finally:
+        spark.conf.set(shared.BATCH, before)
+
+
+def test_exact_dedup_needs_no_python_workers(spark):
+    entries = spark.range(100).selectExpr("xxhash64(id) AS key", "sha2(string(id), 256) AS fingerprint")
+    directory = exact.build_directory(entries, 10)
+    assert directory.slots.dtypes == [("slot", "bigint"), ("bucket", "int")] and directory.slots.count() == 2**directory.depth
+    assert "RDD" not in directory.slots._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_powers_are_kept_for_the_longest_text_seen(monkeypatch):
+    monkeypatch.setattr(joins, "_POWERS", [])
+    short = joins.word_hashes("some words here")
+    assert sum(p.nbytes for p in joins._POWERS) <= 1 << 17
+    assert joins.word_hashes("x " * 50_000 + "some words here")[-3:].tolist() == short.tolist()
+    assert sum(p.nbytes for p in joins._POWERS) >= 16 * 100_000
