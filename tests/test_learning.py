@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chorale.operators import fusion, linear, models, projection
 from chorale.operators.boosting import Boosting
@@ -165,3 +166,29 @@ def test_sums_of_boosting_stay_on_the_executors(spark):
         kind.collect = plain
     levels = [rows for columns, rows in sent if "gain" in columns]
     assert levels and max(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)) for rows in levels) < 32 * 3 * 8
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_classifiers_do_not_see_how_their_points_came_about(spark, monkeypatch, many):
+    """The plan of a split, with its windows and joins, is no part of the plans of training, and of a bake-off's predictions."""
+    seen = []
+
+    class Told:
+        def fit(self, rows):
+            seen.append(rows._jdf.queryExecution().toString())
+            return self
+
+        def transform(self, rows):
+            if many:
+                seen.append(rows._jdf.queryExecution().toString())
+            return rows.withColumn("prediction", F.lit(0.0))
+
+    x, y = cloud(60)
+    points = frame(spark, x, y).select("id", "label", "vec")
+    monkeypatch.setitem(models._classifiers, "told", (lambda n: Told(), {}, {}))
+    if many:
+        assert models.bake_off(points, ("told",)).count() == 2
+    else:
+        split = models.stratified_split(models.drop_rare(points, "label"), "label", "id")
+        assert models.Classifier("told").train_and_evaluate(split).first()["n_samples"] == split.where("is_test").count()
+    assert len(seen) == 1 + many and not any("Window" in plan or "Aggregate" in plan for plan in seen)
