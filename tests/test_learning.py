@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorale.operators import fusion, linear, models, projection
-from chorale.operators.boosting import Boosting
+from chorale.operators.boosting import Boosting, histograms
 
 
 def cloud(n=160, width=5, labels=3, seed=3):
@@ -168,6 +168,32 @@ def test_sums_of_boosting_stay_on_the_executors(spark):
     assert levels and max(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)) for rows in levels) < 32 * 3 * 8
 
 
+def test_plans_of_boosting_do_not_grow(spark):
+    """What the driver keeps of a job is as short in the last level as in the first ones."""
+    x, y = np.random.default_rng(6).normal(size=(400, 6)), np.arange(400) % 3
+    kind, plans = type(spark.range(1)), []
+    plain = kind.collect
+    try:
+        kind.collect = lambda df: (plans.append((df.columns, len(df._jdf.queryExecution().toString()))), plain(df))[1]
+        Boosting(rounds=3, depth=4, rate=0.3, n_bins=16).fit(frame(spark, x, y, 3).repartition(3, "label"))
+    finally:
+        kind.collect = plain
+    lengths = [n for columns, n in plans if "gain" in columns]
+    assert len(lengths) == 12 and max(lengths) < 1.2 * lengths[1]
+
+
+def test_histograms_are_sums_over_points():
+    rng = np.random.default_rng(7)
+    bins, g, h, at = rng.integers(0, 5, (50, 3)).astype(np.uint8), rng.normal(size=(50, 2)), rng.random((50, 2)), rng.integers(3, 7, (50, 2))
+    cells = np.array([[0, 3], [0, 5], [1, 3]])
+    got = histograms(bins, g, h, at, cells, 5)
+    for c, (k, node) in enumerate(cells):
+        for d in range(3):
+            for b in range(5):
+                here = (at[:, k] == node) & (bins[:, d] == b)
+                assert np.allclose(got[c, d, b], (g[here, k].sum(), h[here, k].sum()))
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_classifiers_do_not_see_how_their_points_came_about(spark, monkeypatch, many):
     """The plan of a split, with its windows and joins, is no part of the plans of training, and of a bake-off's predictions."""
